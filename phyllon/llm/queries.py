@@ -5,10 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import encode_report
+from .chat_format import conversations_of, paired_with_neighbour, preference_pairs
 from .common import table
+from .embedding_dedup import near_duplicates
+from .fingerprints import fingerprint_documents
+from .jaccard_join import jaccard_join
 from .mixing import mix_sources
+from .secret_scan import secret_report
 from .suffix_dedup import remove_repeats
+from .toxicity import label_categories, score_toxicity, train_chain
+from .warc import archive_round_trip
+
+
+def vocabulary() -> str:
+    """Where the byte-level vocabulary file is; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +68,108 @@ def op2_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_report(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+
+
+def op7_preference_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preference_pairs(paired_with_neighbour(conversations_of(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))))
+    spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return pairs.select("conv_id", "n_prompt", "prompt", "chosen_completion", "rejected_completion", spans(F.col("chosen_mask")).alias("chosen_mask"), spans(F.col("rejected_mask")).alias("rejected_mask"))
+
+
+OP7_SQL = r"""
+WITH ordered AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), last_ AS (
+  SELECT conv_id, max(i) AS at, arg_max(text, i) AS said FROM ordered WHERE role = 'assistant' GROUP BY conv_id
+), sides AS (
+  SELECT o.conv_id, i, role, text AS chosen, CASE WHEN i = a.at THEN b.said ELSE text END AS rejected, a.at
+  FROM ordered o JOIN last_ a USING (conv_id) JOIN last_ b ON b.conv_id = xor(o.conv_id, 1)
+), firsts AS (
+  SELECT conv_id, coalesce(min(i) FILTER (WHERE chosen <> rejected), max(i) + 1) AS n_prompt FROM sides GROUP BY conv_id
+), lens AS (
+  SELECT s.*, n_prompt, '<|' || role || '|>' || chr(10) AS head FROM sides s JOIN firsts USING (conv_id)
+), ends AS (
+  SELECT *, sum(CASE WHEN i >= n_prompt THEN length(head) + length(chosen) + 1 ELSE 0 END) OVER w AS c_end,
+            sum(CASE WHEN i >= n_prompt THEN length(head) + length(rejected) + 1 ELSE 0 END) OVER w AS r_end
+  FROM lens WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+)
+SELECT conv_id, any_value(n_prompt)::INT AS n_prompt,
+       coalesce(string_agg(head || chosen || chr(10), '' ORDER BY i) FILTER (WHERE i < n_prompt), '') AS prompt,
+       coalesce(string_agg(head || chosen || chr(10), '' ORDER BY i) FILTER (WHERE i >= n_prompt), '') AS chosen_completion,
+       coalesce(string_agg(head || rejected || chr(10), '' ORDER BY i) FILTER (WHERE i >= n_prompt), '') AS rejected_completion,
+       coalesce(string_agg((c_end - length(chosen) - 1)::BIGINT || ':' || c_end::BIGINT, ',' ORDER BY i) FILTER (WHERE i >= n_prompt AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg((r_end - length(rejected) - 1)::BIGINT || ':' || r_end::BIGINT, ',' ORDER BY i) FILTER (WHERE i >= n_prompt AND role = 'assistant'), '') AS rejected_mask
+FROM ends GROUP BY conv_id
+"""
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("payload", "url")
+
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS d FROM pages
+), best AS (
+  SELECT d, max(page_id) AS best FROM p GROUP BY d
+)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(8), lambda k: list_aggregate(list_transform(range(4), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (('0x' || substr(p.d, (k * 5 + 1)::INT, 5))::BIGINT // (32 ** (3 - j))::BIGINT % 32 + 1)::INT, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+       CASE WHEN best IS NOT NULL AND page_id IS DISTINCT FROM best THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN best IS NOT NULL AND page_id IS DISTINCT FROM best THEN best END AS refers_to
+FROM p JOIN best USING (d)
+"""
+
+
+def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = train_chain(docs, label_categories(table(spark, sf_dir, "labels")), ("low_quality", "toxic"))
+    return score_toxicity(docs, chain).drop("text")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_remove_repeats)}
+    ops = (
+        op1_mix_sources,
+        op2_remove_repeats,
+        op3_fingerprints,
+        op4_embedding_near_duplicates,
+        op5_secret_scan,
+        op6_bpe,
+        op7_preference_chats,
+        op8_jaccard_join,
+        op9_warc_round_trip,
+        op10_toxicity_chain,
+        pipeline,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op7_preference_chats": OP7_SQL, "op9_warc_round_trip": OP9_SQL}
