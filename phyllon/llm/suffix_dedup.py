@@ -111,7 +111,7 @@ def refine(data: np.ndarray, stop: np.ndarray, size: int) -> np.ndarray:
     gram = np.zeros(n, U)
     for k in range(8):
         gram[: n - k] |= data[k:].astype(U) << U(56 - 8 * k)
-    order = at[np.argsort(gram[at], kind="stable")]
+    order = at[np.argsort(gram[at])]
     pointer, have = _named(pointer, order, gram[order][1:] != gram[order][:-1]), 8
     while have < size:
         step = min(have, size - have)
@@ -119,12 +119,13 @@ def refine(data: np.ndarray, stop: np.ndarray, size: int) -> np.ndarray:
         at = np.flatnonzero(new >= 0)
         count = np.bincount(pointer[pointer >= 0], minlength=n)
         at = at[count[pointer[at]] > 1]  # a bucket of one suffix keeps its pointer
-        later = pointer[at + step]
-        order = np.lexsort((later, pointer[at]))
-        at, key, later = at[order], pointer[at][order], later[order]
+        both = pointer[at] << 32 | pointer[at + step]  # a partition has under 2^31 bytes
+        order = np.argsort(both)
+        at, both = at[order], both[order]
+        key = both >> 32
         # The new pointer is the old bucket's start plus the place of the sub-bucket in it: unused by all others.
         if len(at):
-            change = np.r_[True, (key[1:] != key[:-1]) | (later[1:] != later[:-1])]
+            change = np.r_[True, both[1:] != both[:-1]]
             head = np.r_[True, key[1:] != key[:-1]]
             place = np.arange(len(at))
             place = np.maximum.accumulate(np.where(change, place, 0)) - np.maximum.accumulate(np.where(head, place, 0))
@@ -174,7 +175,7 @@ def _distinct(h: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarr
     """Sorted distinct hashes of a block, and whether each is in two documents with different ids."""
     if not len(h):
         return h, np.zeros(0, bool)
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h, i = h[order], ids[doc[order]]
     at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     return h[at], np.minimum.reduceat(i, at) != np.maximum.reduceat(i, at)
@@ -188,7 +189,7 @@ def _shares(h: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
     return [(p, order[edges[p] : edges[p + 1]]) for p in range(parts) if edges[p] < edges[p + 1]]
 
 
-def _needed(row, answers: dict[int, bytes], size: int, q: int, parts: int) -> tuple[tuple[np.ndarray, ...], list[tuple[int, list[bytes], np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+def _needed(row, answers: dict[int, bytes], size: int, q: int, parts: int) -> tuple[tuple[np.ndarray, ...], list[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
     """The runs of a block that can be repeated, the distinct ones by partition with the smallest id, and which one each run is."""
     ids, lens, data = _of(row)
     found = window_runs(data, lens, size, q)
@@ -208,10 +209,10 @@ def _needed(row, answers: dict[int, bytes], size: int, q: int, parts: int) -> tu
     np.minimum.at(least, which, ids[found[1]])
     of = np.zeros(len(texts), U)
     of[which] = found[0]
-    return found, [(p, [texts[i] for i in at.tolist()], least[at], at) for p, at in _shares(of, parts)], least, which
+    return found, [(p, [texts[i] for i in at.tolist()], least[at], of[at], at) for p, at in _shares(of, parts)], least, which
 
 
-def remove_repeats(docs: DataFrame, size: int = 50, q: int = 20, block_bytes: int = 4 << 20, part_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 50, q: int = 20, block_bytes: int = 4 << 20, part_bytes: int = 6 << 20) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary).
 
     A byte goes if a string of `size` bytes that covers it also starts in a document with a smaller doc_id; strings are
@@ -222,7 +223,8 @@ def remove_repeats(docs: DataFrame, size: int = 50, q: int = 20, block_bytes: in
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
-    files = max(1, -(-total // (6 * block_bytes)))
+    # Spark joins with the bucketed table without moving it if it has no fewer buckets than shuffles have partitions.
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (6 * block_bytes)))
     name = f"blocks_{uuid.uuid4().hex}"
     _pack(docs, block_bytes).write.option("compression", "zstd").bucketBy(files, "block").saveAsTable(name)
     blocks = spark.table(name)
@@ -253,23 +255,45 @@ def remove_repeats(docs: DataFrame, size: int = 50, q: int = 20, block_bytes: in
         for pdf in batches:
             for row in pdf.itertuples():
                 _, shares, _, _ = _needed(row, _answers(row.answers), size, q, parts)
-                yield pd.DataFrame([(p, row.block, np.array([len(x) for x in texts], np.int32).tobytes(), b"".join(texts), least.tobytes()) for p, texts, least, _ in shares], columns=["p", "block", "lens", "data", "least"])
+                yield pd.DataFrame([(p, row.block, np.array([len(x) for x in texts], np.int32).tobytes(), b"".join(texts), least.tobytes(), h.tobytes()) for p, texts, least, h, _ in shares], columns=["p", "block", "lens", "data", "least", "h"])
 
     def smaller(pdf: pd.DataFrame) -> pd.DataFrame:
-        lens = [np.frombuffer(x, np.int32).astype(np.int64) for x in pdf["lens"]]
-        each = np.concatenate(lens)
-        data = np.frombuffer(b"".join(pdf["data"]), np.uint8)
-        ends = np.cumsum(each)
-        least = np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["least"]]), each)
-        pointer = refine(data, np.repeat(ends, each), size)
-        at = np.flatnonzero(pointer >= 0)
-        of_bucket = np.full(len(data), NONE)
-        np.minimum.at(of_bucket, pointer[at], least[at])
-        bits = of_bucket[pointer[at]] < least[at]
-        windows = np.add.reduceat(each - size + 1, np.cumsum([0, *map(len, lens)])[:-1])
-        return pd.DataFrame({"block": pdf["block"], "p": pdf["p"], "bits": [np.packbits(x).tobytes() for x in np.split(bits, np.cumsum(windows)[:-1])]})
-
-    sent = blocks.join(gathered(grams_back), "block").mapInPandas(pieces, "p int, block long, lens binary, data binary, least binary")
+        number: dict[bytes, int] = {}
+        which, of_row = [], []
+        for lens, data in zip(pdf["lens"], pdf["data"]):
+            ends, data = np.cumsum(np.frombuffer(lens, np.int32)).tolist(), bytes(data)
+            which += [number.setdefault(data[a:b], len(number)) for a, b in zip([0, *ends], ends)]
+            of_row.append(len(ends))
+        least = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["least"]])
+        which, texts = np.array(which, np.int64), list(number)
+        own = np.full(len(texts), NONE)
+        np.minimum.at(own, which, least)
+        h = np.zeros(len(texts), U)
+        h[which] = np.concatenate([np.frombuffer(x, U) for x in pdf["h"]])
+        windows = np.array([len(x) - size + 1 for x in texts], np.int64)
+        first = np.repeat(own, windows)
+        # Only where several different runs have one least q-gram can a window be in another run.
+        _, back, count = np.unique(h, return_inverse=True, return_counts=True)
+        mixed_ = np.flatnonzero(count[back] > 1)
+        if len(mixed_):
+            lens = windows[mixed_] + size - 1
+            data = np.frombuffer(b"".join([texts[i] for i in mixed_.tolist()]), np.uint8)
+            pointer = refine(data, np.repeat(np.cumsum(lens), lens), size)
+            at = np.flatnonzero(pointer >= 0)
+            pointer, mine = pointer[at], np.repeat(own[mixed_], windows[mixed_])
+            order = np.argsort(pointer)
+            head = np.flatnonzero(np.r_[True, pointer[order][1:] != pointer[order][:-1]])
+            low = np.empty(len(at), np.int64)
+            low[order] = np.repeat(np.minimum.reduceat(mine[order], head), np.diff(np.r_[head, len(order)]))
+            first[np.repeat(count[back] > 1, windows)] = low
+        begin = np.cumsum(windows) - windows
+        n = windows[which]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[which], n)
+        bits = first[place] < np.repeat(least, n)
+        cuts = np.cumsum(np.add.reduceat(n, np.cumsum([0, *of_row])[:-1]))[:-1]
+        return pd.DataFrame({"block": pdf["block"], "p": pdf["p"], "bits": [np.packbits(x).tobytes() for x in np.split(bits, cuts)]})
+
+    sent = blocks.join(gathered(grams_back), "block").mapInPandas(pieces, "p int, block long, lens binary, data binary, least binary, h binary")
     pieces_back = written(sent.groupBy("p").applyInPandas(smaller, "block long, p int, bits binary"), "pieces")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,15 +304,18 @@ def remove_repeats(docs: DataFrame, size: int = 50, q: int = 20, block_bytes: in
                 gone = np.zeros(len(data) + 1, np.int32)
                 if row.pieces is not None:
                     (_, doc, start, count), shares, least, which = _needed(row, _answers(row.answers), size, q, parts)
-                    answers, bits = _answers(row.pieces), {}
-                    for p, texts, _, at in shares:
-                        n = [len(x) - size + 1 for x in texts]
-                        for i, part in zip(at.tolist(), np.split(np.unpackbits(np.frombuffer(answers[p], np.uint8), count=sum(n)), np.cumsum(n)[:-1])):
-                            bits[i] = part
-                    for a, n, i, later in zip(start.tolist(), count.tolist(), which.tolist(), (ids[doc] > least[which]).tolist()):
-                        on = np.arange(n) if later else np.flatnonzero(bits[i])
-                        gone[a + on] += 1
-                        gone[a + on + size] -= 1
+                    answers = _answers(row.pieces)
+                    n = np.zeros(len(least), np.int64)
+                    n[which] = count
+                    begin, flat = np.zeros(len(least), np.int64), []
+                    for p, texts, _, _, at in shares:
+                        begin[at] = sum(map(len, flat)) + np.cumsum(n[at]) - n[at]
+                        flat.append(np.unpackbits(np.frombuffer(answers[p], np.uint8), count=int(n[at].sum())).astype(bool))
+                    flat = np.concatenate(flat) if flat else np.zeros(0, bool)
+                    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    hit = flat[np.repeat(begin[which], count) + step] | np.repeat(ids[doc] > least[which], count)
+                    at = (np.repeat(start, count) + step)[hit]
+                    gone += np.bincount(at, minlength=len(gone)).astype(np.int32) - np.bincount(at + size, minlength=len(gone)).astype(np.int32)
                 mask = np.cumsum(gone[:-1]) > 0
                 ends = np.cumsum(lens)
                 out = []
