@@ -1,0 +1,47 @@
+"""Every query with SQL gives DuckDB's rows on the smallest data."""
+
+import math
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from phyllon.plans.registry import QUERIES, SQL
+
+DATA = Path("/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data")
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for p in DATA.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
+    return con
+
+
+def plain(v):
+    if hasattr(v, "item"):
+        v = v.item()
+    if isinstance(v, float):
+        return None if math.isnan(v) else float(f"{v:.9g}")
+    return v
+
+
+def rows(columns, found):
+    order = sorted(range(len(columns)), key=columns.__getitem__)
+    return sorted(repr(tuple(plain(r[i]) for i in order)) for r in found)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_same_rows(spark, duck, name):
+    df = QUERIES[name](spark, str(DATA))
+    cursor = duck.execute(SQL[name])
+    columns = [c[0] for c in cursor.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert rows(df.columns, df.collect()) == rows(columns, cursor.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_runs(spark, name):
+    assert QUERIES[name](spark, str(DATA)).count() > 0
