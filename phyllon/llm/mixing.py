@@ -42,18 +42,22 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
 
     Every document of a source is expected target / source_size times. The running sum of these within the source plus
     one random offset of the source crosses integers; a document is taken once for each one it crosses. So a source's
-    total is exact to one document. In a bucket the documents are in order of size, which keeps words near the
-    target too. The running sum has two levels: counts of hashed buckets (about the square root of all rows) and
-    row numbers within one, so a source with a third of all rows is still dealt to many tasks.
+    total is exact to one document. Documents are in order of size (in steps of an eighth of a power of two, each dealt to
+    hashed buckets), which keeps words near the target too. The running sum has two levels: counts of buckets and
+    row numbers within one, so a source with a third of all rows is still dealt to many tasks. There are more buckets with
+    the square root of the number of rows, so that neither level grows in proportion.
 
     A null text has size 0; null sources are one source, the last; null ids and equal rows are sampled like any
     other; an empty table gives an empty result. Columns of docs with a name that this adds are replaced.
     """
     n = docs.count()
-    buckets = max(1, math.isqrt(max(0, n - 1)) + 1)
+    buckets = max(1, (math.isqrt(max(0, n - 1)) + 1) // 32)
     hashed = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long")
     sized = docs.drop("source_size", "target", "copies", "taken").withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    sized = sized.withColumn("_h", hashed).withColumn("_bucket", F.col("_h") % buckets)
+    # The length of size + 8 in bits and the three bits after its first: grows with size.
+    sized = sized.withColumn("_h", hashed).withColumn("_bits", F.length(F.bin(F.col("size") + 8)))
+    step = F.col("_bits") * 8 + F.expr("shiftright(size + 8, _bits - 4)") % 8
+    sized = sized.withColumn("_bucket", step * buckets + F.col("_h") % buckets).drop("_bits")
     counts = sized.groupBy("source", "_bucket").agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
     of_bucket = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(of_bucket), F.lit(0)))

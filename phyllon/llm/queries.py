@@ -55,8 +55,9 @@ WITH sized AS (
 ), rows_ AS (
   SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
          ('0x' || substr(md5(coalesce('s' || d.source, 'null') || ':7'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u,
-         row_number() OVER (PARTITION BY d.source ORDER BY h % (SELECT CASE WHEN count(*) = 0 THEN 1 ELSE floor(sqrt(count(*) - 1))::BIGINT + 1 END FROM documents), size, h, doc_id) AS r
+         row_number() OVER (PARTITION BY d.source ORDER BY length(bin(size + 8)), (size + 8) >> (length(bin(size + 8)) - 4), h % b, size, h, doc_id) AS r
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+  CROSS JOIN (SELECT greatest(1, (floor(sqrt(greatest(0, count(*) - 1)))::BIGINT + 1) // 32) AS b FROM documents)
 ), taken_ AS (
   SELECT *, least(floor(u + r * rate) - floor(u + (r - 1) * rate), 3)::BIGINT AS copies FROM rows_
 )
