@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -19,13 +19,21 @@ _letters = re.compile(r"[^\W\d_]+")
 _NOT_LETTERS = r"[^\p{L}]+"
 
 
+def _features() -> Column:
+    """The distinct features of text, as parts_of makes them, in Spark."""
+    words = F.array_distinct(F.split(F.lower("text"), _NOT_LETTERS))
+    starts = lambda w: F.transform(F.filter(F.sequence(F.lit(3), F.lit(8)), lambda k: k < F.length(w)), lambda k: F.concat(F.substring(w, F.lit(1), k), F.lit("-")))
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.concat(F.array(w), starts(w)))))
+
+
 @dataclass(frozen=True)
 class Chain:
-    """categories in order; words with their column; weights[k] has a column for each word, one for each earlier category, and the bias."""
+    """categories in order; words (features) with their column; weights[k] has a column for each feature, one for each earlier category, and the bias; thresholds[k] is where a row counts as one of the category."""
 
     categories: tuple[str, ...]
     words: dict[str, int]
     weights: tuple[np.ndarray, ...]
+    thresholds: tuple[float, ...]
 
     def probabilities(self, at: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
         """(n, categories) from the pairs (row, column) of the words that occur."""
@@ -36,62 +44,106 @@ class Chain:
         return out
 
 
-def _occurring(texts: list[str | None], words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def parts_of(word: str) -> list[str]:
+    """A word's features: the word, and its first 3 to 8 letters (with a dash) where it's longer."""
+    return [word, *(f"{word[:k]}-" for k in range(3, min(9, len(word))))]
+
+
+def _occurring(texts: list[str | None], words: dict[str, int], known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (column, row) of the features that occur. known remembers words' columns; it's emptied when it's large."""
     at, row = [], []
     for i, text in enumerate(texts):
         if text:
-            found = {words[w] for w in set(_letters.findall(text.lower())) if w in words}
+            if len(known) > 300_000:
+                known.clear()
+            found: set[int] = set()
+            for w in set(_letters.findall(text.lower())):
+                ids = known.get(w)
+                if ids is None:
+                    ids = known[w] = tuple(words[x] for x in parts_of(w) if x in words)
+                if ids:
+                    found.update(ids)
             at += found
             row += [i] * len(found)
     return np.array(at, np.int64), np.array(row, np.int64)
 
 
-def _fit(at: np.ndarray, row: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, ridge: float, steps: int = 300) -> np.ndarray:
-    """Logistic regression with a ridge, by accelerated gradient steps scaled by the features' curvature."""
-    n, k = len(y), extra.shape[1]
+def _fit(at: np.ndarray, row: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, ridge: float, steps: int = 8, inner: int = 12) -> np.ndarray:
+    """Logistic regression with a ridge (not on the bias), by Newton steps that conjugate gradients solve."""
+    n, k = extra.shape
     w = np.zeros(width + k + 1)
+    if not n:
+        w[-1] = -40.0
+        return w
+    held = np.full(width + k + 1, ridge)
+    held[-1] = 1e-6
+    into = lambda v: np.bincount(row, v[at], n) + extra @ v[width:-1] + v[-1]
+    back = lambda g: np.r_[np.bincount(at, g[row], width), extra.T @ g, g.sum()]
+    cost = lambda z, v: np.logaddexp(0, z).sum() - z @ y + (held * v * v).sum() / 2
     pi = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     w[-1] = math.log(pi / (1 - pi))
-    per_row = np.bincount(row, minlength=n) + (extra**2).sum(1) + 1
-    # The step of each weight: 4 over the sum of the row sizes of the rows that hold the feature bounds the curvature.
-    curve = np.empty_like(w)
-    curve[:width] = np.bincount(at, per_row[row], width)
-    curve[width:-1] = (np.abs(extra) * per_row[:, None]).sum(0)
-    curve[-1] = per_row.sum()
-    curve = curve / 4 / n + ridge
-    v, t = w.copy(), 1.0
+    z = into(w)
     for _ in range(steps):
-        z = np.bincount(row, v[at], n) + extra @ v[width:-1] + v[-1]
-        g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
-        grad = np.r_[np.bincount(at, g[row], width), extra.T @ g, g.sum()]
-        grad[:-1] += ridge * v[:-1]
-        new = v - grad / curve
-        t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        v, w, t = new + (t - 1) / t2 * (new - w), new, t2
+        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        grad = back(p - y) + held * w
+        curve = p * (1 - p)
+        scale = np.r_[np.bincount(at, curve[row], width), (extra**2).T @ curve, curve.sum()] + held
+        d, r = np.zeros_like(w), -grad
+        q = r / scale
+        s, rq = q.copy(), r @ q
+        goal = rq * 1e-4
+        for _ in range(inner):
+            hs = back(curve * into(s)) + held * s
+            a = rq / (s @ hs)
+            d += a * s
+            r -= a * hs
+            q = r / scale
+            new = r @ q
+            if new < goal:
+                break
+            s, rq = q + new / rq * s, new
+        dz, now, step = into(d), cost(z, w), 1.0
+        while step > 1e-4 and cost(z + step * dz, w + step * d) > now + 1e-4 * step * (grad @ d):
+            step /= 2
+        w, z = w + step * d, z + step * dz
+        if -(grad @ d) < 1e-6 * n:
+            break
     return w
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sample: int = 20_000, vocabulary: int = 4096, folds: int = 3, ridge: float = 1e-4) -> Chain:
+def _threshold(p: np.ndarray, y: np.ndarray, low: float = 0.1, high: float = 0.5) -> float:
+    """Where probabilities that didn't see their row part the classes best (by F1), within bounds; 0.5 for rows of one class."""
+    if not 0 < y.sum() < len(y):
+        return high
+    order = np.argsort(-p, kind="stable")
+    hit = np.cumsum(y[order])
+    f1 = 2 * hit / (np.arange(1, len(p) + 1) + y.sum())
+    k = int(f1.argmax())
+    after = p[order[k + 1]] if k + 1 < len(p) else 0.0
+    return float(np.clip((p[order[k]] + after) / 2, low, high))
+
+
+def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sample: int = 20_000, vocabulary: int = 1024, folds: int = 3, ridge: float = 0.5) -> Chain:
     """A chain over the 0/1 columns `categories` of labels (doc_id, ...).
 
     Trained on at most `sample` labelled rows, the first in order of a hash of doc_id. The features are the `vocabulary` words
-    that, over the documents of that sample, differ most between the classes of some category (counts by Spark). Each category's
+    and word beginnings (parts_of) that, over the documents of that sample, differ most between the classes of some category (counts by Spark). Each category's
     model is a logistic regression on these words and on the earlier categories' probabilities, which come from models
     that didn't see the row (out-of-fold); the models used later are fitted on all rows of the sample.
 
     Rows with a null id, text or category are left out. Without labelled rows, or with one class, a category has the
-    constant probability of its class (0 for no rows).
+    constant probability of its class (0 for no rows). A category's threshold is the best one for the out-of-fold probabilities.
     """
     rows = labels.select("doc_id", *(F.col(c).cast("int").alias(f"_y{k}") for k, c in enumerate(categories))).dropna().dropDuplicates(["doc_id"])
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     ys = [f"_y{k}" for k in range(len(categories))]
     # The sample is broadcast: it has at most `sample` rows of an id and a few integers.
     held = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(rows), "doc_id")
-    held = written(held.select("doc_id", *ys, F.array_distinct(F.split(F.lower("text"), _NOT_LETTERS)).alias("words")), "sample")
+    held = written(held.select("doc_id", *ys, _features().alias("words")), "sample")
     totals = held.agg(F.count("*"), *(F.sum(y) for y in ys)).first()
     n = totals[0]
     if not n:
-        return Chain(categories, {}, tuple(np.r_[np.zeros(k), -40.0] for k in range(len(categories))))
+        return Chain(categories, {}, tuple(np.r_[np.zeros(k), -40.0] for k in range(len(categories))), (0.5,) * len(categories))
     counts = held.select(*ys, F.explode("words").alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("df"), *(F.sum(y).alias(y) for y in ys)).filter("df >= 3")
 
     def apart(y: str, total: int):
@@ -122,11 +174,11 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...],
             out[~train] = (1 / (1 + np.exp(-np.clip(z, -40, 40))))[~train]
         weights.append(_fit(at, row, earlier, target, len(words), ridge))
         earlier = np.column_stack([earlier, out])
-    return Chain(categories, words, tuple(weights))
+    return Chain(categories, words, tuple(weights), tuple(_threshold(earlier[:, k], data[y].to_numpy()) for k, y in enumerate(ys)))
 
 
-def score_toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
-    """docs with p_<category> for each category of the chain (double) and rejected (p_toxic over the threshold).
+def score_toxicity(docs: DataFrame, chain: Chain, threshold: float | None = None) -> DataFrame:
+    """docs with p_<category> for each category of the chain (double) and rejected (p_toxic over the threshold, the chain's own if none is given).
 
     The model is broadcast; it's bounded by the vocabulary. Null and empty texts are scored as texts without any
     known word. Columns of docs with a name that this adds are replaced; an empty table gives an empty result.
@@ -137,14 +189,15 @@ def score_toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> Dat
 
     @F.pandas_udf("array<double>")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, tuple[int, ...]] = {}
         for part in texts:
-            at, row = _occurring(part.tolist(), shared.value.words)
+            at, row = _occurring(part.tolist(), shared.value.words, known)
             yield pd.Series(list(shared.value.probabilities(at, row, len(part))))
 
     scored = docs.withColumn("_p", score("text"))
     for k, c in enumerate(chain.categories):
         scored = scored.withColumn(f"p_{c}", F.col("_p")[k])
-    return scored.drop("_p").withColumn("rejected", F.col("p_toxic") > threshold)
+    return scored.drop("_p").withColumn("rejected", F.col("p_toxic") > (chain.thresholds[chain.categories.index("toxic")] if threshold is None else threshold))
 
 
 def label_categories(labels: DataFrame) -> DataFrame:
