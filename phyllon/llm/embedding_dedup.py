@@ -32,7 +32,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) ->
 
 
 def near_duplicates(
-    vectors: DataFrame, cosine: float = 0.95, sample: int = 20_000, per_cell: int = 300, most_cells: int = 2048, block: int = 1024
+    vectors: DataFrame, cosine: float = 0.95, sample: int = 20_000, per_cell: int = 200, most_cells: int = 4096, probes: int = 8, block: int = 1024
 ) -> DataFrame:
     """Per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept.
 
@@ -40,18 +40,21 @@ def near_duplicates(
     vector, component_id is the smallest vec_id that links reach and kept says that it's the vector's own.
 
     Equal vectors are one (the smallest id) with a count. Spherical k-means is fitted on at most `sample` vectors, the first
-    in order of a hash of vec_id; every vector is then assigned to its nearest centroid's cell. A vector also visits each cell where
-    a vector linked to it could be: if x is in the cell of c and y in that of d, then y.d - y.c <= |y - x| |d - c|, and
-    linked unit vectors are no farther apart than sqrt(2 - 2 cosine). So no link is lost at cell borders. A cell of over `block`
-    vectors is compared block by block, each pair of blocks in a task of its own; pairs are counted in the task and don't
-    become rows.
+    in order of a hash of vec_id. The cell where a linked pair meets is that of its middle: a vector x of the cell of c can have
+    such a middle in the cell of d only if x.c - x.d <= |x - middle| |c - d|, and linked vectors are at most
+    2 sin(angle / 4) from their middle. Each vector goes to the cells that this bound allows, but to the `probes` nearest
+    of them at most: a pair of vectors that have no more of them is always found, others are found if they share one.
+    Recall against brute force is measured in the tests and the README. A pair is counted in the first cell that it shares.
+    A cell of over `block` vectors is compared block by block, each pair of blocks in a task of its own; pairs
+    are counted in the task and don't become rows. With more than most_cells * per_cell vectors cells grow: raise
+    most_cells and sample.
 
     Null vectors, zero vectors, and ones with a null or non-finite component or another length than most link with nothing; they, and rows with a
     null vec_id, are their own component (null for a null id). Rows with equal ids count as copies if equal. An empty
     table gives an empty result; further columns are ignored.
     """
     spark = vectors.sparkSession
-    reach = math.sqrt(2 - 2 * cosine) + 1e-9
+    reach = 2 * math.sin(math.acos(cosine) / 4) + 1e-9
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     rows = rows.withColumn("fine", fine)
@@ -77,18 +80,21 @@ def near_duplicates(
                 part = pdf.iloc[a : a + 2000]
                 x = np.stack(part["v"].to_list())
                 fit = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ c.T
-                own = fit.argmax(1)
-                near = fit[np.arange(len(x)), own][:, None] - fit <= reach * apart[own] + 1e-9
-                row, cell = np.nonzero(near)
-                yield pd.DataFrame({"id": part["id"].to_numpy()[row], "copies": part["copies"].to_numpy()[row], "v": part["v"].to_numpy()[row], "kcell": cell, "home": own[row] == cell, "homes": own[row]})
+                m = min(probes, fit.shape[1])
+                near = np.argpartition(-fit, m - 1, axis=1)[:, :m]
+                value, own = np.take_along_axis(fit, near, 1), fit.argmax(1)
+                allowed = value.max(1, keepdims=True) - value <= reach * np.take_along_axis(apart[own], near, 1) + 1e-9
+                shared_cells = np.where(allowed, near, -1)
+                row, at = np.nonzero(allowed)
+                yield pd.DataFrame({"id": part["id"].to_numpy()[row], "copies": part["copies"].to_numpy()[row], "v": part["v"].to_numpy()[row], "kcell": near[row, at], "probes": list(shared_cells[row])})
 
-    placed = written(distinct.mapInPandas(assign, "id long, copies long, v array<double>, kcell long, home boolean, homes long"), "placed")
+    placed = written(distinct.mapInPandas(assign, "id long, copies long, v array<double>, kcell long, probes array<long>"), "placed")
     sizes = placed.groupBy("kcell").agg(F.count("*").alias("size"))
     members = placed.join(F.broadcast(sizes), "kcell")  # at most `most_cells` rows
     dealt = cells(members, "kcell", "size", "id", block)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, copies, homes = pdf["id"].to_numpy(), pdf["copies"].to_numpy(), pdf["homes"].to_numpy()
+        ids, copies, visited = pdf["id"].to_numpy(), pdf["copies"].to_numpy(), np.stack(pdf["probes"].to_list())
         x = np.stack(pdf["v"].to_list())
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         cell = int(pdf["kcell"].iloc[0])
@@ -96,9 +102,13 @@ def near_duplicates(
         if not pdf["diagonal"].iloc[0]:
             part = pdf["part"].to_numpy()
             close &= part[:, None] != part[None, :]
-        # A pair is counted in one cell only: the smaller of its two vectors' own ones, which the other one visits.
-        close &= np.minimum(homes[:, None], homes[None, :]) == cell
         a, b = np.nonzero(close)
+        first = np.empty(len(a), bool)
+        for k in range(0, len(a), 100_000):
+            mine, other = visited[a[k : k + 100_000]], visited[b[k : k + 100_000]]
+            both = (mine[:, :, None] == other[:, None, :]).any(2) & (mine >= 0)
+            first[k : k + 100_000] = np.where(both, mine, 1 << 40).min(1) == cell
+        a, b = a[first], b[first]
         links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
         root = local_roots(len(ids), a, b)
         some = links > 0

@@ -30,7 +30,7 @@ def test_same_as_brute_force(spark):
     want = brute(rows)
     rows += [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] * 16), (9003, [None] + [1.0] * 15), (9004, [1.0, 2.0]), (None, rows[0][1]), (9005, [float("inf")] + [1.0] * 15), (9006, [])]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    for options in ({}, {"per_cell": 20, "block": 16, "sample": 100}):
+    for options in ({"probes": 64}, {"per_cell": 20, "block": 16, "sample": 100, "probes": 64}):
         got = near_duplicates(df, **options).collect()
         assert len(got) == len(rows)
         assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got if r["vec_id"] in want} == want
@@ -40,6 +40,18 @@ def test_same_as_brute_force(spark):
                 assert (r["n_links"], r["component_id"]) == (0, r["vec_id"])
 
 
+def test_recall_with_few_probes(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(200, 64))
+    rows = [(k, (base[k % 200] + rng.normal(0, (0.05, 0.15, 0.22)[k % 3], 64)).tolist()) for k in range(1500)] + [(5000 + k, rng.normal(size=64).tolist()) for k in range(1500)]
+    x = np.array([np.array(v, np.float32) for _, v in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), per_cell=30, probes=6).collect()}
+    found = np.array([got[i] for i, _ in rows])
+    assert (found <= want).all() and found.sum() >= 0.98 * want.sum() > 1000
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert near_duplicates(spark.createDataFrame([(1, None)], SCHEMA)).collect() == [(1, 0, 1, True)]
