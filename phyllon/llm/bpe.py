@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Fixed value: how byte-level BPE cuts a text before it merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -33,7 +35,7 @@ class Encoder:
     tokens: list[bytes]
     merges: list[tuple[int, int, int]]
     special: dict[str, int]
-    keep: int = 200_000
+    keep: int = 100_000
 
     @staticmethod
     def of(vocabulary: str) -> Encoder:
@@ -210,6 +212,7 @@ class Encoder:
 
 
 def _shared(spark, vocabulary: str):
+    bounded_batches(spark)
     with open(vocabulary, encoding="utf-8") as f:
         return spark.sparkContext.broadcast(Encoder.of(f.read()))
 

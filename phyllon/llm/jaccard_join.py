@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, by_cell, cells, components, local_roots, written
+from .common import WORD, bounded_batches, by_cell, cells, components, local_roots, written
 from .suffix_dedup import mixed
 
 U = np.uint64
@@ -19,7 +19,7 @@ _word_ids: dict[str, int] = {}
 
 
 def _word_hashes(words: list[str]) -> list[int]:
-    if len(_word_ids) > 500_000:
+    if len(_word_ids) > 100_000:
         _word_ids.clear()
     out = []
     for w in words:
@@ -96,6 +96,7 @@ def jaccard_join(
     doc_id are classes of their own with a null class_id; rows with equal ids and equal texts count as copies. An empty
     table gives an empty result; further columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
     schema = "doc_id long, key binary, trees array<long>, tops array<long>"
     top = depth

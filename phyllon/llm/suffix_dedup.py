@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 
 U = np.uint64
 NONE = np.iinfo(np.int64).max
@@ -221,6 +221,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, q: int = 20, block_bytes: in
     table gives an empty result; further columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
     # Spark joins with the bucketed table without moving it if it has no fewer buckets than shuffles have partitions.

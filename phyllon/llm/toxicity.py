@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 
 _letters = re.compile(r"[^\W\d_]+")
 #: The same words for Spark, which lower-cases and cuts where the text has no letter.
@@ -54,7 +54,7 @@ def _occurring(texts: list[str | None], words: dict[str, int], known: dict[str,
     at, row = [], []
     for i, text in enumerate(texts):
         if text:
-            if len(known) > 300_000:
+            if len(known) > 100_000:
                 known.clear()
             found: set[int] = set()
             for w in set(_letters.findall(text.lower())):
@@ -154,12 +154,18 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...],
     best = counts.withColumn("score", F.greatest(*(apart(y, totals[k + 1]) for k, y in enumerate(ys)), F.lit(0.0)))
     chosen = best.orderBy(F.col("score").desc(), "word").limit(vocabulary).select("word").collect()  # bounded by `vocabulary`
     words = {r[0]: k for k, r in enumerate(sorted(chosen))}
-    listed = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
-    kept = held.select("doc_id", *ys, F.array_intersect("words", listed).alias("words")).orderBy("doc_id")
-    data = kept.toPandas()  # bounded by `sample` rows of at most `vocabulary` words
-    lens = np.array([len(w) for w in data["words"]], np.int64)
+    bounded_batches(docs.sparkSession)
+
+    @F.pandas_udf("binary")
+    def columns(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda ws: np.array(sorted(words[w] for w in ws if w in words), np.int16 if len(words) < 32768 else np.int32).tobytes())
+
+    # Bounded by `sample` rows of at most `vocabulary` columns, two bytes each.
+    data = held.select("doc_id", *ys, columns("words").alias("at")).toPandas().sort_values("doc_id", kind="stable", ignore_index=True)
+    each = [np.frombuffer(x, np.int16 if len(words) < 32768 else np.int32) for x in data.pop("at")]
+    lens = np.array([len(x) for x in each], np.int64)
     row = np.repeat(np.arange(len(data)), lens)
-    at = np.array([words[w] for ws in data["words"] for w in ws], np.int64)
+    at = np.concatenate(each).astype(np.int64)
     fold = np.arange(len(data)) % folds
     earlier, weights = np.zeros((len(data), 0)), []
     for y in ys:
@@ -185,6 +191,7 @@ def score_toxicity(docs: DataFrame, chain: Chain, threshold: float | None = None
     """
     added = [*(f"p_{c}" for c in chain.categories), "rejected"]
     docs = docs.drop(*added)
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     @F.pandas_udf("array<double>")
