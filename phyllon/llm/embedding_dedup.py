@@ -31,6 +31,54 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) ->
     return c
 
 
+def _allowed(x: np.ndarray, c: np.ndarray, reach: float) -> np.ndarray:
+    """Whether a unit vector at most `reach` from x could be nearest to each centroid (vectors x centroids)."""
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
+    out = np.empty((len(x), len(c)), bool)
+    for a in range(0, len(x), 500):
+        part = x[a : a + 500]
+        fit = (part / np.linalg.norm(part, axis=1, keepdims=True)) @ c.T
+        out[a : a + 500] = fit.max(1, keepdims=True) - fit <= reach * apart[fit.argmax(1)] + 1e-9
+    return out
+
+
+def merged_cells(allowed: np.ndarray, goal: int) -> np.ndarray:
+    """Which cell each centroid belongs to, from the centroids that a sample's vectors may meet at (vectors x centroids).
+
+    Cells are merged in pairs as long as that saves comparisons, and further until a vector goes to at most `goal` cells on average.
+    One cell is left if that takes no more comparisons than all the others. This decides what the comparison costs, never what it finds.
+    """
+    label = np.arange(allowed.shape[1])
+    while (k := allowed.shape[1]) > 1:
+        common = np.zeros((k, k), np.float32)
+        for a in range(0, len(allowed), 2000):
+            part = allowed[a : a + 2000].astype(np.float32)
+            common += part.T @ part
+        size = np.diag(common).astype(float)
+        union = size[:, None] + size - common
+        saved = np.where(np.tri(k, dtype=bool), -np.inf, size[:, None] ** 2 + size**2 - union**2)
+        enough = size.sum() <= goal * len(allowed)
+        rows = saved.argmax(1)
+        best = saved[np.arange(k), rows]
+        to, used = np.arange(k), np.zeros(k, bool)
+        for c in np.argsort(-best, kind="stable").tolist():
+            d = int(rows[c])
+            # One merge at least is made of those that only the goal asks for.
+            if best[c] == -np.inf or best[c] < 0 and (enough or used.any()):
+                break
+            if not (used[c] or used[d]):
+                to[d], used[c], used[d] = c, True, True
+        if not used.any():
+            break
+        cell = np.unique(to, return_inverse=True)[1]
+        label = cell[label]
+        less = np.zeros((len(allowed), int(cell.max()) + 1), bool)
+        for c in range(k):
+            less[:, cell[c]] |= allowed[:, c]
+        allowed = less
+    return np.zeros_like(label) if (allowed.sum(0, dtype=float) ** 2).sum() >= float(len(allowed)) ** 2 else label
+
+
 def near_duplicates(
     vectors: DataFrame, cosine: float = 0.95, sample: int = 20_000, per_cell: int = 200, most_cells: int = 4096, probes: int = 8, block: int = 1024
 ) -> DataFrame:
@@ -40,12 +88,12 @@ def near_duplicates(
     vector, component_id is the smallest vec_id that links reach and kept says that it's the vector's own.
 
     Equal vectors are one (the smallest id) with a count. Spherical k-means is fitted on at most `sample` vectors, the first
-    in order of a hash of vec_id. The cell where a linked pair meets is that of its middle: a vector x of the cell of c can have
-    such a middle in the cell of d only if x.c - x.d <= |x - middle| |c - d|, and linked vectors are at most
-    2 sin(angle / 4) from their middle. Each vector goes to the cells that this bound allows, but to the `probes` nearest
-    of them at most: a pair of vectors that have no more of them is always found, others are found if they share one.
-    Recall against brute force is measured in the tests and the README. A pair is counted in the first cell that it shares.
-    A cell of over `block` vectors is compared block by block, each pair of blocks in a task of its own; pairs
+    in order of a hash of vec_id. The centroid where a linked pair meets is that of its middle: a vector x of c can have
+    such a middle at d only if x.c - x.d <= |x - middle| |c - d|, and linked vectors are at most
+    2 sin(angle / 4) from their middle. Each vector goes to every cell that this bound allows, so no link is lost. Where vectors
+    lie between many centroids their cells are merged (see merged_cells), to `probes` cells a vector on average of the sample; vectors
+    that no centroids tell apart end in one cell, all compared with all. A pair is counted in the first cell that it shares.
+    A cell of over 4 * block vectors is compared span by span, each pair of spans in a task of its own; pairs
     are counted in the task and don't become rows. With more than most_cells * per_cell vectors cells grow: raise
     most_cells and sample.
 
@@ -70,47 +118,53 @@ def near_duplicates(
     few = distinct.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]  # bounded by `sample`
     x = np.stack(few.to_list())
     centroids = spherical_kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), min(k, len(x)))
-    shared = spark.sparkContext.broadcast(centroids)  # bounded by `most_cells`
+    label = merged_cells(_allowed(x, centroids, reach), probes)
+    shared = spark.sparkContext.broadcast((centroids, label))  # bounded by `most_cells`
+    n_cells = int(label.max()) + 1
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = shared.value
-        apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
+        c, cell = shared.value
         for pdf in batches:
-            for a in range(0, len(pdf), 2000):
-                part = pdf.iloc[a : a + 2000]
-                x = np.stack(part["v"].to_list())
-                fit = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ c.T
-                m = min(probes, fit.shape[1])
-                near = np.argpartition(-fit, m - 1, axis=1)[:, :m]
-                value, own = np.take_along_axis(fit, near, 1), fit.argmax(1)
-                allowed = value.max(1, keepdims=True) - value <= reach * np.take_along_axis(apart[own], near, 1) + 1e-9
-                shared_cells = np.where(allowed, near, -1)
-                row, at = np.nonzero(allowed)
-                yield pd.DataFrame({"id": part["id"].to_numpy()[row], "copies": part["copies"].to_numpy()[row], "v": part["v"].to_numpy()[row], "kcell": near[row, at], "probes": list(shared_cells[row])})
-
-    placed = written(distinct.mapInPandas(assign, "id long, copies long, v array<double>, kcell long, probes array<long>"), "placed")
-    sizes = placed.groupBy("kcell").agg(F.count("*").alias("size"))
-    members = placed.join(F.broadcast(sizes), "kcell")  # at most `most_cells` rows
-    dealt = cells(members, "kcell", "size", "id", block)
+            row, at = np.nonzero(_allowed(np.stack(pdf["v"].to_list()), c, reach))
+            key = np.unique(row * n_cells + cell[at])
+            cuts = np.flatnonzero(np.diff(key // n_cells)) + 1
+            yield pdf.assign(kcells=np.split((key % n_cells).astype(np.int32), cuts))
+
+    placed = written(distinct.mapInPandas(assign, "v array<double>, id long, copies long, kcells array<int>"), "placed")
+    sizes = placed.select(F.explode("kcells").alias("kcell")).groupBy("kcell").agg(F.count("*").alias("size"))
+    members = placed.withColumn("kcell", F.explode("kcells")).join(F.broadcast(sizes), "kcell")  # at most `most_cells` rows
+    dealt = cells(members, "kcell", "size", "id", 4 * block)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, copies, visited = pdf["id"].to_numpy(), pdf["copies"].to_numpy(), np.stack(pdf["probes"].to_list())
+        diagonal, cell = bool(pdf["diagonal"].iloc[0]), int(pdf["kcell"].iloc[0])
+        if not diagonal:
+            pdf = pdf.sort_values("part", kind="stable")
+        ids, copies, n = pdf["id"].to_numpy(), pdf["copies"].to_numpy(), len(pdf)
         x = np.stack(pdf["v"].to_list())
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        cell = int(pdf["kcell"].iloc[0])
-        close = np.triu(x @ x.T >= cosine, 1)
-        if not pdf["diagonal"].iloc[0]:
-            part = pdf["part"].to_numpy()
-            close &= part[:, None] != part[None, :]
-        a, b = np.nonzero(close)
-        first = np.empty(len(a), bool)
-        for k in range(0, len(a), 100_000):
-            mine, other = visited[a[k : k + 100_000]], visited[b[k : k + 100_000]]
-            both = (mine[:, :, None] == other[:, None, :]).any(2) & (mine >= 0)
-            first[k : k + 100_000] = np.where(both, mine, 1 << 40).min(1) == cell
-        a, b = a[first], b[first]
-        links = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
-        root = local_roots(len(ids), a, b)
+        # The cells before this one that each vector is in, as bits.
+        inside = np.zeros((n, cell), bool)
+        lens = pdf["kcells"].map(len).to_numpy()
+        row, at = np.repeat(np.arange(n), lens), np.concatenate(pdf["kcells"].to_list())
+        inside[row[at < cell], at[at < cell]] = True
+        before = np.packbits(inside, axis=1)
+        last = n if diagonal else int((pdf["part"] == 0).sum())
+        links, root = np.zeros(n), np.arange(n)
+        step = max(1, (1 << 20) // n)
+        for i in range(0, last, step):
+            base = i if diagonal else last
+            close = x[i : min(i + step, last)] @ x[base:].T >= cosine
+            a, b = np.nonzero(np.triu(close, 1) if diagonal else close)
+            a, b = a + i, b + base
+            if cell:
+                first = np.ones(len(a), bool)
+                for k in range(0, len(a), 100_000):
+                    first[k : k + 100_000] = ~(before[a[k : k + 100_000]] & before[b[k : k + 100_000]]).any(1)
+                a, b = a[first], b[first]
+            links += np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
+            apart = root[a] != root[b]
+            if apart.any():
+                root = local_roots(n, root[a[apart]], root[b[apart]])[root]
         some = links > 0
         return pd.DataFrame({"id": ids[some], "links": links[some].astype(np.int64), "root": ids[root][some]})
 

@@ -1,6 +1,6 @@
 import numpy as np
 
-from phyllon.llm.embedding_dedup import near_duplicates
+from phyllon.llm.embedding_dedup import merged_cells, near_duplicates
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -55,3 +55,25 @@ def test_recall_with_few_probes(spark):
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert near_duplicates(spark.createDataFrame([(1, None)], SCHEMA)).collect() == [(1, 0, 1, True)]
+
+
+def test_no_link_is_lost_in_a_large_group(spark):
+    """A third of the vectors are near copies of one centre and draw many centroids: more than `probes` cells are allowed."""
+    rng = np.random.default_rng(2)
+    n, centre = 24_000, rng.normal(size=64)
+    x = np.vstack([centre + rng.normal(0, 0.17, (n // 3, 64)), rng.normal(size=(n - n // 3, 64))]).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA).repartition(4)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.concatenate([(x[a : a + 1000] @ x.T >= 0.95).sum(1) for a in range(0, n, 1000)]) - 1
+    assert want.sum() > 1_000_000
+    got = {r["vec_id"]: r["n_links"] for r in near_duplicates(df).collect()}
+    assert np.array_equal([got[i] for i in range(n)], want)
+
+
+def test_cells_of_a_blur_are_merged():
+    """Groups that no vector lies between keep cells of their own; centroids that all vectors of a group may meet at don't."""
+    allowed = np.zeros((300, 30), bool)
+    for g in range(3):
+        allowed[g * 100 : g * 100 + 100, g * 10 : g * 10 + 10] = True
+    assert np.array_equal(merged_cells(allowed, 8), np.repeat([0, 1, 2], 10))
+    assert not merged_cells(np.ones((50, 20), bool), 64).any()
