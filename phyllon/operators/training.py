@@ -58,32 +58,42 @@ def model_meta(metrics: DataFrame, report: DataFrame) -> DataFrame:
     return history.join(best, "crop", "left").join(report, "crop", "left")
 
 
-def train_heads(samples: DataFrame, epochs: int = 15, high: float = 3e-4, low: float = 1e-6, decay: float = 1e-4, eps: float = 0.1) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], list[dict]]:
+def train_heads(samples: DataFrame, epochs: int | dict[str, int] = 15, high: float = 3e-4, low: float = 1e-6, decay: float = 1e-4, eps: float = 0.1) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], list[dict]]:
     """A linear head for each crop of samples (crop, features, class_idx, n_classes, split): weights and bias, and the epoch history.
 
-    Full-batch AdamW with label smoothing and a cosine-annealed rate. In each epoch one job gives every crop's gradient and metrics:
+    Full-batch AdamW with label smoothing and a rate that is cosine-annealed over the crop's epochs (one number, or one a crop).
+    In each pass one job gives the gradients and training metrics of every crop's epoch, and the other splits' metrics after the epoch before it:
     partitions add up their own (classes x features) sums, and the driver adds those and takes the step. Only such
-    sums reach the driver. samples should be a stored table.
+    sums reach the driver. A crop that is finished drops out of later passes. samples should be a stored table.
+
+    The weights are those after the epoch of the highest accuracy on `val`, the earliest of equal ones; the last epoch's if it's never over 0.
     """
     dims = samples.groupBy("crop").agg(F.max("n_classes").alias("k"), F.max(F.size("features")).alias("d")).collect()  # a row a crop
     heads = {r["crop"]: (np.zeros((r["d"], r["k"])), np.zeros(r["k"])) for r in dims}
     moments = {c: [np.zeros((w.shape[0] + 1, w.shape[1])) for _ in range(2)] for c, (w, _) in heads.items()}
+    last = {c: epochs[c] if isinstance(epochs, dict) else epochs for c in heads}
+    best: dict[str, tuple[float, tuple[np.ndarray, np.ndarray]]] = {}
     history: list[dict] = []
-    for epoch in range(1, epochs + 1):
+    for epoch in range(1, max(last.values(), default=0) + 2):
         now = samples.sparkSession.sparkContext.broadcast(heads)
-        sums = samples.select("crop", "features", "class_idx", "split").mapInPandas(_gradients(now, eps), "crop string, split string, n long, loss double, ok long, grad binary")
+        train = F.col("crop").isin([c for c, n in last.items() if epoch <= n])
+        judged = F.col("crop").isin([c for c, n in last.items() if 1 < epoch <= n + 1])
+        rows = samples.filter(F.when(F.col("split") == "train", train).otherwise(judged))
+        sums = rows.select("crop", "features", "class_idx", "split").mapInPandas(_gradients(now, eps), "crop string, split string, n long, loss double, ok long, grad binary")
         total: dict[tuple[str, str], list] = {}
         for r in sums.toLocalIterator():
             grad = np.frombuffer(bytes(r["grad"])).reshape(moments[r["crop"]][0].shape)
             t = total.setdefault((r["crop"], r["split"]), [0, 0.0, 0, 0.0])
             for i, v in enumerate((r["n"], r["loss"], r["ok"], grad)):
                 t[i] = t[i] + v
-        rate = low + (high - low) * (1 + math.cos(math.pi * (epoch - 1) / epochs)) / 2
-        heads = dict(heads)
+        before, heads = heads, dict(heads)
         for (crop, split), (n, loss, ok, grad) in sorted(total.items()):
-            history.append({"crop": crop, "epoch": epoch, "phase": split, "n": n, "loss": loss / n, "n_ok": ok})
+            history.append({"crop": crop, "epoch": epoch if split == "train" else epoch - 1, "phase": split, "n": n, "loss": loss / n, "n_ok": ok})
+            if split == "val" and ok / n > best.get(crop, (0.0,))[0]:
+                best[crop] = ok / n, before[crop]
             if split != "train":
                 continue
+            rate = low + (high - low) * (1 + math.cos(math.pi * (epoch - 1) / last[crop])) / 2
             m, v = moments[crop]
             m += 0.1 * (grad / n - m)
             v += 0.001 * ((grad / n) ** 2 - v)
@@ -91,7 +101,7 @@ def train_heads(samples: DataFrame, epochs: int = 15, high: float = 3e-4, low: f
             w, b = heads[crop]
             heads[crop] = (w * (1 - rate * decay) - step[:-1], b * (1 - rate * decay) - step[-1])
         now.unpersist()
-    return heads, history
+    return {c: best[c][1] if c in best else head for c, head in heads.items()}, history
 
 
 def _gradients(now, eps: float):
@@ -122,13 +132,17 @@ def _gradients(now, eps: float):
 def train_all(samples: DataFrame, config: DataFrame, **options) -> DataFrame:
     """(crop, status, error, epochs, best_val_acc) of every configured crop; a bad crop doesn't stop the others.
 
-    A crop is bad if it has no training rows, or features of different lengths, or class indices beyond its classes.
+    Each crop is trained for its epochs of config (crop, epochs), or all for those given as an option. A crop is bad if it
+    has no training rows, or features of different lengths, or class indices beyond its classes, or no epochs.
     """
     bad = F.when(F.min(F.size("features")) != F.max(F.size("features")), "features differ in length").when(F.max("class_idx") >= F.max("n_classes"), "class index out of range")
     checked = samples.groupBy("crop").agg(F.sum((F.col("split") == "train").cast("int")).alias("n"), bad.alias("error"))
-    rows = config.select("crop").join(checked, "crop", "left").withColumn("error", F.when(F.coalesce("n", F.lit(0)) == 0, "no training rows").otherwise(F.col("error")))
-    good = samples.join(F.broadcast(rows.filter("error is null").select("crop")), "crop", "left_semi")
-    _, history = train_heads(good, **options)
+    rows = config.select("crop", F.lit(options.pop("epochs")).alias("wanted") if "epochs" in options else F.col("epochs").alias("wanted")).join(checked, "crop", "left")
+    none = F.when(F.coalesce("n", F.lit(0)) == 0, "no training rows").when(F.coalesce("wanted", F.lit(0)) < 1, "no epochs")
+    rows = rows.withColumn("error", none.otherwise(F.col("error")))
+    fine = rows.filter("error is null")
+    good = samples.join(F.broadcast(fine.select("crop")), "crop", "left_semi")
+    _, history = train_heads(good, {r["crop"]: r["wanted"] for r in fine.select("crop", "wanted").collect()}, **options)  # a row a crop
     spark = samples.sparkSession
     made = spark.createDataFrame(pd.DataFrame(history, columns=["crop", "epoch", "phase", "n", "loss", "n_ok"]), "crop string, epoch int, phase string, n long, loss double, n_ok long")
     best = made.groupBy("crop").agg(F.max("epoch").alias("epochs"), F.max(F.when(F.col("phase") == "val", F.col("n_ok") * 100.0 / F.col("n"))).alias("best_val_acc"))

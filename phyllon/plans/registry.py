@@ -423,7 +423,7 @@ def model_meta(spark, d):
 @query()
 def train_all(spark, d):
     rows = dataset.train_val_split(X.samples(spark, d).select("sample_id", "crop", "features", "class_idx", "n_classes"))
-    return training.train_all(rows.cache(), X.config(spark), epochs=3)
+    return training.train_all(rows.cache(), X.config(spark))
 
 
 # Diagnoses

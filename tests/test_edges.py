@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from phyllon.functions import columns as C
 from phyllon.operators import cart, catalog, dataset, diagnosis, explain, pixels, regions, scoring, training
+from phyllon.plans import fixtures as X
+from phyllon.plans.registry import QUERIES
 
 
 def values(df, *columns):
@@ -136,6 +138,26 @@ def test_heads_learn_and_bad_crops_do_not_stop_others(spark):
     assert got["x"]["best_val_acc"] == 100.0 and got["none"]["error"] == "no training rows"
 
 
+def test_each_crop_is_trained_for_its_configured_epochs(spark):
+    rows = [(c, [1.0 if k else -1.0, 1.0], k, 2, split) for c in ("x", "y") for k in (0, 1) for split in ("train", "val")] + [("z", [1.0], 0, 2, "train")]
+    df = spark.createDataFrame(rows, "crop string, features array<double>, class_idx int, n_classes int, split string")
+    config = spark.createDataFrame([("x", 2), ("y", 5), ("z", None)], "crop string, epochs int")
+    got = {r["crop"]: r for r in training.train_all(df, config).collect()}
+    assert [(got[c]["status"], got[c]["epochs"], got[c]["error"]) for c in "xyz"] == [("ok", 2, None), ("ok", 5, None), ("failed", None, "no epochs")]
+    # Metrics on val are those after an epoch's step: one step is enough here, and zero weights call all rows class 0.
+    heads, history = training.train_heads(df.filter("crop <> 'z'"), {"x": 1, "y": 3})
+    assert sorted((h["crop"], h["epoch"], h["n_ok"]) for h in history if h["phase"] == "val") == [("x", 1, 2), ("y", 1, 2), ("y", 2, 2), ("y", 3, 2)]
+    assert sorted((h["crop"], h["epoch"]) for h in history if h["phase"] == "train") == [("x", 1), ("y", 1), ("y", 2), ("y", 3)]
+    # Epoch 1 is the first of the best: both crops keep their weights after the same first step.
+    assert all(np.allclose(a, b) for a, b in zip(heads["x"], heads["y"])) and heads["x"][0].any()
+
+
+def test_query_trains_for_the_configured_epochs(spark):
+    wanted = {c: n for c, _, _, n in X.CONFIG}
+    rows = QUERIES["train_all"](spark, "/root/testdata/sf0.001").filter("status = 'ok'").collect()
+    assert rows and all(r["epochs"] == wanted[r["crop"]] for r in rows)
+
+
 def test_disease_names(spark):
     know = spark.createDataFrame([(0, "Leaf Blight", "severe"), (1, "Rust", "odd")], "ord int, disease string, severity string")
     know = know.withColumns({"description": F.lit("d"), "causes": F.lit("c"), "remedies": F.expr("map('chemical', array('x', 'y'), 'prevention', array('z'))")})
