@@ -12,6 +12,10 @@ The suffixes of all documents are dealt out and compared as follows.
    pointers are used again for 16, 32 and 50 bytes. Only buckets of over one suffix are sorted again.
 4. A block gets back a bit for each window: whether a smaller doc_id has it. It merges what the windows cover.
 
+A q-gram in a frequent line lies in very many different runs. Blocks send the number of their distinct runs along, and the
+runs of a q-gram with more than a partition should hold are taken apart: each window is a run of its own, dealt by a hash of its
+bytes, so they spread over all partitions.
+
 Copies and common passages are pre-aggregated in their block, so a passage that a third of all documents holds reaches
 its partition once a block.
 """
@@ -181,6 +185,32 @@ def _distinct(h: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> tuple[np.ndarr
     return h[at], np.minimum.reduceat(i, at) != np.maximum.reduceat(i, at)
 
 
+def _runs(h: np.ndarray, found: tuple[np.ndarray, ...], raw: bytes, size: int) -> np.ndarray:
+    """How many different runs of a block have each of its sorted distinct hashes."""
+    of = np.searchsorted(h, found[0])
+    count = np.bincount(of, minlength=len(h))
+    many = np.flatnonzero(count[of] > 1)
+    texts = np.array([hash(raw[a : a + n + size - 1]) for a, n in zip(found[2][many].tolist(), found[3][many].tolist())], np.int64)
+    order = np.lexsort((texts, of[many]))
+    one, text = of[many][order], texts[order]
+    new = np.r_[True, (one[1:] != one[:-1]) | (text[1:] != text[:-1])][: len(one)]
+    return np.where(count > 1, np.bincount(one[new], minlength=len(h)), count).astype(np.int32)
+
+
+def _apart(found: tuple[np.ndarray, ...], hot: np.ndarray, data: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """The runs, with each hot one as runs of one window whose hash is that of all its bytes."""
+    n = np.where(hot, found[3], 1)
+    of = np.repeat(np.arange(len(n)), n)
+    h, doc, start, count = (x[of] for x in (*found[:3], np.where(hot, 1, found[3])))
+    start = start + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    at = start[hot[of]]
+    own = np.zeros(len(at), U)
+    for k in range(size):
+        own = own * U(_BASE) + data[at + k] + U(1)
+    h[hot[of]] = mixed(own)
+    return h, doc, start, count
+
+
 def _shares(h: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
     """Indices of h by partition, in order of h."""
     to = (h % U(parts)).astype(np.int64)
@@ -189,17 +219,20 @@ def _shares(h: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
     return [(p, order[edges[p] : edges[p + 1]]) for p in range(parts) if edges[p] < edges[p + 1]]
 
 
-def _needed(row, answers: dict[int, bytes], size: int, q: int, parts: int) -> tuple[tuple[np.ndarray, ...], list[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+def _needed(row, answers: dict[int, bytes], hots: dict[int, bytes], size: int, q: int, parts: int) -> tuple[tuple[np.ndarray, ...], list[tuple[int, list[bytes], np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
     """The runs of a block that can be repeated, the distinct ones by partition with the smallest id, and which one each run is."""
     ids, lens, data = _of(row)
     found = window_runs(data, lens, size, q)
     h, _ = _distinct(found[0], found[1], ids)
-    good = np.zeros(len(h), bool)
+    good, hot = np.zeros(len(h), bool), np.zeros(len(h), bool)
     for p, at in _shares(h, parts):
         if p in answers:
             good[at] = np.unpackbits(np.frombuffer(answers[p], np.uint8), count=len(at)).astype(bool)
+            hot[at] = np.unpackbits(np.frombuffer(hots[p], np.uint8), count=len(at)).astype(bool)
     keep = good[np.searchsorted(h, found[0])] if len(h) else np.zeros(0, bool)
     found = tuple(x[keep] for x in found)
+    if hot.any():
+        found = _apart(found, hot[np.searchsorted(h, found[0])], data, size)
     raw = bytes(row.data)
     number, which = {}, np.empty(len(found[0]), np.int64)
     for k, (a, n) in enumerate(zip(found[2].tolist(), found[3].tolist())):
@@ -224,6 +257,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, q: int = 20, block_bytes: in
     bounded_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
+    most_runs = max(1, part_bytes // 300)  # of one q-gram: refinement takes some 5 kB for a run
     # Spark joins with the bucketed table without moving it if it has no fewer buckets than shuffles have partitions.
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (6 * block_bytes)))
     name = f"blocks_{uuid.uuid4().hex}"
@@ -236,26 +270,28 @@ def remove_repeats(docs: DataFrame, size: int = 50, q: int = 20, block_bytes: in
                 ids, lens, data = _of(row)
                 found = window_runs(data, lens, size, q)
                 h, several = _distinct(found[0], found[1], ids)
-                yield pd.DataFrame([(p, row.block, h[at].tobytes(), np.packbits(several[at]).tobytes()) for p, at in _shares(h, parts)], columns=["p", "block", "h", "several"])
+                runs = _runs(h, found, bytes(row.data), size)
+                yield pd.DataFrame([(p, row.block, h[at].tobytes(), np.packbits(several[at]).tobytes(), runs[at].tobytes()) for p, at in _shares(h, parts)], columns=["p", "block", "h", "several", "runs"])
 
     def shared(pdf: pd.DataFrame) -> pd.DataFrame:
         hs = [np.frombuffer(x, U) for x in pdf["h"]]
         several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)) for x, h in zip(pdf["several"], hs)]).astype(bool)
         _, back, count = np.unique(np.concatenate(hs), return_inverse=True, return_counts=True)
         both = (count > 1) | (np.bincount(back, several, len(count)) > 0)
+        hot = np.bincount(back, np.concatenate([np.frombuffer(x, np.int32) for x in pdf["runs"]]), len(count)) > most_runs
         edges = np.cumsum([len(h) for h in hs])[:-1]
-        return pd.DataFrame({"block": pdf["block"], "p": pdf["p"], "bits": [np.packbits(x).tobytes() for x in np.split(both[back], edges)]})
+        return pd.DataFrame({"block": pdf["block"], "p": pdf["p"], **{c: [np.packbits(x).tobytes() for x in np.split(a[back], edges)] for c, a in (("bits", both), ("hot", hot))}})
 
     def gathered(answers: DataFrame) -> DataFrame:
-        return answers.groupBy("block").agg(F.collect_list(F.struct("p", "bits")).alias("answers"))
+        return answers.groupBy("block").agg(F.collect_list(F.struct("p", *answers.columns[2:])).alias("answers"))
 
-    sent = blocks.mapInPandas(grams, "p int, block long, h binary, several binary")
-    grams_back = written(sent.groupBy("p").applyInPandas(shared, "block long, p int, bits binary"), "grams")
+    sent = blocks.mapInPandas(grams, "p int, block long, h binary, several binary, runs binary")
+    grams_back = written(sent.groupBy("p").applyInPandas(shared, "block long, p int, bits binary, hot binary"), "grams")
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
-                _, shares, _, _ = _needed(row, _answers(row.answers), size, q, parts)
+                _, shares, _, _ = _needed(row, _answers(row.answers), _answers(row.answers, "hot"), size, q, parts)
                 yield pd.DataFrame([(p, row.block, np.array([len(x) for x in texts], np.int32).tobytes(), b"".join(texts), least.tobytes(), h.tobytes()) for p, texts, least, h, _ in shares], columns=["p", "block", "lens", "data", "least", "h"])
 
     def smaller(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -304,7 +340,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, q: int = 20, block_bytes: in
                 nulls = np.frombuffer(row.nulls, bool)
                 gone = np.zeros(len(data) + 1, np.int32)
                 if row.pieces is not None:
-                    (_, doc, start, count), shares, least, which = _needed(row, _answers(row.answers), size, q, parts)
+                    (_, doc, start, count), shares, least, which = _needed(row, _answers(row.answers), _answers(row.answers, "hot"), size, q, parts)
                     answers = _answers(row.pieces)
                     n = np.zeros(len(least), np.int64)
                     n[which] = count
@@ -331,6 +367,6 @@ def remove_repeats(docs: DataFrame, size: int = 50, q: int = 20, block_bytes: in
     return blocks.join(answers, "block", "left").mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def _answers(rows) -> dict[int, bytes]:
-    return {} if rows is None else {x["p"]: bytes(x["bits"]) for x in rows}
+def _answers(rows, name: str = "bits") -> dict[int, bytes]:
+    return {} if rows is None else {x["p"]: bytes(x[name]) for x in rows}
 

@@ -1,8 +1,10 @@
 import hashlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 
+from phyllon.llm.common import shared_dir
 from phyllon.llm.suffix_dedup import NONE, refine, remove_repeats
 
 SCHEMA = "doc_id long, text string"
@@ -59,3 +61,18 @@ def test_refinement():
         for j in range(i):
             if pointer[i] >= 0 and pointer[j] >= 0:
                 assert (pointer[i] == pointer[j]) == (text[i : i + 50] == text[j : j + 50])
+
+
+def test_a_frequent_line_is_not_one_group(spark):
+    """A line of 90 bytes in all documents, with differing neighbours: its windows are dealt to all partitions."""
+    rng = np.random.default_rng(5)
+    noise = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    line = noise(90)
+    rows = [(i, noise(60) + line + noise(60)) for i in range(1500)]
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    old = set(folder.glob("pieces-*"))
+    got = remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(4), block_bytes=40_000, part_bytes=20_000).drop("kept").collect()
+    assert sorted(str(tuple(r)) for r in got) == brute(rows)
+    back = spark.read.parquet(*(f"file://{p}" for p in set(folder.glob("pieces-*")) - old)).selectExpr("p", "length(bits) AS n").groupBy("p").sum("n").collect()
+    windows = [r[1] for r in back]
+    assert len(windows) > 12 and max(windows) < 0.3 * sum(windows)
