@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from phyllon.llm.bpe import encode_column
 from phyllon.llm.common import table, written
@@ -23,10 +24,22 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays. Of repeated rows one stays."""
+    """Of each group of near-duplicates the document with the smallest id stays. Of repeated rows (same id and text) one stays.
+
+    Rows with one id and different texts are documents of their own; of near-duplicates among them one stays.
+    """
     docs = docs.select(COLUMNS)
-    gone = jaccard_join(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        gone = jaccard_join(docs).filter(~F.col("kept")).select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    # Ids don't tell rows apart: they are numbered in the order of id and text.
+    unique = docs.withColumn("digest", F.sha2("text", 256)).dropDuplicates(["doc_id", "digest"]).repartitionByRange("doc_id", "digest")
+    ranged = written(unique.withColumn("part", F.spark_partition_id()), "unique")
+    place = F.row_number().over(W.partitionBy("part").orderBy("doc_id", "digest"))
+    number = F.shiftleft(F.col("part").cast("long"), 40) + place
+    rows = written(ranged.withColumn("number", number).withColumn("number", F.when(F.col("doc_id").isNotNull(), F.col("number"))), "numbered")
+    gone = jaccard_join(rows.select(F.col("number").alias("doc_id"), "text")).filter(~F.col("kept")).select(F.col("doc_id").alias("number"))
+    return rows.join(gone, "number", "left_anti").select(COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,3 +69,12 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert P.run(spark, str(tmp_path)).collect() == []
+
+
+def test_repeated_rows_and_ids(spark):
+    """Of repeated rows one stays; a row goes for its own text, not for another's with the same id."""
+    text = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    rows = [(1, text("a")), (1, text("a")), (5, text("a") + " end"), (5, text("b")), (7, text("b") + " end"), (8, text("c")), (8, text("c") + " end"), (9, None), (9, None), (None, text("a")), (None, text("a"))]
+    df = spark.createDataFrame([(i, t, "en", "s", t and len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"] and r["text"][0]) for r in P.one_of_each_group(spark, df.repartition(3), "").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, "a"), (5, "b"), (8, "c"), (9, None), (None, "a")]))
