@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -30,25 +30,40 @@ def byte_letters() -> dict[str, int]:
 
 @dataclass
 class Encoder:
-    """tokens: the bytes of each id; merges: (left id, right id, new id) in order of rank; special: text to id."""
+    """tokens: the bytes of each id; merges: (left id, right id, new id) in order of rank; special: text to id.
+
+    keep bounds what is remembered, for speed only: the ids of at most 2 * keep cuts and the verdicts on 8 * keep pairs.
+    """
 
     tokens: list[bytes]
     merges: list[tuple[int, int, int]]
     special: dict[str, int]
-    keep: int = 100_000
+    keep: int = 250_000
 
     @staticmethod
     def of(vocabulary: str) -> Encoder:
-        """From the text of a byte-level vocabulary file."""
+        """From the text of a byte-level vocabulary file; ValueError where the file asks for what this encoder doesn't do."""
         spec = json.loads(vocabulary)
-        vocab, letters = spec["model"]["vocab"], byte_letters()
+        model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+        fine = {
+            "model.type": model.get("type", "BPE") == "BPE",
+            "normalizer": not spec.get("normalizer"),
+            "pre_tokenizer": cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True),
+            "decoder": (spec.get("decoder") or {}).get("type") == "ByteLevel",
+            "added_tokens": not any(x.get(flag) for x in spec.get("added_tokens", []) for flag in ("single_word", "lstrip", "rstrip", "normalized")),
+            **{f"model.{x}": not model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")},
+        }
+        if not all(fine.values()):
+            raise ValueError(f"not a plain byte-level BPE vocabulary: {', '.join(k for k, ok in fine.items() if not ok)}")
+        vocab, letters = model["vocab"], byte_letters()
         special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         tokens = [b""] * (max([*vocab.values(), *special.values()]) + 1)
         for t, i in vocab.items():
-            tokens[i] = bytes(letters[c] for c in t)
+            if t not in special:
+                tokens[i] = bytes(letters[c] for c in t)
         for t, i in special.items():
             tokens[i] = t.encode()
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         return Encoder(tokens, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], special)
 
     def __getstate__(self):
@@ -83,7 +98,12 @@ class Encoder:
         return out
 
     @cached_property
-    def _compatible(self) -> dict[tuple[int, int], bool]:
+    def _lens(self) -> list[int]:
+        return list(map(len, self.tokens))
+
+    @cached_property
+    def _compatible(self) -> dict[int, bool]:
+        """The pair-compatibility table, as far as it was asked for: left << 32 | right to the verdict."""
         return {}
 
     def _fits(self, left: int, right: int) -> bool:
@@ -110,46 +130,81 @@ class Encoder:
                 limit = rb + 1
                 b = split[b][0]
 
-    def merge_exact(self, word: bytes) -> list[int]:
-        """The ids of one cut: the longest match at each place, with steps back where a pair can't stand."""
-        n = len(word)
-        longest = [-1] * n
-        for end, i in self._matcher.iter(word.decode("latin-1")):
-            start = end + 1 - len(self.tokens[i])
-            if longest[start] < 0 or len(self.tokens[longest[start]]) < len(self.tokens[i]):
-                longest[start] = i
+    def _verdict(self, pair: int) -> bool:
+        table = self._compatible
+        if (ok := table.get(pair)) is None:
+            if len(table) > 8 * self.keep:
+                table.clear()
+            ok = table[pair] = self._fits(pair >> 32, pair & 0xFFFFFFFF)
+        return ok
+
+    def merge_exact(self, word: str, out: list[int] | None = None) -> list[int]:
+        """The ids of one cut (its bytes as Latin-1 letters): the longest match at each place, with steps back where a pair can't stand.
+
+        out: the first tokens, where they are known to be longest matches that can stand side by side.
+        """
+        n, lens, shorter = len(word), self._lens, self._shorter
+        table, verdict = self._compatible, self._verdict
+        longest, length = [-1] * n, [0] * n
+        for end, i in self._matcher.iter(word):
+            size = lens[i]
+            start = end + 1 - size
+            if length[start] < size:
+                longest[start], length[start] = i, size
         open_ = bytearray(b"\x01") * (n + 1)  # places from which the rest may still be encoded
-        out: list[int] = []
-        at, token = 0, longest[0] if n else -1
-        shorter, known = self._shorter, self._compatible
+        out = out or []
+        at = sum(map(lens.__getitem__, out))
+        token = longest[at] if at < n else -1
         while at < n:
             while token >= 0:
-                end = at + len(self.tokens[token])
-                if open_[end]:
+                if open_[at + lens[token]]:
                     if not out:
                         break
-                    pair = (out[-1], token)
-                    ok = known.get(pair)
-                    if ok is None:
-                        if len(known) > self.keep:
-                            known.clear()
-                        ok = known[pair] = self._fits(*pair)
-                    if ok:
+                    pair = out[-1] << 32 | token
+                    ok = table.get(pair)
+                    if ok or ok is None and verdict(pair):
                         break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at = end
+                at += lens[token]
                 token = longest[at] if at < n else -1
             else:
                 open_[at] = 0
                 if not out:
                     raise ValueError("the vocabulary does not cover all bytes")
                 token = out.pop()
-                at -= len(self.tokens[token])
+                at -= lens[token]
                 token = shorter[token]
         return out
 
+    def merge_all(self, cuts: list[str]) -> list[bytes]:
+        """The ids (int32) of many cuts: one pass of the automaton tiles them all with longest matches, whose pairs are then looked up.
+
+        Only cuts with a pair that can't stand are encoded with steps back, from that pair on.
+        """
+        words = [c.encode().decode("latin-1") for c in cuts]
+        joined = "\u0100".join(words)  # no token holds this letter, so no match goes over it
+        found = np.fromiter(self._matcher.iter_long(joined), dtype="i8, i8")
+        ends, ids = found["f0"], found["f1"].astype(np.int32)
+        stops = np.cumsum([len(w) + 1 for w in words])
+        edges = np.r_[0, np.searchsorted(ends, stops, "left")]
+        if np.asarray(self._lens)[ids].sum() != stops[-1] - len(words):
+            raise ValueError("the vocabulary does not cover all bytes")
+        pair = ids[:-1].astype(np.int64) << 32 | ids[1:]
+        inner = np.ones(len(pair), bool)
+        inner[edges[1:-1] - 1] = False  # the last token of a cut and the first one of the next
+        at = np.flatnonzero(inner)
+        known, back = np.unique(pair[at], return_inverse=True)
+        bad = at[~np.fromiter(map(self._verdict, known.tolist()), bool, len(known))[back]]
+        raw = ids.tobytes()
+        out = [raw[4 * a : 4 * b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
+        of = np.searchsorted(edges, bad, "right") - 1
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]][: len(of)])
+        for k, end in zip(of[first].tolist(), bad[first].tolist()):
+            out[k] = np.array(self.merge_exact(words[k], ids[edges[k] : end + 1].tolist()), np.int32).tobytes()
+        return out
+
     @cached_property
     def _cuts(self):
         return regex.compile(SPLIT)
@@ -159,34 +214,58 @@ class Encoder:
         return regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     @cached_property
-    def _words(self) -> dict[str, np.ndarray]:
-        return {}
+    def _words(self) -> list[dict[str, bytes]]:
+        """The cuts seen lately and those seen before them; when the first is full it takes the second's place."""
+        return [{}, {}]
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text. Special tokens in it are found first and stand for themselves."""
-        parts, at = [], 0
-        for m in self._specials.finditer(text) if self._specials else ():
-            self._plain(text[at : m.start()], parts)
-            parts.append(np.array([self.special[m[0]]], np.int32).tobytes())
-            at = m.end()
-        self._plain(text[at:] if at else text, parts)
-        return np.frombuffer(b"".join(parts), np.int32)
-
-    def _plain(self, text: str, parts: list[bytes]) -> None:
-        words = self._words
-        cuts = self._cuts.findall(text)
-        ids = list(map(words.get, cuts))
-        if None in ids:
-            if len(words) > self.keep:
-                words.clear()
-            for k, cut in enumerate(cuts):
-                if ids[k] is None and (found := words.get(cut)) is not None:
-                    ids[k] = found
-                elif ids[k] is None:
-                    ids[k] = np.array(self.merge_exact(cut.encode()), np.int32).tobytes()
-                    if len(cut) <= 64:
-                        words[cut] = ids[k]
-        parts += ids
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str], chars: int = 1 << 20) -> Iterator[np.ndarray]:
+        """The ids of each text; some texts at a time, so that their new cuts are merged together."""
+        waiting, size = [], 0
+        for text in texts:
+            waiting.append(text)
+            size += len(text)
+            if size >= chars:
+                yield from self._encoded(waiting)
+                waiting, size = [], 0
+        yield from self._encoded(waiting)
+
+    def _encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if len(self._words[0]) > self.keep:
+            self._words[:] = {}, self._words[0]
+        new, old = self._words
+        each, places, lacking = [], [], {}
+        for text in texts:
+            parts: list[str | bytes] = []
+            at = 0
+            for m in self._specials.finditer(text) if self._specials else ():
+                parts += self._cuts.findall(text[at : m.start()])
+                parts.append(np.array([self.special[m[0]]], np.int32).tobytes())
+                at = m.end()
+            parts += self._cuts.findall(text[at:] if at else text)
+            ids = list(map(new.get, parts))
+            each.append(ids)
+            k = -1
+            for _ in range(ids.count(None)):
+                k = ids.index(None, k + 1)
+                cut = parts[k]
+                if isinstance(cut, bytes):
+                    ids[k] = cut
+                elif (found := old.get(cut)) is not None:
+                    ids[k] = new[cut] = found
+                else:
+                    lacking[cut] = b""
+                    places.append((ids, k, cut))
+        if lacking:
+            made = dict(zip(lacking, self.merge_all(list(lacking))))
+            new.update((c, x) for c, x in made.items() if len(c) <= 64)
+            for ids, k, cut in places:
+                ids[k] = made[cut]
+        for ids in each:
+            yield np.frombuffer(b"".join(ids), np.int32)
 
     @cached_property
     def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,7 +303,7 @@ def encode_column(docs: DataFrame, vocabulary: str, column: str = "text") -> Col
     @F.pandas_udf("array<int>")
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
-            yield pd.Series([shared.value.encode(t or "") for t in part])
+            yield pd.Series(list(shared.value.encode_all(t or "" for t in part)), dtype=object)
 
     return encode(column)
 
@@ -253,10 +332,8 @@ def encode_report(docs: DataFrame, vocabulary: str) -> DataFrame:
     def report(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = shared.value
         for part in texts:
-            rows = []
-            for text in part:
-                ids = coder.encode(text or "")
-                rows.append((len(ids), sha(coder.joined(ids)), sha(coder.decode(ids))))
+            coded = coder.encode_all(t or "" for t in part)
+            rows = [(len(ids), sha(coder.joined(ids)), sha(coder.decode(ids))) for ids in coded]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     kept = [c for c in docs.columns if c not in ("text", "n_tokens", "ids_sha256", "decoded_sha256")]

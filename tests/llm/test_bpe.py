@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -50,3 +51,32 @@ def test_round_trip(spark):
     back = coded.withColumn("again", decode_column(coded, PATH, "ids"))
     assert back.filter("coalesce(text, '') <> again").count() == 0
     assert encode_report(df.limit(0), PATH).collect() == []
+
+
+def test_small_caches_and_many_texts_at_once(both):
+    theirs, mine = both
+    small = Encoder(mine.tokens, mine.merges, mine.special, keep=3)
+    some = texts()[:400]
+    for ids, t in zip(small.encode_all(some, chars=500), some, strict=True):
+        assert ids.tolist() == theirs.encode(t, add_special_tokens=False).ids
+
+
+def test_texts_of_megabytes(both):
+    theirs, mine = both
+    for t in ("ab" * 2_500_000, "word and word " * 400_000, "=" * 3_000_000):
+        assert mine.encode(t).tolist() == theirs.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("change", [("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("model.ignore_merges", True), ("model.byte_fallback", True)])
+def test_other_kinds_of_vocabulary_are_refused(change):
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    *way, last = change[0].split(".")
+    (spec[way[0]] if way else spec)[last] = change[1]
+    with pytest.raises(ValueError, match=change[0]):
+        Encoder.of(json.dumps(spec))
+
+
+def test_extra_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 7), (1, "a b", "x", 7)], "doc_id long, text string, ids_sha256 string, n_tokens int")
+    rows = encode_report(df, PATH).collect()
+    assert [(r["doc_id"], r["n_tokens"]) for r in rows] == [(1, 2), (1, 2)] and len(rows[0]["ids_sha256"]) == 64
