@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from phyllon.operators.diagnosis import small
-
 
 def clamp_qty(df: DataFrame) -> DataFrame:
     return df.withColumn("qty", F.greatest(F.lit(1), F.coalesce("qty", F.lit(1))))
@@ -35,7 +33,7 @@ def cart_state(events: DataFrame) -> DataFrame:
 
 def line_totals(cart: DataFrame, products: DataFrame) -> DataFrame:
     """cart with the product's price, total and mrp_total (null unless the list price is over the price)."""
-    rows = cart.join(small(products.select("med_id", "price", "mrp")), "med_id")
+    rows = cart.join(products.select("med_id", "price", "mrp"), "med_id")
     return rows.withColumn("total", F.col("price") * F.col("qty")).withColumn("mrp_total", F.when(F.col("mrp") > F.col("price"), F.col("mrp") * F.col("qty")))
 
 
@@ -52,11 +50,22 @@ def checkout(totals: DataFrame) -> DataFrame:
     return totals.withColumn("delivery", delivery(F.col("total"))).withColumn("grand_total", F.col("total") + F.col("delivery"))
 
 
-def orders_from_events(events: DataFrame, products: DataFrame) -> DataFrame:
+def _order_no(events: DataFrame, span: int) -> DataFrame:
+    """events with order_no, the clears of the cart before the event, in two levels: clears by stretch of seq, and those within the stretch.
+
+    A window over the cart alone would put a cart of very many events in one task; a stretch has at most span values of seq.
+    """
+    rows = events.withColumn("_at", F.floor(F.col("seq") / span)).withColumn("_clear", (F.col("action") == "clear").cast("long"))
+    upto = W.partitionBy("cart_id").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    stretches = rows.groupBy("cart_id", "_at").agg(F.sum("_clear").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).drop("_n")
+    within = W.partitionBy("cart_id", "_at").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_own", F.coalesce(F.sum("_clear").over(within), F.lit(0))).join(stretches, ["cart_id", "_at"])
+    return rows.withColumn("order_no", F.col("_before") + F.col("_own")).drop("_at", "_clear", "_before", "_own")
+
+
+def orders_from_events(events: DataFrame, products: DataFrame, span: int = 1 << 16) -> DataFrame:
     """A row for each clear of a cart that wasn't empty: cart_id, order_no (clears so far), items and grand_total at that moment."""
-    before = W.partitionBy("cart_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    no = F.coalesce(F.sum((F.col("action") == "clear").cast("long")).over(before), F.lit(0))
-    sessions = events.withColumn("order_no", no)
+    sessions = _order_no(events, span)
     closed = sessions.filter("action = 'clear'").select("cart_id", "order_no")
     lines = line_totals(_live(sessions, ["cart_id", "order_no"]), products).join(closed, ["cart_id", "order_no"])
     totals = lines.groupBy("cart_id", "order_no").agg(F.sum("total").alias("total"), F.sum("qty").alias("items"))

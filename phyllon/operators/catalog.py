@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from phyllon.functions.columns import discount_pct, stars
 
@@ -16,13 +17,14 @@ ORDERS = {
     "effectiveness": ("effectiveness desc",),
 }
 
-#: Presets by name: type, disease and order. The price and effectiveness presets only order.
-PRESETS = {
+#: Presets by name: type, disease and order; None leaves a setting as it is. The price and effectiveness presets only order.
+PRESETS: dict[str, tuple[str | None, str | None, str]] = {
+    "all_products": (None, None, "featured"),
+    "fungicides": ("chemical", None, "featured"),
+    "bactericides": (None, "Bacterial Spot", "featured"),
     "organic": ("organic", None, "featured"),
     "budget": (None, None, "price_asc"),
     "premium": (None, None, "effectiveness"),
-    "top_rated": (None, None, "rating"),
-    "blight": (None, "Leaf Blight", "effectiveness"),
 }
 
 
@@ -60,17 +62,42 @@ def sort_products(df: DataFrame, mode: str, page: int | None = None) -> DataFram
     return out if page is None else out.limit(page)
 
 
-def with_rank(df: DataFrame, mode: str) -> DataFrame:
-    """df with rank (from 1) in that order: ranges are sorted apart and numbered from their counts, so no task sorts all."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order_of(mode)).withColumn("_part", F.spark_partition_id())
-    from pyspark.sql import Window as W
+def _order_struct(mode: str) -> Column:
+    """order_of as one struct that grows: nulls where order_of has them, descending numbers negated."""
+    parts = []
+    for k, (c, way) in enumerate([*map(str.split, ORDERS.get(mode, ())), ("ord", "asc")]):
+        down = way == "desc"
+        parts += [(F.col(c).isNull() if down else F.col(c).isNotNull()).alias(f"n{k}"), (-F.col(c).cast("double") if down else F.col(c)).alias(f"k{k}")]
+    return F.struct(*parts)
+
+
+def _range_of(key: Column, bounds: list[Column]) -> Column:
+    """How many of the sorted bounds are at most key, by bisection: about log2 of their number of comparisons a row."""
+    if not bounds:
+        return F.lit(0)
+    rows, n = F.array(*bounds), len(bounds)
+    widths = F.array(*(F.lit(1 << k) for k in reversed(range(n.bit_length()))))
+    return F.aggregate(widths, F.lit(0), lambda lo, w: F.when((lo + w <= n) & (F.get(rows, lo + w - 1) <= key), lo + w).otherwise(lo))
 
-    ranged = ranged.withColumn("_row", F.row_number().over(W.partitionBy("_part").orderBy(*order_of(mode))))
+
+def with_rank(df: DataFrame, mode: str) -> DataFrame:
+    """df with rank (from 1) in that order: ranges are sorted apart and numbered from their counts, so no task sorts all.
+
+    The ranges' bounds are keys of a sample of about 64 rows a shuffle partition. They are fixed before rows are dealt, so rows and
+    counts always mean the same ranges; the sample decides how even the ranges are, never the ranks.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("_key", _order_struct(mode))
+    keys = keyed.select("_key").sample(min(1.0, 64 * parts / max(1, df.count())), seed=7).orderBy("_key")
+    kinds = keys.schema["_key"].dataType.fields
+    sample = [r[0] for r in keys.collect()]  # bounded by the number of partitions
+    every = max(1, len(sample) // parts)
+    bounds = [F.struct(*(F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(key, kinds))) for key in sample[every::every]]
+    ranged = keyed.withColumn("_part", _range_of(F.col("_key"), bounds))
+    ranged = ranged.withColumn("_row", F.row_number().over(W.partitionBy("_part").orderBy("_key")))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row a range
-    return ranged.join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + F.col("_row")).drop("_part", "_row", "_before")
+    return ranged.join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + F.col("_row")).drop("_part", "_row", "_before", "_key")
 
 
 def disease_facet(df: DataFrame) -> DataFrame:
@@ -98,9 +125,9 @@ def shelf(ids: list[int], products: DataFrame) -> DataFrame:
     return products.filter(F.col("med_id").isin(ids)).withColumn("position", order)
 
 
-def apply_preset(df: DataFrame, name: str) -> DataFrame:
-    """The preset's rows with their rank in its order."""
-    kind, disease, mode = PRESETS[name]
+def apply_preset(df: DataFrame, name: str, presets: dict[str, tuple[str | None, str | None, str]] = PRESETS) -> DataFrame:
+    """The preset's rows with their rank in its order; presets are (type, disease, order) by name."""
+    kind, disease, mode = presets[name]
     return with_rank(filter_disease(filter_type(df, kind), disease), mode)
 
 

@@ -96,7 +96,7 @@ def _with_data(df: DataFrame, fn) -> DataFrame:
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [np.clip(np.floor(fn(x, row) + 0.5), 0, 255).astype(np.uint8) for x, row in zip(_arrays(pdf), pdf.itertuples())]
+            out = [np.clip(np.floor(np.round(fn(x, row), 6) + 0.5), 0, 255).astype(np.uint8) for x, row in zip(_arrays(pdf), pdf.itertuples())]
             yield pdf.assign(data=[x.tobytes() for x in out], height=[x.shape[0] for x in out], width=[x.shape[1] for x in out])
 
     return df.mapInPandas(each, df.schema)
@@ -149,29 +149,68 @@ def image_tensor(df: DataFrame) -> DataFrame:
     return df.mapInPandas(each, f"{schema}, tensor array<float>")
 
 
-def augment_array(x: np.ndarray, rng: np.random.Generator, crop: int) -> np.ndarray:
-    """Random crop, flips, rotation of up to 30 degrees, brightness, contrast and saturation, sometimes grey."""
+def prepare(df: DataFrame, height: int = 224, width: int = 224, above: float = 0.04) -> DataFrame:
+    """df (height, width, data) to is_leaf and features (the normalised tensor of the resized image) instead, in one pass; data is dropped."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a in range(0, len(pdf), 64):  # tensors are large
+                part = pdf.iloc[a : a + 64]
+                leaf, out = [], []
+                for x in _arrays(part):
+                    leaf.append(bool(in_range_array(x, LEAF).mean() > above))
+                    level = np.clip(np.floor(np.round(resize_array(x, height, width), 6) + 0.5), 0, 255)
+                    out.append(np.moveaxis((level / 255.0 - MEAN) / STD, 2, 0).astype(np.float32).ravel())
+                yield part.drop(columns=["height", "width", "data"]).assign(is_leaf=leaf, features=out)
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c not in ("height", "width", "data"))
+    return df.mapInPandas(each, f"{schema}, is_leaf boolean, features array<float>")
+
+
+def _shift_hue(x: np.ndarray, turn: float) -> np.ndarray:
+    """x with each pixel's hue turned by that part of a circle; value and saturation stay."""
+    top, spread = x.max(-1), x.max(-1) - x.min(-1)
+    r, g, b = np.moveaxis(x, -1, 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sixth = np.select([spread == 0, top == r, top == g], [0, (g - b) / spread, (b - r) / spread + 2], (r - g) / spread + 4)
+    sixth = (sixth + 6 * turn) % 6
+    # A channel is at the top within a sixth of its own hue on both sides, and falls to the bottom over the next one.
+    near = lambda at: np.clip(2 - np.abs((sixth - at + 3) % 6 - 3), 0, 1)
+    return (top - spread)[..., None] + spread[..., None] * np.stack([near(0), near(2), near(4)], -1)
+
+
+def augment_array(
+    x: np.ndarray, rng: np.random.Generator, crop: int, flip: float = 0.5, upside: float = 0.2, turn: float = 30, brightness: float = 0.3, contrast: float = 0.3, saturation: float = 0.25, hue: float = 0.05, grey: float = 0.05
+) -> np.ndarray:
+    """Random crop, flips (their probabilities), rotation of up to `turn` degrees (nearest pixel, black outside), then jitter, sometimes grey.
+
+    Jitter is in the order brightness, contrast, saturation (factors between 1 - range and 1 + range) and hue (a turn of up to its range);
+    levels are clipped after each.
+    """
     crop = min(crop, *x.shape[:2])
     top, left = (int(rng.integers(0, n - crop + 1)) for n in x.shape[:2])
     x = x[top : top + crop, left : left + crop].astype(np.float64)
-    if rng.random() < 0.5:
+    if rng.random() < flip:
         x = x[:, ::-1]
-    if rng.random() < 0.2:
+    if rng.random() < upside:
         x = x[::-1]
-    a = np.deg2rad(rng.uniform(-30, 30))
+    a = np.deg2rad(rng.uniform(-turn, turn))
     mid = (crop - 1) / 2
     yy, xx = np.mgrid[:crop, :crop] - mid
     sy, sx = np.rint(np.cos(a) * yy + np.sin(a) * xx + mid).astype(int), np.rint(np.cos(a) * xx - np.sin(a) * yy + mid).astype(int)
     ok = (sy >= 0) & (sy < crop) & (sx >= 0) & (sx < crop)
     x = np.where(ok[..., None], x[np.clip(sy, 0, crop - 1), np.clip(sx, 0, crop - 1)], 0)
-    bright, contrast, colour = rng.uniform(0.8, 1.2, 3)
-    x = x * bright
-    x = (x - x.mean()) * contrast + x.mean()
-    grey = x @ np.array([0.299, 0.587, 0.114])
-    x = (x - grey[..., None]) * colour + grey[..., None]
-    return np.repeat(grey[..., None], 3, 2) if rng.random() < 0.05 else x
-
-
-def augment(df: DataFrame, epoch: int, seed: int = 42, crop: int = 224) -> DataFrame:
-    """Seeded by (image_id, epoch, seed), so a task that runs again gives the same images."""
-    return _with_data(df, lambda x, row: augment_array(x, np.random.default_rng([int(row.image_id) & 0xFFFFFFFF, epoch, seed]), crop))
+    luma = np.array([0.299, 0.587, 0.114])
+    bright, steep, colour = (rng.uniform(1 - r, 1 + r) for r in (brightness, contrast, saturation))
+    x = np.clip(x * bright, 0, 255)
+    mean = (x @ luma).mean()
+    x = np.clip((x - mean) * steep + mean, 0, 255)
+    own = (x @ luma)[..., None]
+    x = np.clip((x - own) * colour + own, 0, 255)
+    x = np.clip(_shift_hue(x, rng.uniform(-hue, hue)), 0, 255)
+    return np.repeat((x @ luma)[..., None], 3, 2) if rng.random() < grey else x
+
+
+def augment(df: DataFrame, epoch: int, seed: int = 42, crop: int = 224, **ranges: float) -> DataFrame:
+    """Seeded by (image_id, epoch, seed), so a task that runs again gives the same images. ranges: see augment_array."""
+    return _with_data(df, lambda x, row: augment_array(x, np.random.default_rng([int(row.image_id) & 0xFFFFFFFF, epoch, seed]), crop, **ranges))

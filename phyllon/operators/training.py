@@ -129,21 +129,34 @@ def _gradients(now, eps: float):
     return each
 
 
-def train_all(samples: DataFrame, config: DataFrame, **options) -> DataFrame:
-    """(crop, status, error, epochs, best_val_acc) of every configured crop; a bad crop doesn't stop the others.
+def trainable_crops(samples: DataFrame, config: DataFrame, epochs: int | None = None) -> DataFrame:
+    """(crop, status, error, wanted) of every configured crop: wanted epochs, and what keeps it from being trained.
 
-    Each crop is trained for its epochs of config (crop, epochs), or all for those given as an option. A crop is bad if it
-    has no training rows, or features of different lengths, or class indices beyond its classes, or no epochs.
+    A crop fails if it has no training rows, or features of different lengths, or class indices beyond its classes, or no epochs.
     """
     bad = F.when(F.min(F.size("features")) != F.max(F.size("features")), "features differ in length").when(F.max("class_idx") >= F.max("n_classes"), "class index out of range")
     checked = samples.groupBy("crop").agg(F.sum((F.col("split") == "train").cast("int")).alias("n"), bad.alias("error"))
-    rows = config.select("crop", F.lit(options.pop("epochs")).alias("wanted") if "epochs" in options else F.col("epochs").alias("wanted")).join(checked, "crop", "left")
+    rows = config.select("crop", (F.col("epochs") if epochs is None else F.lit(epochs)).alias("wanted")).join(checked, "crop", "left")
     none = F.when(F.coalesce("n", F.lit(0)) == 0, "no training rows").when(F.coalesce("wanted", F.lit(0)) < 1, "no epochs")
     rows = rows.withColumn("error", none.otherwise(F.col("error")))
-    fine = rows.filter("error is null")
-    good = samples.join(F.broadcast(fine.select("crop")), "crop", "left_semi")
-    _, history = train_heads(good, {r["crop"]: r["wanted"] for r in fine.select("crop", "wanted").collect()}, **options)  # a row a crop
-    spark = samples.sparkSession
-    made = spark.createDataFrame(pd.DataFrame(history, columns=["crop", "epoch", "phase", "n", "loss", "n_ok"]), "crop string, epoch int, phase string, n long, loss double, n_ok long")
-    best = made.groupBy("crop").agg(F.max("epoch").alias("epochs"), F.max(F.when(F.col("phase") == "val", F.col("n_ok") * 100.0 / F.col("n"))).alias("best_val_acc"))
-    return rows.join(best, "crop", "left").select("crop", F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status"), "error", "epochs", "best_val_acc")
+    return rows.select("crop", F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status"), "error", "wanted")
+
+
+def train_all(samples: DataFrame, config: DataFrame, epochs: int | None = None, **options) -> DataFrame:
+    """(crop, status, error, epochs, best_val_acc) of every configured crop; a bad crop (see trainable_crops) doesn't stop the others.
+
+    Each crop is trained for its epochs of config (crop, epochs), or all for those given. samples is read again in each pass, so it's
+    kept in Spark's cache meanwhile.
+    """
+    samples = samples.persist()
+    try:
+        rows = trainable_crops(samples, config, epochs).collect()  # a row a crop
+        wanted = {r["crop"]: r["wanted"] for r in rows if r["status"] == "ok"}
+        _, history = train_heads(samples.filter(F.col("crop").isin(list(wanted))), wanted, **options)
+    finally:
+        samples.unpersist()
+    found = {c: [h for h in history if h["crop"] == c] for c in wanted}
+    best = {c: max((h["n_ok"] * 100.0 / h["n"] for h in hs if h["phase"] == "val"), default=None) for c, hs in found.items()}
+    out = [(r["crop"], r["status"], r["error"], wanted.get(r["crop"]), best.get(r["crop"])) for r in rows]
+    return config.sparkSession.createDataFrame(out, "crop string, status string, error string, epochs int, best_val_acc double")
+

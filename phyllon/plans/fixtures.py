@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,8 @@ RAW_DISEASE = pick("o_orderkey % 9", ["Leaf_Blight", "leaf blight", "Leaf Blight
 PHASE = "CASE WHEN l_returnflag = 'N' THEN 'train' ELSE 'val' END"
 ACTION = "CASE WHEN event_type = 'error' THEN 'remove' WHEN event_type = 'purchase' THEN 'clear' ELSE 'add' END"
 D = "CAST({} AS DOUBLE)"
+CHECKED_LABEL = "CASE WHEN sample_id % 50 = 7 OR crop = 'tomato' AND label = 'Spot' THEN 'Unknown' ELSE label END"
+CHECKED_CROP = "CASE WHEN crop = 'onion' THEN 'wheat' ELSE crop END"
 BOX_X1, BOX_Y1 = "l_partkey % 180 + CAST(0.7 AS DOUBLE)", "(l_partkey * 7 + l_suppkey) % 180 + CAST(0.3 AS DOUBLE)"
 MRP = "floor(p_retailprice * (1 + CAST(p_size % 25 AS DOUBLE) / 100) * 100 + CAST(0.5 AS DOUBLE)) / 100"
 
@@ -59,20 +62,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _local(spark: SparkSession, columns: dict[str, pa.DataType], rows: list[tuple]) -> DataFrame:
+    """Rows that Spark holds in the plan, so it knows their size and broadcasts them where that's small."""
+    return spark.createDataFrame(pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(columns.items())}))
+
+
+TEXT, INT, LONG, TEXTS = pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string())
+
+
 def config(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CONFIG, "crop string, classes array<string>, model_path string, epochs int")
+    return _local(spark, {"crop": TEXT, "classes": TEXTS, "model_path": TEXT, "epochs": INT}, CONFIG)
 
 
 def knowledge(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *k) for i, k in enumerate(KNOWLEDGE)], "ord int, disease string, severity string, description string, causes string, remedies map<string,array<string>>")
+    columns = {"ord": INT, "disease": TEXT, "severity": TEXT, "description": TEXT, "causes": TEXT, "remedies": pa.map_(TEXT, TEXTS)}
+    return _local(spark, columns, [(i, *k[:-1], list(k[-1].items())) for i, k in enumerate(KNOWLEDGE)])
 
 
 def severity(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SEVERITY, "severity string, severity_label string")
+    return _local(spark, {"severity": TEXT, "severity_label": TEXT}, SEVERITY)
 
 
 def bridge(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(d, i, m) for d, ids in BRIDGE for i, m in enumerate(ids)], "disease string, ord int, med_id bigint")
+    return _local(spark, {"disease": TEXT, "ord": INT, "med_id": LONG}, [(d, i, m) for d, ids in BRIDGE for i, m in enumerate(ids)])
 
 
 def groups(spark: SparkSession) -> DataFrame:
@@ -92,9 +104,8 @@ def with_logits(rows: DataFrame) -> DataFrame:
 
 
 def checked_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """samples without one class and one crop, and with a label that isn't configured."""
-    rows = samples(spark, sf_dir).filter("NOT (crop = 'tomato' AND label = 'Spot') AND crop <> 'onion'")
-    return rows.withColumn("label", F.expr("CASE WHEN sample_id % 50 = 7 THEN 'Unknown' ELSE label END"))
+    """samples with one class and one crop missing: their rows have a label and a crop that aren't configured."""
+    return samples(spark, sf_dir).withColumns({"label": F.expr(CHECKED_LABEL), "crop": F.expr(CHECKED_CROP)})
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +196,7 @@ CTES = {
     "steps": _values([f"({d!r}, {k}, {kind!r}, {i}, {x!r})" for d, _, _, _, r in KNOWLEDGE for k, (kind, xs) in enumerate(r.items()) for i, x in enumerate(xs)], "steps", "disease, kind_ord, kind, step, remedy"),
     "bridge": _values([f"({d!r}, {i}, {m})" for d, ids in BRIDGE for i, m in enumerate(ids)], "bridge", "disease, ord, med_id"),
     "samples": f"samples AS (SELECT vec_id AS sample_id, c.crop, c.classes, len(c.classes) AS n_classes, (label % len(c.classes))::INT AS class_idx, c.classes[label % len(c.classes) + 1] AS label, list_transform(embedding, lambda x: x::DOUBLE) AS features, list_transform(embedding[1:len(c.classes)], lambda x: x::DOUBLE * 20) AS logits FROM embeddings e JOIN config c ON c.crop = {CROP})",
-    "checked": "checked AS (SELECT sample_id, crop, CASE WHEN sample_id % 50 = 7 THEN 'Unknown' ELSE label END AS label FROM samples WHERE NOT (crop = 'tomato' AND label = 'Spot') AND crop <> 'onion')",
+    "checked": f"checked AS (SELECT sample_id, {CHECKED_CROP} AS crop, {CHECKED_LABEL} AS label FROM samples)",
     "pixels": "pixels AS (SELECT vec_id AS image_id, (p // 7)::INT AS y, (p % 7)::INT AS x, (floor(abs(embedding[3 * p + 1]::DOUBLE) * 1000) % 256)::INT AS r, CASE WHEN vec_id % 5 = 0 THEN 0 ELSE (floor(abs(embedding[3 * p + 2]::DOUBLE) * 1000) % 256)::INT END AS g, (floor(abs(embedding[3 * p + 3]::DOUBLE) * 1000) % 256)::INT AS b FROM embeddings, range(21) t(p))",
     "boxes": f"boxes AS (SELECT l_orderkey AS image_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS box_id, {BOX_X1} AS x1, {BOX_Y1} AS y1, {BOX_X1} + l_quantity AS x2, {BOX_Y1} + l_linenumber * 10 AS y2, round(l_discount * 10, 2) AS conf FROM lineitem)",
     "images": "images AS (SELECT o_orderkey AS image_id, (200 + o_orderkey % 41)::INT AS height, (200 + o_custkey % 57)::INT AS width FROM orders)",

@@ -181,6 +181,27 @@ def leaf_ratio_tensor(spark, d):
     return pixels.leaf_ratio(_grid(X.pixels(spark, d))).select("image_id", F.round("ratio", 6).alias("ratio"))
 
 
+def _resize_way(axis: str, n: int, m: int) -> str:
+    """SQL for the weights of an axis: w of source src for target i."""
+    wide = max(n / m, 1.0)
+    return f"""{axis}0 AS (SELECT i, src, greatest(0, 1 - abs(src - ((i + 0.5::DOUBLE) * {n / m}::DOUBLE - 0.5::DOUBLE)) / {wide}::DOUBLE) AS w FROM range({m}) a(i), range({n}) b(src)),
+    {axis} AS (SELECT i, src, w / sum(w) OVER (PARTITION BY i) AS w FROM {axis}0)"""
+
+
+@query(
+    "pixels",
+    f""", {_resize_way("down", 3, 4)}, {_resize_way("over", 7, 5)}, ch AS (SELECT image_id, y, x, unnest([0, 1, 2]) AS c, unnest([r, g, b]) AS v FROM pixels),
+    v AS (SELECT image_id, c, i AS y, x, sum(w * v) AS v FROM ch JOIN down ON src = y GROUP BY image_id, c, i, x),
+    h AS (SELECT image_id, c, y, i AS x, floor(round(sum(w * v), 6) + 0.5)::INT AS v FROM v JOIN over ON src = x GROUP BY image_id, c, y, i)
+    SELECT image_id, y::INT AS y, x::INT AS x, max(v) FILTER (WHERE c = 0) AS r, max(v) FILTER (WHERE c = 1) AS g, max(v) FILTER (WHERE c = 2) AS b FROM h GROUP BY image_id, y, x""",
+)
+def resize_images(spark, d):
+    small = pixels.resize_images(_grid(X.pixels(spark, d)), 4, 5).select("image_id", F.hex("data").alias("h"))
+    rows = small.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    level = lambda k: F.conv(F.substring(F.col("h"), F.col("p") * 6 + 2 * k + 1, F.lit(2)), 16, 10).cast("int")
+    return rows.select("image_id", F.floor(F.col("p") / 5).cast("int").alias("y"), (F.col("p") % 5).alias("x"), *(level(k).alias(c) for k, c in enumerate("rgb")))
+
+
 @query()
 def augment_images(spark, d):
     return pixels.augment(pixels.resize_images(_grid(X.pixels(spark, d)), 16, 16), epoch=1, crop=12).select("image_id", "height", "width", F.sha1("data").alias("digest"))
@@ -363,7 +384,13 @@ def overlay(spark, d):
     return explain.overlay(grey, full, lut)
 
 
-@query()
+@query(
+    "cam_maps",
+    CAM + """, taps(k, w) AS (VALUES (-3, 1), (-2, 3.5), (-1, 7), (0, 9), (1, 7), (2, 3.5), (3, 1)),
+    way AS (SELECT i, k, w::DOUBLE / 32 AS w, CASE WHEN abs(i + k) > 7 THEN 14 - abs(i + k) ELSE abs(i + k) END AS src FROM range(8) t(i), taps),
+    down AS (SELECT image_id, i AS y, cell % 8 AS x, sum(w * value) AS value FROM cn JOIN way ON src = cell // 8 GROUP BY ALL)
+    SELECT image_id, (y * 8 + i)::INT AS cell, round(sum(w * value), 6) AS value FROM down JOIN way ON src = x GROUP BY image_id, y, i""",
+)
 def blur_map(spark, d):
     maps = explain.blur_map(explain.map_rows(_cam(spark, d), 8))
     return maps.select("image_id", F.posexplode("map").alias("cell", "v")).select("image_id", "cell", F.round("v", 6).alias("value"))
@@ -420,10 +447,16 @@ def model_meta(spark, d):
     return rows.select("crop", F.explode("history").alias("h"), "best_epoch", "n_classes").select("crop", "h.*", "best_epoch", "n_classes")
 
 
+@query("config samples", "SELECT crop, CASE WHEN count(sample_id) = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN count(sample_id) = 0 THEN 'no training rows' END AS error, epochs AS wanted FROM config LEFT JOIN samples USING (crop) GROUP BY crop, epochs")
+def trainable_crops(spark, d):
+    rows = dataset.train_val_split(X.samples(spark, d).select("sample_id", "crop", "features", "class_idx", "n_classes"))
+    return training.trainable_crops(rows, X.config(spark)).select("crop", "status", "error", "wanted")
+
+
 @query()
 def train_all(spark, d):
     rows = dataset.train_val_split(X.samples(spark, d).select("sample_id", "crop", "features", "class_idx", "n_classes"))
-    return training.train_all(rows.cache(), X.config(spark))
+    return training.train_all(rows, X.config(spark))
 
 
 # Diagnoses
@@ -549,7 +582,7 @@ def shelf(spark, d):
 
 @query("products", "SELECT med_id, row_number() OVER (ORDER BY effectiveness DESC, ord) AS rank FROM products WHERE list_contains(diseases, 'Leaf Blight')")
 def preset_blight(spark, d):
-    return catalog.apply_preset(X.products(spark, d), "blight").select("med_id", "rank")
+    return catalog.apply_preset(X.products(spark, d), "blight", {"blight": (None, "Leaf Blight", "effectiveness")}).select("med_id", "rank")
 
 
 @query("products", "SELECT med_id, row_number() OVER (ORDER BY price, ord) AS rank FROM products")
@@ -557,6 +590,21 @@ def preset_budget(spark, d):
     return catalog.apply_preset(X.products(spark, d), "budget").select("med_id", "rank")
 
 
+@query("products", "SELECT med_id, row_number() OVER (ORDER BY featured DESC, effectiveness DESC, ord) AS rank FROM products WHERE type = 'chemical'")
+def preset_fungicides(spark, d):
+    return catalog.apply_preset(X.products(spark, d), "fungicides").select("med_id", "rank")
+
+
+@query("products", "SELECT med_id, row_number() OVER (ORDER BY featured DESC, effectiveness DESC, ord) AS rank FROM products WHERE type IN ('organic', 'organic-approved')")
+def preset_organic(spark, d):
+    return catalog.apply_preset(X.products(spark, d), "organic").select("med_id", "rank")
+
+
+@query("products", "SELECT med_id, row_number() OVER (ORDER BY effectiveness DESC, ord) AS rank FROM products")
+def preset_premium(spark, d):
+    return catalog.apply_preset(X.products(spark, d), "premium").select("med_id", "rank")
+
+
 @query("requests", f", g(grp, key) AS (VALUES {', '.join(f'({g!r}, {c!r})' for g, cs in X.GROUPS for c in cs)}) SELECT grp AS label, key, upper(key[1]) || key[2:] AS name, count(*) AS n FROM g JOIN requests r ON lower(trim(r.crop)) = key GROUP BY ALL")
 def crop_catalog(spark, d):
     asked = dataset.normalize_crop(X.requests(spark, d))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from phyllon.operators.pixels import prepare, to_rgb
 from phyllon.operators.scoring import score, verdicts
+from phyllon.sources.images import check_image_type, split_decodable
 
 
 def stream_verdicts(spark: SparkSession, src: str, schema: str, config: DataFrame, make_predict_fn: Callable, sink: str, ckpt: str) -> StreamingQuery:
@@ -21,6 +23,38 @@ def stream_verdicts(spark: SparkSession, src: str, schema: str, config: DataFram
     return rows.writeStream.format("parquet").option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start(sink)
 
 
+def image_verdicts(images: DataFrame, config: DataFrame, make_predict_fn: Callable, height: int = 224, width: int = 224) -> DataFrame:
+    """images (crop, image: Spark's image struct that could be read, and any id columns) to verdicts: RGB, leaf gate, tensor, score, gates."""
+    ready = prepare(to_rgb(images.withColumn("crop", F.lower(F.trim("crop")))), height, width)
+    return verdicts(score(ready, make_predict_fn), config)
+
+
+def stream_image_verdicts(
+    spark: SparkSession, src: str, config: DataFrame, make_predict_fn: Callable, sink: str, rejects: str, ckpt: str, height: int = 224, width: int = 224, files: int = 1000
+) -> StreamingQuery:
+    """Each new file src/<crop>/<name> becomes a verdict (path, ...) in sink; files of other kinds and broken images go to rejects (path, reject_reason).
+
+    A micro-batch has at most `files` files. Each one writes folders of its own number anew, so one that runs again leaves no row twice.
+    Runs until no file is left.
+    """
+    read = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files)
+    arriving = check_image_type(read.load(src)).select("path", "image_type", "reject_reason")
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.collect()  # at most `files` paths and reasons
+        paths = [r["path"] for r in rows if r["image_type"]]
+        bad = spark.createDataFrame([(r["path"], r["reject_reason"]) for r in rows if not r["image_type"]], "path string, reject_reason string")
+        if paths:
+            loaded = spark.read.format("image").option("dropInvalid", False).load(paths)
+            path = F.col("image.origin")
+            good, broken = split_decodable(loaded.select(path.alias("path"), F.element_at(F.split(path, "/"), -2).alias("crop"), "image"))
+            bad = bad.unionAll(broken.select("path", F.lit("the image can't be read")))
+            image_verdicts(good, config, make_predict_fn, height, width).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        bad.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+
+    return arriving.writeStream.foreachBatch(write).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+
+
 STATE = "ids array<bigint>, qtys array<bigint>, firsts array<bigint>"
 CART = "cart_id bigint, med_ids array<bigint>, qtys array<bigint>, last_seq bigint"
 

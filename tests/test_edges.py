@@ -214,3 +214,73 @@ def test_score_without_model(spark, empty):
     assert isinstance(got, pd.DataFrame) and len(got) == (0 if empty else 2)
     if not empty:
         assert got.loc[got["crop"] == "b", "logits"].isna().all()
+
+
+@pytest.mark.parametrize("partitions", [2, 4, 16])
+def test_ranks_of_many_rows(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.range(20_000).selectExpr("id AS ord", "CASE WHEN id % 11 = 0 THEN NULL ELSE id % 3 = 0 END AS featured", "CASE WHEN id % 13 = 0 THEN NULL ELSE CAST(pmod(xxhash64(id), 7) AS int) END AS effectiveness", "CAST(pmod(xxhash64(id, 1), 900) AS double) AS price")
+        for mode, keys in (("price_asc", "price, ord"), ("featured", "featured DESC, effectiveness DESC, ord"), ("other", "ord")):
+            want = df.selectExpr("ord", f"row_number() OVER (ORDER BY {keys}) AS rank")
+            got = catalog.with_rank(df.repartition(5), mode).select("ord", "rank")
+            assert got.count() == 20_000 and got.exceptAll(want).isEmpty()
+        assert catalog.with_rank(df.limit(0), "price_asc").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_presets(spark):
+    rows = [(1, "organic", ["Rust"], 5.0, True, 90), (2, "chemical", ["Bacterial Spot"], 3.0, False, 95), (3, "organic-approved", ["Rust"], 4.0, False, 99)]
+    df = spark.createDataFrame(rows, "ord long, type string, diseases array<string>, price double, featured boolean, effectiveness int")
+    wanted = {"all_products": [1, 3, 2], "fungicides": [2], "bactericides": [2], "organic": [1, 3], "budget": [2, 3, 1], "premium": [3, 2, 1]}
+    for name, order in wanted.items():
+        assert [r["ord"] for r in catalog.apply_preset(df, name).orderBy("rank").collect()] == order
+    assert [r["ord"] for r in catalog.apply_preset(df, "own", {"own": (None, "Rust", "price_desc")}).orderBy("rank").collect()] == [1, 3]
+
+
+@pytest.mark.parametrize("span", [1, 7, 1 << 16])
+def test_orders_of_a_busy_cart(spark, span):
+    rng = np.random.default_rng(3)
+    rows = [(1 if i % 3 else int(rng.integers(2, 9)), i, str(rng.choice(["add"] * 5 + ["remove", "clear"])), int(rng.integers(1, 4)), 1) for i in range(600)]
+    events = spark.createDataFrame(rows, "cart_id long, seq long, action string, med_id long, qty int")
+    products = spark.createDataFrame([(i, 10.0 * i, 9.0) for i in range(1, 4)], "med_id long, price double, mrp double")
+    want, carts, number = [], {}, {}
+    for c, _, action, item, _ in rows:
+        held = carts.setdefault(c, {})
+        if action == "add":
+            held[item] = held.get(item, 0) + 1
+        elif action == "remove":
+            held.pop(item, None)
+        else:
+            if held:
+                want.append((c, number.get(c, 0), sum(10.0 * i * q for i, q in held.items()), sum(held.values())))
+            carts[c], number[c] = {}, number.get(c, 0) + 1
+    assert values(cart.orders_from_events(events, products, span), "cart_id", "order_no", "total", "items") == sorted(want)
+
+
+def test_no_job_runs_while_joins_are_planned(spark):
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    know, bridge = X.knowledge(spark), X.bridge(spark)
+    products = spark.range(10).selectExpr("id AS med_id", "id AS ord", "CAST(1 AS double) AS price", "CAST(id AS int) AS effectiveness")
+    df = diagnosis.top_products(diagnosis.normalize_disease(spark.range(5).selectExpr("id", "'Rust' AS disease"), know), bridge, products)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+    assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hue_turns():
+    x = np.array([[[200.0, 30, 30], [30, 200, 30], [80, 80, 80], [120, 60, 30]]])
+    assert np.allclose(pixels._shift_hue(x, 0), x) and np.allclose(pixels._shift_hue(x, 1), x)
+    third = pixels._shift_hue(x, 1 / 3)
+    assert np.allclose(third[0, 0], [30, 200, 30]) and np.allclose(third[0, 1], [30, 30, 200]) and np.allclose(third[0, 2], 80)
+    still = pixels.augment_array(x.repeat(4, 0).astype(np.uint8), np.random.default_rng(1), 4, flip=0, upside=0, turn=0, brightness=0, contrast=0, saturation=0, hue=0, grey=0)
+    assert np.allclose(still, x.repeat(4, 0))
+
+
+def test_trainable_crops(spark):
+    rows = [("x", [1.0], 0, 2, "train"), ("y", [1.0], 0, 2, "val"), ("z", [1.0], 5, 2, "train"), ("u", [1.0], 0, 2, "train"), ("u", [1.0, 2.0], 0, 2, "train")]
+    df = spark.createDataFrame(rows, "crop string, features array<double>, class_idx int, n_classes int, split string")
+    config = spark.createDataFrame([(c, 3) for c in "xyzuv"], "crop string, epochs int")
+    got = {r["crop"]: (r["status"], r["error"]) for r in training.trainable_crops(df, config).collect()}
+    assert got == {"x": ("ok", None), "y": ("failed", "no training rows"), "z": ("failed", "class index out of range"), "u": ("failed", "features differ in length"), "v": ("failed", "no training rows")}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from phyllon.operators import cart, scoring
 from phyllon.operators.pixels import to_rgb
 from phyllon.sources import images as io
-from phyllon.streaming.jobs import stream_carts, stream_verdicts
+from phyllon.streaming.jobs import image_verdicts, stream_carts, stream_image_verdicts, stream_verdicts
 
 
 def png(x: np.ndarray) -> bytes:
@@ -87,3 +87,34 @@ def test_streamed_carts_are_the_batch_ones(spark, tmp_path):
     for r in cart.cart_state(events).orderBy("cart_id", "first_seq").collect():
         want.setdefault(r["cart_id"], []).append((r["med_id"], r["qty"]))
     assert {c: list(zip(r["med_ids"], r["qtys"])) for c, r in last.items() if r["med_ids"]} == want
+
+
+def test_verdicts_of_image_files(spark, tmp_path):
+    green, red = np.full((6, 5, 3), (20, 200, 30), np.uint8), np.full((6, 5, 3), (200, 10, 10), np.uint8)
+    config = spark.createDataFrame([("rice", ["healthy", "blast"])], "crop string, classes array<string>")
+
+    def make(crop):
+        if crop != "rice":
+            raise KeyError(crop)
+        return lambda x: np.stack([x.mean(1) * 0, x.mean(1) * 0 + 3], 1)
+
+    src, sink, bad = (f"{tmp_path}/{x}" for x in ("in", "out", "bad"))
+    first = {"rice/a.png": png(green), "rice/b.png": png(red), "wheat/c.png": png(green)}
+    later = {"rice/d.png": b"\x89PNG\r\n\x1a\nbroken", "rice/e.txt": b"text", "Rice/f.png": png(green)}
+    for files in (first, later):
+        for name, data in files.items():
+            (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / "in" / name).write_bytes(data)
+        stream_image_verdicts(spark, f"file://{src}", config, make, sink, bad, f"{tmp_path}/ckpt", 8, 8).awaitTermination()
+    got = spark.read.parquet(sink)
+    assert {r["path"].rpartition("in/")[2]: (r["status"], r["disease"]) for r in got.collect()} == {
+        "rice/a.png": ("success", "blast"),
+        "rice/b.png": ("rejected", None),
+        "wheat/c.png": ("error", None),
+        "Rice/f.png": ("success", "blast"),
+    }
+    assert {r["path"].rpartition("in/")[2] for r in spark.read.parquet(bad).collect()} == {"rice/d.png", "rice/e.txt"}
+    images = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(f"file://{src}")
+    path = F.col("image.origin")
+    batch = image_verdicts(images.select(path.alias("path"), F.element_at(F.split(path, "/"), -2).alias("crop"), "image"), config, make, 8, 8)
+    assert sorted(map(str, batch.collect())) == sorted(map(str, got.select(batch.columns).collect()))
