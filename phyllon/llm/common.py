@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -19,30 +20,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Has Spark hand texts to Python in batches of at most so many rows: the usual 10,000 take much memory where texts are long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+_local_dirs: dict[str, str] = {}
+#: Folders and tables that operators wrote and scratch() may delete.
+_written: list[tuple[str, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary one on a local master, as in tests; on a cluster executors would not see it, so RuntimeError.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if app not in _local_dirs:
+            _local_dirs[app] = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        found = _local_dirs[app]
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to a new Parquet table in the shared folder and read again: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df, written to a new Parquet table in the shared folder and read again: cuts the lineage and survives lost executors.
+
+    With keep, scratch() leaves it.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name, keep)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, name: str, keep: bool = False) -> str:
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        _written.append(("folder", path))
+    return path
+
+
+def new_table(name: str) -> str:
+    name = f"{name}_{uuid.uuid4().hex}"
+    _written.append(("table", name))
+    return name
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what operators wrote inside as intermediate tables. Their results are lazy: write or collect them inside."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for kind, place in _written[before:]:
+            if kind == "table":
+                spark.sql(f"DROP TABLE IF EXISTS {place}")
+            else:
+                delete(spark, place)
+        del _written[before:]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder by Hadoop's file systems, whatever store it is in."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
     """The groups of batches that are sorted by key, one at a time, also where a group goes over the end of a batch."""
     rest: list[pd.DataFrame] = []
@@ -83,8 +126,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root) for each vertex of edges (a, b): root is the smallest id that links reach.
 
     Alternates large-star and small-star steps until the links no longer change; each round is written to
-    the shared folder. Minima are pre-aggregated before their shuffle and joined back, so a vertex with very many links isn't
-    gathered in one task (Spark deals skewed joins anew).
+    the shared folder. Minima are pre-aggregated before their shuffle and joined back from a table, so a vertex with very many links isn't
+    gathered in one task (Spark splits the skewed join).
     """
 
     def star(links: DataFrame, large: bool) -> DataFrame:
@@ -92,7 +135,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if large:
             both = both.unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written, so that the join below has plain shuffles on both sides and Spark can split a vertex with very many links.
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         out = both.join(low, "u")
         if large:
             out = out.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -117,7 +161,7 @@ def cells(members: DataFrame, group: str, size: str, item: str, block: int) -> D
     """members, each sent to the cells in which it meets all others of its group.
 
     A group of up to `block` members is one cell. A larger one is split in blocks by a hash of the item; there's a
-    cell for each pair of blocks, so no task holds a whole group. Adds cell (long), part (0 or 1: its block
+    cell for each pair of blocks, so no task holds a whole group. Adds cell (string), part (0 or 1: its block
     is the first or second of the pair) and diagonal (both are the same block).
     """
     n = F.ceil(F.col(size) / F.lit(block)).cast("int")
@@ -128,7 +172,7 @@ def cells(members: DataFrame, group: str, size: str, item: str, block: int) -> D
     )
     return (
         members.withColumn("_p", F.explode(pairs))
-        .withColumn("cell", F.xxhash64(F.col(group), F.col("_p.i"), F.col("_p.j")))
+        .withColumn("cell", F.concat_ws(":", F.col(group), F.col("_p.i"), F.col("_p.j")))
         .withColumn("part", F.col("_p.part"))
         .withColumn("diagonal", F.col("_p.i") == F.col("_p.j"))
         .drop("_p")

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bounded_batches
 from .suffix_dedup import mixed
 
 U = np.uint64
@@ -110,7 +109,6 @@ def fingerprint_documents(docs: DataFrame, levels: int = 3, slots: int = 64, row
     The texts are dealt once, by ranges of doc_id. The ranges' limits are quantiles of the ids alone, and each range also gets
     the next range's first row, so neighbours meet in one task and no task sorts all rows.
     """
-    bounded_batches(docs.sparkSession)
     n = docs.count()
     ranges = min(most_ranges, max(1, -(-n // rows_each)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded_batches, by_cell, cells, components, local_roots, written
+from .common import WORD, by_cell, cells, components, local_roots, written
 from .suffix_dedup import mixed
 
 U = np.uint64
@@ -67,16 +67,46 @@ def signatures(flat: np.ndarray, lens: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def prefix_depth(similarity: float, trees: int, depth: int, recall: float) -> int:
-    """The longest prefix at which a pair of that similarity meets in one of the trees with the wanted probability.
+def found_share(similarity: float | np.ndarray, trees: int, depth: int) -> float | np.ndarray:
+    """The probability that two sets of that similarity share a prefix of that depth in one of the trees."""
+    return 1 - (1 - similarity**depth) ** trees
 
-    Starts at the full depth and shortens the prefix until the recall is met.
-    """
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
+
+def prefix_depth(similarity: float, trees: int, depth: int, recall: float) -> int:
+    """The longest prefix, up to depth, at which a pair of that similarity meets in one of the trees with the wanted probability."""
+    while depth > 1 and found_share(similarity, trees, depth) < recall:
         depth -= 1
     return depth
 
 
+def _nodes(names: DataFrame) -> DataFrame:
+    """The trie nodes of names (v, tree, node) with several vertices: node, root (its smallest vertex) and n. Written, so that joins with it can be split."""
+    return written(names.groupBy("node").agg(F.min("v").alias("root"), F.count("*").alias("n")).filter("n > 1"), "nodes")
+
+
+def _named(vertices: DataFrame, depth: str) -> DataFrame:
+    return vertices.select("v", F.posexplode(depth).alias("tree", "node"))
+
+
+def _placed(near: DataFrame, nodes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Where the candidates near (v, tree, node, n, root) are compared: (v, grp, whole), and (cell, part, diagonal, tree, whole, v).
+
+    Vertices that shared nodes chain together are a group. It is compared all with all if it's small or if that takes no
+    more comparisons than all its nodes apart (a true cluster); a group that only chains together is compared node by
+    node, so what is compared grows with the nodes and not with the square of the chain.
+    """
+    groups = written(components(near.filter("v <> root").select(F.col("v").alias("a"), F.col("root").alias("b"))), "groups")
+    apart = nodes.join(groups.withColumnRenamed("root", "grp"), F.col("root") == F.col("id")).groupBy("grp").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("apart"))
+    sizes = groups.groupBy(F.col("root").alias("grp")).agg(F.count("*").alias("size")).join(apart, "grp")
+    whole = (F.col("size") <= block) | (F.col("size").cast("double") * F.col("size") <= F.col("apart"))
+    sizes = written(sizes.select("grp", "size", whole.alias("whole")), "sizes")
+    members = written(groups.select(F.col("id").alias("v"), F.col("root").alias("grp")).join(sizes, "grp"), "members")
+    together = members.filter("whole").select("v", "whole", F.col("grp").alias("at"), "size", F.lit(-1).alias("tree"))
+    single = members.filter("not whole").select("v", "whole").join(near, "v").select("v", "whole", F.col("node").alias("at"), F.col("n").alias("size"), "tree")
+    placed = cells(together.unionAll(single), "at", "size", "v", block)
+    return members.select("v", "grp", "whole"), placed.select(F.concat_ws(":", "cell", "tree").alias("cell"), "part", "diagonal", "tree", "whole", "v")
+
+
 def jaccard_join(
     docs: DataFrame, n: int = 5, similarity: float = 0.8, trees: int = 24, depth: int = 8, recall: float = 0.9995, block: int = 384
 ) -> DataFrame:
@@ -85,30 +115,86 @@ def jaccard_join(
     Two rows are linked if the sets of their n-word shingles have a Jaccard similarity of at least `similarity`; n_links
     counts a row's links, class_id is the smallest doc_id that links reach and kept says that it's the row's own.
 
-    Rows with equal sets are one vertex (the smallest doc_id) with a count, so copies are not expanded into pairs.
-    Each vertex goes in `trees` sorted prefix tries of MinHash values. Nodes at the full depth are merged first; prefixes are
-    then shortened to the longest that reaches the target recall at the threshold. Vertices that share a node are
-    candidates. Candidates that hang together are compared exactly, all with all, in cells of two blocks at most, so no
-    link within them is lost and no group is held by one task. The pairs are counted and merged in the cell; none
-    of them becomes a row.
+    Rows with equal sets are one vertex with a count, so copies are not expanded into pairs. Each vertex goes in `trees`
+    sorted prefix tries of MinHash values. Vertices that share a whole path of `depth` values are compared first, exactly. What that
+    finds gives each vertex's expected recall: a link of similarity s stands for 1 / P(s) links, where P is the probability of
+    meeting at this depth, and one more link at the threshold itself is always reckoned with. Where the recall isn't met, the vertex's
+    prefixes are shortened to the longest ones that meet it for any link at the threshold, and what then shares a node is compared, too. So
+    members of large tight clusters settle at the full depth; all others reach `recall` as by the formula.
+
+    Comparisons use sorted arrays of shingle hashes in cells of two blocks at most (see _placed); no task holds a whole group. A pair is
+    counted in one cell: in the first tree in which it meets, and not again after the prefixes were shortened. The pairs are
+    counted and merged in the cell; none of them becomes a row.
 
     Null and empty texts, and texts without words, link with nothing, and each is a class of its own. Rows with a null
-    doc_id are classes of their own with a null class_id; rows with equal ids and equal texts count as copies. An empty
-    table gives an empty result; further columns are ignored.
+    doc_id are classes of their own with a null class_id. Rows with equal ids and equal texts count as copies; rows with equal ids and different
+    texts are vertices of their own. An empty table gives an empty result; further columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
-    rows = docs.select("doc_id", "text")
-    schema = "doc_id long, key binary, trees array<long>, tops array<long>"
-    top = depth
+    spark = docs.sparkSession
     low = prefix_depth(similarity, trees, depth, recall)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").filter("doc_id is not null")
+    signed = written(rows.mapInPandas(_signing(n, trees, depth, low), "doc_id long, h long, key binary, deep array<long>, low array<long>"), "signed")
+    # One vertex for each set, numbered as written. The node names are equal within a set, so any row's do.
+    one = signed.filter("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("m"), F.count("*").alias("copies"), F.first("deep").alias("deep"), F.first("low").alias("low"))
+    vertices = written(one.select(F.monotonically_increasing_id().alias("v"), "key", "m.doc_id", "m.h", "copies", "deep", "low"), "vertices")
+
+    # Whoever shares a longer prefix shares the shorter one: all candidates of both steps are known here, and only they need their sets.
+    named = _named(vertices, "low")
+    nodes = _nodes(named)
+    near = written(named.join(nodes, "node"), "near")
+    met = vertices.join(near.select("v").distinct(), "v", "left_semi")
+    texts = rows.groupBy("doc_id", "h").agg(F.first("text").alias("text"))  # repeated rows count once, before they are moved
+    held = texts.join(met.select("doc_id", "h", "v", "key", "copies", "deep", "low"), ["doc_id", "h"])
+    sets = written(held.mapInPandas(_sets(n), "v long, copies long, deep array<long>, low array<long>, shingles binary"), "sets")
+
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = "v long, links long, pairs long, missed double, root long"
+    deep_named = _named(sets, "deep")
+    deep_nodes = _nodes(deep_named)
+    deep_near = deep_named.join(deep_nodes, "node")
+    groups, placed = _placed(deep_near, deep_nodes, block)
+    cell_rows = placed.join(sets.select("v", "copies", "shingles", F.col("deep").alias("names")), "v")
+    share = lambda s: found_share(s, trees, depth)
+    first = written(by_cell(cell_rows, _verify(similarity, share), schema, partitions), "first")
+
+    # Expected recall of a vertex at the full depth, from the links that it has there.
+    known = first.groupBy("v").agg(F.sum("pairs").alias("k"), F.sum("missed").alias("e"))
+    settled = written(known.filter((F.col("k") + float(share(similarity))) / (F.col("k") + F.col("e") + 1) >= recall).select("v", F.lit(True).alias("settled")), "settled")
+    open_near = near.select("v", "tree", "node").join(settled, "v", "left")
+    open_nodes = written(open_near.groupBy("node").agg(F.min("v").alias("root"), F.count("*").alias("n"), F.count("settled").alias("s")).filter("n > s").drop("s"), "open")
+    _, placed = _placed(near.select("v", "tree", "node").join(open_nodes, "node"), open_nodes, block)
+    earlier = sets.select("v", "copies", "shingles", F.col("low").alias("names"), "deep").join(groups.withColumnRenamed("whole", "met_all"), "v", "left").join(settled, "v", "left")
+    earlier = earlier.select("*", F.coalesce("grp", F.lit(-1)).alias("met_in")).drop("grp").fillna(False, ["met_all", "settled"])
+    second = written(by_cell(placed.join(earlier, "v"), _verify(similarity, share), schema, partitions), "second")
+
+    linked = first.unionAll(second).select("v", "links", "root")
+    roots = components(linked.select(F.col("v").alias("a"), F.col("root").alias("b")))
+    counts = linked.groupBy("v").agg(F.sum("links").alias("links"))
+    of_vertex = written(counts.join(roots, counts["v"] == roots["id"]).join(vertices.select("v", "doc_id", "key", "copies"), counts["v"] == vertices["v"]).select("key", "copies", "doc_id", "links", "root"), "linked")
+    least = written(of_vertex.groupBy("root").agg(F.min("doc_id").alias("class_id")), "least")
+    grouped = of_vertex.join(least, "root").select("key", "links", "class_id")
+    own = vertices.select("key", "copies", "doc_id").join(grouped, "key", "left")
+    own = own.select(F.col("key").alias("k"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    out = signed.select("doc_id", "key").join(own, F.col("key") == F.col("k"), "left")
+    out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = out.unionAll(docs.filter("doc_id is null").select(F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(0).cast("long")))
+    return out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id")))
+
+
+def _keys(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """24 bytes that name each set (not empty): two sums over its hashes and its size."""
+    sums = [np.add.reduceat(mixed(flat * U(c)), starts) for c in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+    return np.stack([*sums, lens.astype(U)], 1)
 
+
+def _signing(n: int, trees: int, depth: int, low: int):
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for a in range(0, len(pdf), 400):
                 part = pdf.iloc[a : a + 400]
                 flat, lens = shingle_sets(part["text"].tolist(), n)
                 some = np.flatnonzero(lens)
-                keys, nodes, tops = [None] * len(part), [None] * len(part), [None] * len(part)
+                keys, deep, short = [None] * len(part), [None] * len(part), [None] * len(part)
                 if len(some):
                     sig = signatures(flat, lens[some], trees * depth).reshape(len(some), trees, depth).astype(U)
                     name = np.zeros((len(some), trees), U) + np.arange(trees, dtype=U)
@@ -116,69 +202,79 @@ def jaccard_join(
                     for k in range(depth):
                         name = mixed(name * U(0x9E3779B97F4A7C15) + sig[:, :, k])
                         at[k + 1] = name.view(np.int64)
-                    starts = np.cumsum(lens) - lens
-                    sums = [np.add.reduceat(mixed(flat * U(c)), starts[some]) for c in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
-                    raw = np.stack([*sums, lens[some].astype(U)], 1)
+                    raw = _keys(flat, (np.cumsum(lens) - lens)[some], lens[some])
                     for j, i in enumerate(some.tolist()):
-                        keys[i], nodes[i], tops[i] = raw[j].tobytes(), at[low][j], at[top][j]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(object), "key": keys, "trees": nodes, "tops": tops})
-
-    signed = written(rows.filter(F.col("doc_id").isNotNull()).mapInPandas(sign, schema), "signed")
-    # One vertex for each set. The node names are equal within a set, so any row's do.
-    vertices = written(signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("trees").alias("trees"), F.first("tops").alias("tops")), "vertices")
-    named = vertices.select("id", F.explode(F.arrays_zip("trees", "tops")).alias("t")).select("id", F.col("t.trees").alias("node"), F.col("t.tops").alias("top"))
-    # Leaves of the trie first: what shares the whole path is one leaf, which is then merged at the shorter prefix.
-    leaves = named.groupBy("node", "top").agg(F.min("id").alias("leaf"), F.count("*").alias("n"))
-    tries = leaves.groupBy("node").agg(F.min("leaf").alias("root"), F.sum("n").alias("n")).filter("n > 1").select("node", "root")
-    near = named.select("id", "node").join(tries, "node").filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
-    groups = written(components(near), "groups")
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    members = groups.join(sizes, "root").join(vertices.select("id", "copies"), "id").select("id", F.col("root").alias("grp"), "size", "copies")
-    placed = cells(members, "grp", "size", "id", block)
-    # A vertex's text is that of any row with its id and set; a repeated id with another text is not in `vertices` with it.
-    texts = rows.filter("doc_id is not null").join(placed, rows["doc_id"] == placed["id"]).select("cell", "part", "diagonal", "id", "copies", "text")
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+                        keys[i], deep[i], short[i] = raw[j].tobytes(), at[depth][j], at[low][j]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "h": part["h"].to_numpy(), "key": keys, "deep": deep, "low": short})
+
+    return sign
+
+
+def _sets(n: int):
+    """The sorted shingle hashes of each vertex from its text."""
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a in range(0, len(pdf), 400):
+                part = pdf.iloc[a : a + 400]
+                flat, lens = shingle_sets(part["text"].tolist(), n)
+                ends = np.cumsum(lens)
+                # Of rows with one id and colliding text hashes only the vertex's own is right.
+                own = [bytes(k) for k in part["key"]] if len(part) else []
+                raw = _keys(flat, ends - lens, lens)
+                fine = [raw[i].tobytes() == k for i, k in enumerate(own)]
+                data = [flat[e - m : e].tobytes() for e, m in zip(ends.tolist(), lens.tolist())]
+                yield part[["v", "copies", "deep", "low"]].assign(shingles=data)[fine]
+
+    return sets
+
+
+def _verify(similarity: float, share):
+    """Compares the vertices of a cell; returns those with links: links (with copies), pairs, missed (how many links each one found stands for besides itself) and the least vertex they reach."""
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable").drop_duplicates("id")
-        ids, copies = pdf["id"].to_numpy(), pdf["copies"].to_numpy()
-        flat, lens = shingle_sets(pdf["text"].tolist(), n)
-        rows_a, rows_b = similar_pairs(flat, lens, similarity, None if pdf["diagonal"].iloc[0] else pdf["part"].to_numpy())
-        links = np.bincount(rows_a, copies[rows_b], len(ids)) + np.bincount(rows_b, copies[rows_a], len(ids))
-        root = local_roots(len(ids), rows_a, rows_b)
-        return pd.DataFrame({"id": ids, "links": links.astype(np.int64), "root": ids[root]})
-
-    found = written(by_cell(texts, verify, "id long, links long, root long", partitions), "found")
-    linked = found.filter("links > 0")
-    roots = components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    counts = linked.groupBy("id").agg(F.sum("links").alias("links"))
-    of_vertex = counts.join(roots, "id").select(F.col("id").alias("v"), "links", "root")
-    sets = vertices.select("key", "id", "copies").join(of_vertex, F.col("id") == F.col("v"), "left")
-    sets = sets.select(F.col("key").alias("k"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("class_id"))
-    out = signed.select("doc_id", "key").join(sets, F.col("key") == F.col("k"), "left")
-    out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = out.unionAll(rows.filter("doc_id is null").select("doc_id", F.lit(None).cast("long"), F.lit(0).cast("long")))
-    return out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id")))
+        pdf = pdf.sort_values("v", kind="stable").drop_duplicates("v")
+        v, copies = pdf["v"].to_numpy(), pdf["copies"].to_numpy()
+        lens = pdf["shingles"].map(len).to_numpy() // 8
+        flat = np.frombuffer(b"".join(pdf["shingles"]), U)
+        a, b, s = similar_pairs(flat, lens, similarity, None if pdf["diagonal"].iloc[0] else pdf["part"].to_numpy())
+        keep = np.ones(len(a), bool)
+        if len(a) and not pdf["whole"].iloc[0] and (tree := int(pdf["tree"].iloc[0])):
+            names = np.stack(pdf["names"].to_list())[:, :tree]
+            keep &= ~(names[a] == names[b]).any(1)  # they met in an earlier tree
+        if len(a) and "settled" in pdf:
+            deep, met = np.stack(pdf["deep"].to_list()), pdf["met_in"].to_numpy()
+            all_, done = pdf["met_all"].to_numpy(bool), pdf["settled"].to_numpy(bool)
+            keep &= ~(done[a] & done[b])
+            keep &= ~((met[a] == met[b]) & (met[a] >= 0) & (all_[a] | (deep[a] == deep[b]).any(1)))
+        a, b, s = a[keep], b[keep], s[keep]
+        missed = 1 / share(s) - 1
+        both = lambda x, y: np.bincount(a, x, len(v)) + np.bincount(b, y, len(v))
+        links, pairs, gone = both(copies[b], copies[a]), both(np.ones(len(a)), np.ones(len(a))), both(missed, missed)
+        root = v[local_roots(len(v), a, b)]
+        some = pairs > 0
+        return pd.DataFrame({"v": v[some], "links": links[some].astype(np.int64), "pairs": pairs[some].astype(np.int64), "missed": gone[some], "root": root[some]})
+
+    return verify
 
 
-def similar_pairs(flat: np.ndarray, lens: np.ndarray, similarity: float, part: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (a < b) of the pairs of sets with that similarity; with part, only pairs of one set of each part.
+def similar_pairs(flat: np.ndarray, lens: np.ndarray, similarity: float, part: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices (a < b) and similarities of the pairs of sets with at least that similarity; with part, only pairs of one set of each part.
 
-    Counts shared shingles through the shingles' lists of sets, for a slice of the sets at a time.
+    Counts shared shingles through the shingles' lists of sets, for a slice of the shingles at a time.
     """
     m = len(lens)
-    none = np.zeros(0, np.int64)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     if m < 2 or not len(flat):
-        return none, none
+        return none
     _, code = np.unique(flat, return_inverse=True)
     owner = np.repeat(np.arange(m), lens)
     shared = np.bincount(code)[code] > 1  # a shingle of one set adds to no intersection
     code, owner = code[shared], owner[shared]
     if not len(code):
-        return none, none
+        return none
     _, code = np.unique(code, return_inverse=True)
     width = int(code.max()) + 1
-    found_a, found_b = [], []
     step = max(1, min(width, 8_000_000 // m))
     both = np.zeros((m, m), np.float32)
     order = np.argsort(code, kind="stable")
@@ -189,8 +285,8 @@ def similar_pairs(flat: np.ndarray, lens: np.ndarray, similarity: float, part: n
         grid[owner[lo:hi], code[lo:hi] - a] = 1
         both += grid @ grid.T
     either = lens[:, None] + lens[None, :] - both
-    ok = np.triu(both >= similarity * either - 1e-6, 1) & (lens[:, None] > 0) & (lens[None, :] > 0)
+    ok = np.triu(both >= similarity * either - 1e-6, 1)
     if part is not None:
         ok &= part[:, None] != part[None, :]
-    found_a, found_b = np.nonzero(ok)
-    return found_a, found_b
+    a, b = np.nonzero(ok)
+    return a, b, both[a, b].astype(float) / either[a, b]
