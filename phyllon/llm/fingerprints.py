@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .suffix_dedup import mixed
 
@@ -97,34 +96,78 @@ def as_text(prints: np.ndarray) -> list[str]:
     return [row.astype(">u2").tobytes().hex() for row in prints]
 
 
-def fingerprint_documents(docs: DataFrame, levels: int = 3, slots: int = 64, rows_each: int = 4000, most_ranges: int = 10_000) -> DataFrame:
+#: What deals the documents out: descending doc_id, null last; of equal ids by a hash of the text.
+_KEY = ("null", "down", "h")
+
+
+class Ranges:
+    """Stretches of documents in key order. limits: the keys at which all but the first one start, each the key of a document; first: the least key."""
+
+    def __init__(self, limits: pd.DataFrame, first: tuple):
+        some = ~limits["null"].to_numpy(bool)
+        self.down, self.h = limits["down"].to_numpy(np.int64)[some], limits["h"].to_numpy(np.int64)[some]
+        self.null_h = limits["h"].to_numpy(np.int64)[~some]
+        self.first, self.count = first, len(limits) + 1
+
+    def of(self, null: np.ndarray, down: np.ndarray, h: np.ndarray) -> list[list[int]]:
+        """Each document's stretch, and the one before if the document is the first of its own, whose last document it follows."""
+        lo, hi = np.searchsorted(self.down, down, "left"), np.searchsorted(self.down, down, "right")
+        at = lo.copy()
+        for i in np.flatnonzero((hi > lo) & ~null).tolist():  # ids that several stretches hold, or that start one
+            at[i] += np.searchsorted(self.h[lo[i] : hi[i]], h[i], "right")
+        at[null] = len(self.down) + np.searchsorted(self.null_h, h[null], "right")
+        n = len(self.down)
+        own = np.full(len(at), -1)
+        in_some, in_null = np.flatnonzero((at > 0) & ~null), np.flatnonzero((at > n) & null)
+        starts = in_some[(self.down[at[in_some] - 1] == down[in_some]) & (self.h[at[in_some] - 1] == h[in_some])]
+        own[starts] = at[starts] - 1
+        starts = in_null[self.null_h[at[in_null] - 1 - n] == h[in_null]]
+        own[starts] = at[starts] - 1
+        is_first = (null == self.first[0]) & (null | (down == self.first[1])) & (h == self.first[2])
+        own[is_first] = self.count - 1  # after the last document comes the first
+        return [[r] if g < 0 else [r, g] for r, g in zip(at.tolist(), own.tolist())]
+
+
+def _ranges(keyed: DataFrame, range_bytes: int, sampled: int) -> Ranges | None:
+    """Stretches of about range_bytes of text, at least one a shuffle partition, from a sample of about `sampled` keys a stretch."""
+    n, total, first = keyed.agg(F.count("*"), F.sum("size"), F.min(F.struct(*_KEY))).first()
+    if not n:
+        return None
+    count = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes))
+    share = min(1 << 20, -(-(sampled * count << 20) // n))
+    # Equal rows are one key; which keys are sampled depends on them alone, so a task that runs again deals out alike.
+    sample = keyed.filter(F.pmod(F.xxhash64(*_KEY), F.lit(1 << 20)) < share).groupBy(*_KEY).agg(F.sum("size").alias("size")).toPandas()
+    sample = sample.sort_values(list(_KEY), ignore_index=True)
+    filled = sample["size"].cumsum() * count // max(1, sample["size"].sum())
+    starts = sample[(filled.diff() > 0).to_numpy()]
+    after = [tuple(x) > tuple(first) for x in starts[list(_KEY)].itertuples(index=False)]
+    return Ranges(starts[np.array(after, bool)], tuple(first))
+
+
+def fingerprint_documents(docs: DataFrame, levels: int = 3, slots: int = 64, range_bytes: int = 16 << 20, sampled: int = 24) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has the last floor(n_chars / 3) code points replaced by the first as many (or all) of the next document's
     in order of descending doc_id; after the last comes the first. near_* are shares of equal fingerprint slots.
 
-    Null texts are empty; null ids come last; rows with equal ids are in order of their texts; one row alone is its own next
+    Null texts are empty; null ids come last; rows with equal ids are in order of xxhash64 of their texts; one row alone is its own next
     one; an empty table gives an empty result; further columns are ignored.
 
-    The texts are dealt once, by ranges of doc_id. The ranges' limits are quantiles of the ids alone, and each range also gets
-    the next range's first row, so neighbours meet in one task and no task sorts all rows.
+    The texts are dealt once, each stretch of ids to a task of its own (see _ranges): about range_bytes of text, so that tasks are even.
+    A stretch starts at the key of a document, which also goes to the stretch before it as a guest; so neighbours meet in one
+    task. What the driver and the broadcast hold are some 24 bytes for each of `sampled` keys a stretch.
     """
-    n = docs.count()
-    ranges = min(most_ranges, max(1, -(-n // rows_each)))
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    limits = [] if ranges == 1 else sorted(set(rows.filter("doc_id is not null").stat.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.1 / ranges)), reverse=True)
-    bounds = F.array(*(F.lit(int(x)) for x in limits)) if limits else None
-    # Range 0 has the largest ids; a null id comes after the smallest. There are at most `most_ranges` limits and heads.
-    at = F.lit(0) if bounds is None else F.when(F.col("doc_id").isNull(), len(limits)).otherwise(F.size(F.filter(bounds, lambda x: x > F.col("doc_id"))))
-    placed = rows.withColumn("range", at.cast("int"))
-    heads = placed.groupBy("range").agg(F.max("doc_id").alias("head"))
-    order = W.orderBy(F.col("range").asc())  # one row a range
-    heads = heads.withColumn("before", F.lag("range").over(order)).withColumn("last", F.max("range").over(W.partitionBy()))
-    heads = heads.select(F.col("range").alias("r"), "head", F.coalesce("before", "last").alias("before"))
-    guests = placed.join(F.broadcast(heads), (F.col("range") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("head")))
-    guests = guests.select(F.col("before").alias("range"), "doc_id", "text", F.lit(True).alias("guest"))
-    dealt = placed.select("range", "doc_id", "text", F.lit(False).alias("guest")).unionAll(guests)
+    keyed = rows.select("doc_id", "text", F.col("doc_id").isNull().alias("null"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("down"), F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    if (ranges := _ranges(keyed, range_bytes, sampled)) is None:
+        return spark.createDataFrame([], schema)
+    shared = spark.sparkContext.broadcast(ranges)
+
+    @F.pandas_udf("array<int>")
+    def dealt(null: pd.Series, down: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.of(null.to_numpy(bool), down.to_numpy(), h.to_numpy()))
 
     def some(rows: list[tuple], following: tuple) -> pd.DataFrame:
         texts = [r[1] for r in rows]
@@ -138,25 +181,18 @@ def fingerprint_documents(docs: DataFrame, levels: int = 3, slots: int = 64, row
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[tuple] = []
-        size, group, done = 0, None, False
+        size = 0
         for pdf in batches:
-            for r, i, null, text, guest in zip(pdf["range"], pdf["id"], pdf["null"], pdf["text"], pdf["guest"]):
+            for null, i, text, guest in zip(pdf["null"], pdf["id"], pdf["text"], pdf["guest"]):
                 row = (None if null else i, text)
-                if r != group:
-                    group, done = r, False
-                if done:
-                    continue
-                if guest:
-                    if waiting:
-                        yield some(waiting, row)
-                    waiting, size, done = [], 0, True
-                    continue
-                if waiting and size > 500_000:
+                if waiting and (guest or size > 500_000):
                     yield some(waiting, row)
                     waiting, size = [], 0
+                if guest:
+                    return  # copies of the guest follow; they are rows of the next stretch
                 waiting.append(row)
                 size += len(text)
 
-    # The guest's own copies come in the next range; a range's rows come before its guest.
-    keys = ["range", F.col("guest").asc(), F.col("doc_id").desc_nulls_last(), "text"]
-    return dealt.repartition(max(1, len(limits) + 1), "range").sortWithinPartitions(*keys).select("range", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("null"), "text", "guest").mapInPandas(each, schema)
+    placed = keyed.select("doc_id", "null", "down", "h", "text", F.posexplode(dealt("null", "down", "h")).alias("guest", "range")).repartitionById(ranges.count, "range")
+    ordered = placed.sortWithinPartitions("guest", *_KEY, "text")
+    return ordered.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "null", "text", (F.col("guest") > 0).alias("guest")).mapInPandas(each, schema)
