@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD
+from .common import WORD, written
 
 
 def unit(text: Column, seed: int) -> Column:
@@ -55,23 +55,24 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
     hashed = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long")
     sized = docs.drop("source_size", "target", "copies", "taken").withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     # The length of size + 8 in bits and the three bits after its first: grows with size.
-    sized = sized.withColumn("_h", hashed).withColumn("_bits", F.length(F.bin(F.col("size") + 8)))
+    sized = sized.withColumn("_h", hashed).withColumn("_t", F.xxhash64("text")).withColumn("_bits", F.length(F.bin(F.col("size") + 8)))
     step = F.col("_bits") * 8 + F.expr("shiftright(size + 8, _bits - 4)") % 8
     sized = sized.withColumn("_bucket", step * buckets + F.col("_h") % buckets).drop("_bits")
-    counts = sized.groupBy("source", "_bucket").agg(F.count("*").alias("_n"), F.sum("size").alias("_words"))
+    # Written, as the words of a text would be counted again for each use; a few rows for each source and hashed bucket.
+    counts = written(sized.groupBy("source", "_bucket").agg(F.count("*").alias("_n"), F.sum("size").alias("_words")), "counts")
     of_bucket = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(of_bucket), F.lit(0)))
     targets = source_targets(counts.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, max_repeat)
     named = lambda df, own: df.withColumnRenamed("source", own)
     starts = named(starts, "_s").join(named(targets, "_t"), F.col("_s").eqNullSafe(F.col("_t"))).select(F.col("_s"), F.col("_bucket").alias("_b"), "_start", "source_size", "target")
     joined = sized.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    row = F.row_number().over(W.partitionBy("source", "_bucket").orderBy("size", "_h", "doc_id", F.xxhash64("text")))
+    row = F.row_number().over(W.partitionBy("source", "_bucket").orderBy("size", "_h", "doc_id", "_t"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = unit(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")), seed)
     out = joined.withColumn("_row", F.col("_start") + row).withColumn("_rate", rate).withColumn("_u", offset)
     crossed = F.floor(F.col("_u") + F.col("_row") * F.col("_rate")) - F.floor(F.col("_u") + (F.col("_row") - 1) * F.col("_rate"))
     out = out.withColumn("copies", F.least(crossed, F.lit(max_repeat)).cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
-    return out.drop("_h", "_bucket", "_s", "_b", "_start", "_row", "_rate", "_u")
+    return out.drop("_h", "_t", "_bucket", "_s", "_b", "_start", "_row", "_rate", "_u")
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:

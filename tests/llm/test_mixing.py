@@ -1,6 +1,9 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from phyllon.llm.common import written
 from phyllon.llm.mixing import mix_sources, repeated
 
 SCHEMA = "doc_id long, text string, source string"
@@ -59,3 +62,12 @@ def test_repeated_rows_and_clashing_columns(docs):
 def test_empty(spark):
     assert mix_sources(spark.createDataFrame([], SCHEMA)).collect() == []
     assert [r["taken"] for r in mix_sources(spark.createDataFrame([(1, None, None)], SCHEMA)).collect()] == [0]
+
+
+def test_long_texts_do_not_move(spark):
+    rows = [(1, "w " * 2_500_000, "a"), (2, "w", "a"), (3, "w " * 10, "b")]
+    df = mix_sources(spark.createDataFrame(rows, SCHEMA))
+    assert {r["doc_id"]: r["size"] for r in df.select("doc_id", "size", "copies").collect()} == {1: 2_500_000, 2: 1, 3: 10}
+    narrow = mix_sources(written(spark.createDataFrame(rows, SCHEMA), "docs")).select("doc_id", "copies")
+    plan = narrow._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and not re.search(r"[\[ ]text#\d+[,\]]", plan)  # no projection passes it on
