@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import new_folder, written
 
 #: Fixed values of the format.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -32,7 +32,7 @@ def record(page: int | None, url: str | None, payload: bytes, kind: str, refers:
     url = "".join((url or "").splitlines())  # a field is one line
     fields = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:page:{'' if page is None else page}>"),
+        ("WARC-Record-ID", f"<urn:page:{f'null:{uuid.uuid4()}' if page is None else page}>"),
         ("WARC-Date", date),
         ("WARC-Target-URI", url),
         ("WARC-Payload-Digest", f"sha1:{digest_of(payload)}"),
@@ -90,7 +90,7 @@ def parsed(raw: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     length = int(next(x for x in http.split(b"\r\n") if x.startswith(b"Content-Length: "))[16:])
-    number = lambda f: int(s) if (s := fields.get(f, "")[len("<urn:page:") : -1]) else None
+    number = lambda f: int(s) if (s := fields.get(f, "")[len("<urn:page:") : -1]) and not s.startswith("null:") else None
     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if kind == "response":
         length, found = len(payload), digest_of(payload)
@@ -104,17 +104,21 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 8 << 20,
 
     Of pages with equal payloads of at least min_bytes, the one with the largest page_id is a response and others are
     revisits of it; shorter payloads are all responses. Null html is an empty payload. A page with a null id revisits like
-    others; where all ids are null, all are responses; rows that share the largest id all are. An empty table writes nothing.
+    others; where all ids are null, all are responses; rows that share the largest id all are. An empty table writes nothing; further columns are
+    ignored. The date is that of all records, fixed so that reruns write equal records; a record's id is its page's (a new one for a null id).
 
     A file's name is new in each attempt of a task, and only files in the manifest count: a task that is run again leaves
     no damage. folder is any URI that pyarrow writes, such as file:// or hdfs://.
     """
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    page = page.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    best = page.groupBy("digest").agg(F.max("page_id").alias("best")).withColumnRenamed("digest", "d")
-    revisit = (F.col("size") >= min_bytes) & F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
-    rows = page.join(best, F.col("digest") == F.col("d")).withColumn("revisit", revisit)
-    rows = rows.select(F.coalesce("page_id", F.lit(0)).alias("page_id"), F.col("page_id").isNull().alias("null"), "url", "payload", "revisit", F.coalesce("best", F.lit(0)).alias("best"))
+    page = page.withColumn("digest", F.sha1("payload")).withColumn("null", F.col("page_id").isNull()).withColumn("page_id", F.coalesce("page_id", F.lit(0)))
+    # Which pages revisit which is found on digests. Payloads are moved once, by page, so pages with one payload are no hot key.
+    told = page.filter(F.octet_length("payload") >= min_bytes).select("page_id", "null", "digest")
+    best = told.groupBy("digest").agg(F.max(F.when(~F.col("null"), F.col("page_id"))).alias("best"), F.count("*").alias("n"))
+    best = written(best.filter("n > 1 and best is not null").drop("n"), "best")
+    revisits = told.join(best, "digest").filter(F.col("null") | (F.col("page_id") != F.col("best"))).distinct()
+    rows = page.join(revisits, ["page_id", "null", "digest"], "left")
+    rows = rows.select("page_id", "null", "url", "payload", F.col("best").isNotNull().alias("revisit"), F.coalesce("best", F.lit(0)).alias("best"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: list[bytes] = []
@@ -172,5 +176,5 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages to new archives in the shared folder and reads them back."""
     spark = pages.sparkSession
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "warc")
     return read_archives(spark, folder, write_archives(pages, folder))

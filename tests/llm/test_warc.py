@@ -54,3 +54,16 @@ def test_small_payloads_do_not_revisit(spark):
     assert {r["record_type"] for r in got} == {"response"}
     none = warc.archive_round_trip(df.limit(0))
     assert none.count() == 0
+
+
+def test_large_and_hot_payloads_null_ids_and_clashing_columns(spark):
+    big = "<p>" + "large page " * 500_000
+    rows = [(1, "u", big), (2, "u", big)] + [(i, "u", None) for i in range(10, 60)] + [(None, "u", big), (None, "u", big), (None, "u", "own"), (None, "u", "own")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA + ", digest string, best int").repartition(4)
+    folder = f"{shared_dir(spark)}/warc-large"
+    got = warc.read_archives(spark, folder, warc.write_archives(df, folder)).collect()
+    assert len(got) == len(rows)
+    assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in got if r["payload_bytes"] == len(big)) == [(0, "revisit", 2), (0, "revisit", 2), (1, "revisit", 2), (2, "response", None)]
+    assert {(r["page_id"], r["record_type"]) for r in got if r["payload_bytes"] == 0} == {(59, "response"), *((i, "revisit") for i in range(10, 59))}
+    assert [r["record_type"] for r in got if r["payload_bytes"] == 3] == ["response"] * 2
+    assert len({warc.record(None, "u", b"", "response", None, "d") for _ in range(3)}) == 3  # ids are unique
