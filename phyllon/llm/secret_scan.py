@@ -38,27 +38,23 @@ class Scanner:
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule, end) in bytes: leftmost, then longest, without overlaps within a rule.
 
-        The pass over all bytes only notes where some rule accepts. A rule's first accepting byte behind its
-        last match gives the match: its own automata find the leftmost start and the longest end from there.
+        A rule's first accepting byte behind its last match gives the match: its own automata find the leftmost
+        start and the longest end from there. Only matches are kept, so a long run of accepting bytes takes no memory.
         """
         a = self.all_
         table, bar, s = a.table, a.accepting * a.width, a.start
-        hits = []
+        done = [0] * len(self.kinds)
+        out = []
         for i, c in enumerate(data.translate(a.classes)):
             s = table[s + c]
             if s >= bar:
-                hits.append((i, s))
-        done = [0] * len(self.kinds)
-        out = []
-        for i, s in hits:
-            mask = a.rules[s // a.width - a.accepting]
-            for k in range(len(self.kinds)):
-                if mask >> k & 1 and i >= done[k]:
-                    start = _last(self.backward[k], data, range(i, done[k] - 1, -1))
-                    if start is not None:
-                        end = _last(self.forward[k], data, range(start, len(data))) + 1
-                        out.append((start, k, end))
-                        done[k] = end
+                mask = a.rules[s // a.width - a.accepting]
+                for k, end in enumerate(done):
+                    if mask >> k & 1 and i >= end:
+                        start = _last(self.backward[k], data, range(i, end - 1, -1))
+                        if start is not None:
+                            done[k] = _last(self.forward[k], data, range(start, len(data))) + 1
+                            out.append((start, k, done[k]))
         return sorted(out)
 
 

@@ -52,3 +52,14 @@ def test_report_and_redaction(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, secrets int")
     assert scan_secrets(df).collect() == [] and secret_report(df).collect() == []
+
+
+def test_long_texts():
+    scanner = Scanner.of(RULES)
+    for text in ("0123456789abcdef" * 350_000, "token = x " * 500_000, "é" * 3_000_000 + " secret=abcdefg"):
+        assert [x for x in find_secrets(text, scanner) if x[1] in BASE] == plain(text)
+
+
+def test_repeated_rows_and_extra_columns(spark):
+    df = spark.createDataFrame([(1, "token=abcdefg", 5, "z"), (1, "token=abcdefg", 5, "z")], "doc_id long, text string, n_hex int, spans string")
+    assert [(r["n_assign"], r["n_hex"], r["spans"]) for r in secret_report(df).collect()] == [(1, 0, "assign:0:13")] * 2
