@@ -60,12 +60,13 @@ def preference_pairs(pairs: DataFrame, learn: str = "assistant") -> DataFrame:
 def paired_with_neighbour(conversations: DataFrame, key: str = "conv_id", learn: str = "assistant") -> DataFrame:
     """(key, chosen, rejected): rejected is the conversation with its last `learn` turn's text taken from the partner's last one.
 
-    The partner has the key with the lowest bit flipped. Conversations without a partner, or where one of the two has no
-    such turn, are left out, as are null keys.
+    The partner has the key with the lowest bit flipped. Where there's no partner, or one of the two has no such turn, rejected
+    is null. Null keys are left out. A repeated (key, turn) is a turn of its own.
     """
     own = F.expr(f"filter(turns, t -> t.role <=> '{learn}')")
-    last = conversations.filter(F.col(key).isNotNull()).withColumn("n", F.size(own)).filter("n > 0")
-    partner = last.select(F.col(key).bitwiseXOR(F.lit(1)).alias(key), F.element_at(own, -1)["text"].alias("other"))
+    some = conversations.filter(F.col(key).isNotNull())
+    partner = some.filter(F.size(own) > 0).select(F.col(key).bitwiseXOR(F.lit(1)).alias(key), F.struct(F.element_at(own, -1)["text"].alias("text")).alias("other"))
     at = F.array_max(F.expr(f"transform(turns, (t, i) -> CASE WHEN t.role <=> '{learn}' THEN i END)"))
-    swapped = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), F.when(i == F.col("at"), F.col("other")).otherwise(t["text"]).alias("text")))
-    return last.withColumn("at", at).join(partner, key).select(key, F.col("turns").alias("chosen"), swapped.alias("rejected"))
+    swapped = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), F.when(i == F.col("at"), F.col("other.text")).otherwise(t["text"]).alias("text")))
+    rejected = F.when(F.col("other").isNotNull() & F.col("at").isNotNull(), swapped)
+    return some.withColumn("at", at).join(partner, key, "left").select(key, F.col("turns").alias("chosen"), rejected.alias("rejected"))

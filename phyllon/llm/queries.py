@@ -99,10 +99,10 @@ WITH ordered AS (
 ), last_ AS (
   SELECT conv_id, max(i) AS at, arg_max(text, i) AS said FROM ordered WHERE role = 'assistant' GROUP BY conv_id
 ), sides AS (
-  SELECT o.conv_id, i, role, text AS chosen, CASE WHEN i = a.at THEN b.said ELSE text END AS rejected, a.at
-  FROM ordered o JOIN last_ a USING (conv_id) JOIN last_ b ON b.conv_id = xor(o.conv_id, 1)
+  SELECT o.conv_id, i, role, text AS chosen, CASE WHEN i = a.at THEN b.said ELSE text END AS rejected, a.at IS NOT NULL AND b.at IS NOT NULL AS paired
+  FROM ordered o LEFT JOIN last_ a USING (conv_id) LEFT JOIN last_ b ON b.conv_id = xor(o.conv_id, 1)
 ), firsts AS (
-  SELECT conv_id, coalesce(min(i) FILTER (WHERE chosen <> rejected), max(i) + 1) AS n_prompt FROM sides GROUP BY conv_id
+  SELECT conv_id, CASE WHEN bool_and(paired) THEN coalesce(min(i) FILTER (WHERE chosen <> rejected), max(i) + 1) ELSE 0 END AS n_prompt FROM sides GROUP BY conv_id
 ), lens AS (
   SELECT s.*, n_prompt, '<|' || role || '|>' || chr(10) AS head FROM sides s JOIN firsts USING (conv_id)
 ), ends AS (
@@ -113,9 +113,9 @@ WITH ordered AS (
 SELECT conv_id, any_value(n_prompt)::INT AS n_prompt,
        coalesce(string_agg(head || chosen || chr(10), '' ORDER BY i) FILTER (WHERE i < n_prompt), '') AS prompt,
        coalesce(string_agg(head || chosen || chr(10), '' ORDER BY i) FILTER (WHERE i >= n_prompt), '') AS chosen_completion,
-       coalesce(string_agg(head || rejected || chr(10), '' ORDER BY i) FILTER (WHERE i >= n_prompt), '') AS rejected_completion,
+       coalesce(string_agg(head || rejected || chr(10), '' ORDER BY i) FILTER (WHERE i >= n_prompt AND paired), '') AS rejected_completion,
        coalesce(string_agg((c_end - length(chosen) - 1)::BIGINT || ':' || c_end::BIGINT, ',' ORDER BY i) FILTER (WHERE i >= n_prompt AND role = 'assistant'), '') AS chosen_mask,
-       coalesce(string_agg((r_end - length(rejected) - 1)::BIGINT || ':' || r_end::BIGINT, ',' ORDER BY i) FILTER (WHERE i >= n_prompt AND role = 'assistant'), '') AS rejected_mask
+       coalesce(string_agg((r_end - length(rejected) - 1)::BIGINT || ':' || r_end::BIGINT, ',' ORDER BY i) FILTER (WHERE i >= n_prompt AND paired AND role = 'assistant'), '') AS rejected_mask
 FROM ends GROUP BY conv_id
 """
 

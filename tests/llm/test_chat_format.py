@@ -34,6 +34,16 @@ def test_turns_are_ordered_and_paired(spark):
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     conv = conversations_of(turns)
     assert [t["text"] for t in conv.filter("conv_id = 2").first()["turns"]] == ["a", "b", "late"]
-    got = {r["conv_id"]: [t["text"] for t in r["rejected"]] for r in paired_with_neighbour(conv).collect()}
-    assert got == {2: ["a", "r", "late"], 3: ["q", "b"]}
+    got = {r["conv_id"]: r["rejected"] and [t["text"] for t in r["rejected"]] for r in paired_with_neighbour(conv).collect()}
+    assert got == {2: ["a", "r", "late"], 3: ["q", "b"], 4: None, 5: None}  # none is lost for its partner
+    alone = {r["conv_id"]: r for r in preference_pairs(paired_with_neighbour(conv)).collect()}[5]
+    assert (alone["n_prompt"], alone["chosen_completion"], alone["rejected_completion"], alone["rejected_mask"]) == (0, "<|assistant|>\ns\n", "", [])
     assert preference_pairs(paired_with_neighbour(conversations_of(turns.limit(0)))).collect() == []
+
+
+def test_long_turns_and_repeated_rows(spark):
+    long = "word " * 1_200_000
+    rows = [(0, 0, "user", long), (0, 1, "assistant", long), (1, 0, "user", "q"), (1, 1, "assistant", "r"), (1, 1, "assistant", "r")]
+    got = {r["conv_id"]: r for r in preference_pairs(paired_with_neighbour(conversations_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()}
+    assert got[0]["n_prompt"] == 1 and [tuple(m) for m in got[0]["chosen_mask"]] == [(14, 14 + len(long) + 1)]
+    assert got[1]["chosen_completion"].endswith("r\n") and len(got[1]["chosen_mask"]) == 1 and got[1]["n_prompt"] == 2  # the repeated turn is a turn
