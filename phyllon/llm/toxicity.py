@@ -15,15 +15,6 @@ from pyspark.sql import functions as F
 from .common import written
 
 _letters = re.compile(r"[^\W\d_]+")
-#: The same words for Spark, which lower-cases and cuts where the text has no letter.
-_NOT_LETTERS = r"[^\p{L}]+"
-
-
-def _features() -> Column:
-    """The distinct features of text, as parts_of makes them, in Spark."""
-    words = F.array_distinct(F.split(F.lower("text"), _NOT_LETTERS))
-    starts = lambda w: F.transform(F.filter(F.sequence(F.lit(3), F.lit(8)), lambda k: k < F.length(w)), lambda k: F.concat(F.substring(w, F.lit(1), k), F.lit("-")))
-    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.concat(F.array(w), starts(w)))))
 
 
 @dataclass(frozen=True)
@@ -49,8 +40,13 @@ def parts_of(word: str) -> list[str]:
     return [word, *(f"{word[:k]}-" for k in range(3, min(9, len(word))))]
 
 
+def features_of(text: str) -> set[str]:
+    """The distinct features of a text, in training and in scoring."""
+    return {x for w in set(_letters.findall(text.lower())) for x in parts_of(w)}
+
+
 def _occurring(texts: list[str | None], words: dict[str, int], known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (column, row) of the features that occur. known remembers words' columns; it's emptied when it's large."""
+    """The pairs (column, row) of the features that occur. known remembers words' columns, for speed; it's emptied when it's large."""
     at, row = [], []
     for i, text in enumerate(texts):
         if text:
@@ -111,57 +107,65 @@ def _fit(at: np.ndarray, row: np.ndarray, extra: np.ndarray, y: np.ndarray, widt
     return w
 
 
-def _threshold(p: np.ndarray, y: np.ndarray, low: float = 0.1, high: float = 0.5) -> float:
-    """Where probabilities that didn't see their row part the classes best (by F1), within bounds; 0.5 for rows of one class."""
+def _threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """Where probabilities that didn't see their row part the classes best (by F1): in the middle of the gap there; 0.5 for rows of one class."""
     if not 0 < y.sum() < len(y):
-        return high
+        return 0.5
     order = np.argsort(-p, kind="stable")
     hit = np.cumsum(y[order])
     f1 = 2 * hit / (np.arange(1, len(p) + 1) + y.sum())
     k = int(f1.argmax())
     after = p[order[k + 1]] if k + 1 < len(p) else 0.0
-    return float(np.clip((p[order[k]] + after) / 2, low, high))
+    return float((p[order[k]] + after) / 2)
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sample: int = 20_000, vocabulary: int = 1024, folds: int = 3, ridge: float = 0.5) -> Chain:
+def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sample: int = 20_000, apart: float = 4.0, folds: int = 3, ridge: float = 0.5) -> Chain:
     """A chain over the 0/1 columns `categories` of labels (doc_id, ...).
 
-    Trained on at most `sample` labelled rows, the first in order of a hash of doc_id. The features are the `vocabulary` words
-    and word beginnings (parts_of) that, over the documents of that sample, differ most between the classes of some category (counts by Spark). Each category's
-    model is a logistic regression on these words and on the earlier categories' probabilities, which come from models
+    Trained on at most `sample` labelled documents, the first in order of a hash of doc_id. The features are the words and word beginnings
+    (parts_of) whose share of some category's documents in that sample lies at least `apart` standard deviations off (counts by Spark). Each
+    category's model is a logistic regression on these and on the earlier categories' probabilities, which come from models
     that didn't see the row (out-of-fold); the models used later are fitted on all rows of the sample.
 
-    Rows with a null id, text or category are left out. Without labelled rows, or with one class, a category has the
+    Rows with a null id, text or category are left out. Where labels contradict each other, a document is of each category that one of them gives;
+    of documents with one id, the least text counts. Without labelled rows, or with one class, a category has the
     constant probability of its class (0 for no rows). A category's threshold is the best one for the out-of-fold probabilities.
     """
-    rows = labels.select("doc_id", *(F.col(c).cast("int").alias(f"_y{k}") for k, c in enumerate(categories))).dropna().dropDuplicates(["doc_id"])
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     ys = [f"_y{k}" for k in range(len(categories))]
+    rows = labels.select("doc_id", *(F.col(c).cast("int").alias(y) for c, y in zip(categories, ys))).dropna().groupBy("doc_id").agg(*(F.max(y).alias(y) for y in ys))
+    # Ids without a document must not take a place in the sample.
+    rows = rows.join(docs.filter("text is not null").select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+
+    @F.pandas_udf("array<string>")
+    def features(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted(features_of(t)))
+
     # The sample is broadcast: it has at most `sample` rows of an id and a few integers.
-    held = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(rows), "doc_id")
-    held = written(held.select("doc_id", *ys, _features().alias("words")), "sample")
+    held = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(rows), "doc_id").groupBy("doc_id", *ys).agg(F.min("text").alias("text"))
+    held = written(held.select("doc_id", *ys, features("text").alias("words")), "sample")
     totals = held.agg(F.count("*"), *(F.sum(y) for y in ys)).first()
     n = totals[0]
     if not n:
         return Chain(categories, {}, tuple(np.r_[np.zeros(k), -40.0] for k in range(len(categories))), (0.5,) * len(categories))
-    counts = held.select(*ys, F.explode("words").alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("df"), *(F.sum(y).alias(y) for y in ys)).filter("df >= 3")
+    counts = held.select(*ys, F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), *(F.sum(y).alias(y) for y in ys))
 
-    def apart(y: str, total: int):
+    def off(y: str, total: int) -> Column:
         # How many standard deviations the word's share of the class lies from the class's share of all rows.
         p = min(max((total or 0) / n, 1e-6), 1 - 1e-6)
         return F.abs(F.col(y) - F.col("df") * p) / F.sqrt(F.col("df") * p * (1 - p) + 1)
 
-    best = counts.withColumn("score", F.greatest(*(apart(y, totals[k + 1]) for k, y in enumerate(ys)), F.lit(0.0)))
-    chosen = best.orderBy(F.col("score").desc(), "word").limit(vocabulary).select("word").collect()  # bounded by `vocabulary`
-    words = {r[0]: k for k, r in enumerate(sorted(chosen))}
+    telling = counts.filter(F.greatest(*(off(y, totals[k + 1]) for k, y in enumerate(ys)), F.lit(0.0)) >= apart)
+    words = {r[0]: k for k, r in enumerate(telling.select("word").orderBy("word").collect())}  # bounded by the sample's words
 
     @F.pandas_udf("binary")
     def columns(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda ws: np.array(sorted(words[w] for w in ws if w in words), np.int16 if len(words) < 32768 else np.int32).tobytes())
+        return parts.map(lambda ws: np.array([words[w] for w in ws if w in words], np.int32).tobytes())
 
-    # Bounded by `sample` rows of at most `vocabulary` columns, two bytes each.
-    data = held.select("doc_id", *ys, columns("words").alias("at")).toPandas().sort_values("doc_id", kind="stable", ignore_index=True)
-    each = [np.frombuffer(x, np.int16 if len(words) < 32768 else np.int32) for x in data.pop("at")]
+    # Bounded by `sample` rows of the features that tell.
+    data = held.select(F.xxhash64("doc_id").alias("h"), "doc_id", *ys, columns("words").alias("at")).toPandas()
+    # In hashed order, so that folds don't follow a pattern of the ids.
+    data = data.sort_values(["h", "doc_id"], kind="stable", ignore_index=True)
+    each = [np.frombuffer(x, np.int32) for x in data.pop("at")]
     lens = np.array([len(x) for x in each], np.int64)
     row = np.repeat(np.arange(len(data)), lens)
     at = np.concatenate(each).astype(np.int64)
@@ -196,8 +200,11 @@ def score_toxicity(docs: DataFrame, chain: Chain, threshold: float | None = None
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, tuple[int, ...]] = {}
         for part in texts:
-            at, row = _occurring(part.tolist(), shared.value.words, known)
-            yield pd.Series(list(shared.value.probabilities(at, row, len(part))))
+            out = []
+            for a in range(0, len(part), 1000):
+                some = part.iloc[a : a + 1000].tolist()
+                out += list(shared.value.probabilities(*_occurring(some, shared.value.words, known), len(some)))
+            yield pd.Series(out)
 
     scored = docs.withColumn("_p", score("text"))
     for k, c in enumerate(chain.categories):

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from phyllon.llm.toxicity import label_categories, score_toxicity, train_chain
+from phyllon.llm.toxicity import features_of, label_categories, score_toxicity, train_chain
 
 BAD = ["clod", "dolt", "oaf"]
 
@@ -46,3 +46,55 @@ def test_edges(spark):
     some = spark.createDataFrame([(7, "a b"), (8, "c")], "doc_id long, text string")
     chain = train_chain(some, label_categories(one), ("low_quality", "toxic"))
     assert not any(r["rejected"] for r in score_toxicity(some, chain).collect())
+
+
+def dense_fit(x, y, ridge=0.5):
+    """Logistic regression by plain Newton steps until they stand still."""
+    x = np.column_stack([x, np.ones(len(x))])
+    held = np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + held, x.T @ (p - y) + held @ w)
+        w -= step / max(1, np.abs(step).max() / 2)
+    return lambda z: 1 / (1 + np.exp(-np.column_stack([z, np.ones(len(z))]) @ w))
+
+
+def test_same_as_a_plain_chain(spark):
+    rows = corpus(300, seed=4)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, t) for i, _, q, t in rows], "doc_id long, quality int, toxic int")
+    chain = train_chain(docs, label_categories(labels), ("low_quality", "toxic"))
+    # The features whose share of a class is four deviations off.
+    sets = [features_of(t) for _, t, _, _ in rows]
+    y = np.array([[1 - q, t] for _, _, q, t in rows])
+    every = sorted(set().union(*sets))
+    x = np.array([[f in s for f in every] for s in sets], float)
+    df, share = x.sum(0), y.mean(0)
+    off = np.stack([np.abs(x.T @ y[:, k] - df * p) / np.sqrt(df * p * (1 - p) + 1) for k, p in enumerate(share)]).max(0)
+    assert list(chain.words) == [f for f, o in zip(every, off) if o >= 4]
+    x = x[:, off >= 4]
+    # Each category's model sees the earlier one's out-of-fold probabilities in training, and its own model's in scoring.
+    hashes = {r[0]: r[1] for r in docs.selectExpr("doc_id", "xxhash64(doc_id)").collect()}
+    fold, seen, scored = np.argsort(np.argsort([hashes[i] for i, *_ in rows])) % 3, np.zeros((len(rows), 0)), np.zeros((len(rows), 0))
+    for k in range(2):
+        out = np.zeros(len(rows))
+        for f in range(3):
+            a = np.column_stack([x, seen])
+            out[fold == f] = dense_fit(a[fold != f], y[fold != f, k])(a[fold == f])
+        scored = np.column_stack([scored, dense_fit(np.column_stack([x, seen]), y[:, k])(np.column_stack([x, scored]))])
+        seen = np.column_stack([seen, out])
+    got = {r["doc_id"]: r for r in score_toxicity(docs, chain).collect()}
+    for k, c in enumerate(("p_low_quality", "p_toxic")):
+        assert np.abs(scored[:, k] - np.array([got[i][c] for i, *_ in rows])).max() < 1e-3
+    best = max(sorted(set(seen[:, 1])), key=lambda t: 2 * (y[seen[:, 1] >= t, 1]).sum() / ((seen[:, 1] >= t).sum() + y[:, 1].sum()))
+    assert np.array_equal(np.array([got[i]["rejected"] for i, *_ in rows]), scored[:, 1] > chain.thresholds[1]) and chain.thresholds[1] <= best + 1e-3
+
+
+def test_contradicting_labels_and_repeated_ids(spark):
+    rows = corpus(240, seed=5)
+    docs = spark.createDataFrame([r[:2] for r in rows] + [r[:2] for r in rows[:50]] + [(0, "zzz other text")], "doc_id long, text string")
+    given = [(i, q, t) for i, _, q, t in rows] + [(i, 1, 0) for i, *_ in rows[:100]] + [(10**6 + i, 1, 1) for i in range(900)]
+    one, two = (train_chain(docs.repartition(n), label_categories(spark.createDataFrame(given[::s], "doc_id long, quality int, toxic int").repartition(n)), ("low_quality", "toxic"), sample=200) for n, s in ((1, 1), (5, -1)))
+    assert one.words == two.words and one.thresholds == two.thresholds and all(np.array_equal(a, b) for a, b in zip(one.weights, two.weights))
+    assert set(BAD) & set(one.words)  # labels without a document don't take the sample's places
