@@ -87,7 +87,7 @@ def near_duplicates(
     Two vectors are linked if their cosine, in double precision, is at least `cosine`; n_links counts the others linked to a
     vector, component_id is the smallest vec_id that links reach and kept says that it's the vector's own.
 
-    Equal vectors are one (the smallest id) with a count. Spherical k-means is fitted on at most `sample` vectors, the first
+    Equal vectors are one with a count. Spherical k-means is fitted on at most `sample` vectors, the first
     in order of a hash of vec_id. The centroid where a linked pair meets is that of its middle: a vector x of c can have
     such a middle at d only if x.c - x.d <= |x - middle| |c - d|, and linked vectors are at most
     2 sin(angle / 4) from their middle. Each vector goes to every cell that this bound allows, so no link is lost. Where vectors
@@ -98,7 +98,7 @@ def near_duplicates(
     most_cells and sample.
 
     Null vectors, zero vectors, and ones with a null or non-finite component or another length than most link with nothing; they, and rows with a
-    null vec_id, are their own component (null for a null id). Rows with equal ids count as copies if equal. An empty
+    null vec_id, are their own component (null for a null id). Rows with equal ids count as copies if equal, else as vectors of their own. An empty
     table gives an empty result; further columns are ignored.
     """
     spark = vectors.sparkSession
@@ -109,13 +109,14 @@ def near_duplicates(
     length = rows.filter("fine").groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
     dims = length["n"] if length else 0
     rows = rows.withColumn("fine", F.col("fine") & (F.size("v") == dims))
-    # -0.0 and 0.0 are one value to groupBy, so equal vectors are one group.
-    distinct = written(rows.filter("fine").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vectors")
+    # -0.0 and 0.0 are one value to groupBy, so equal vectors are one group. They are numbered as written: ids may be those of other vectors, too.
+    distinct = rows.filter("fine").groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    distinct = written(distinct.withColumn("id", F.monotonically_increasing_id()), "vectors")
     n = distinct.count()
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     k = max(1, min(most_cells, n // per_cell))
-    few = distinct.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]  # bounded by `sample`
+    few = distinct.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).select("v").toPandas()["v"]  # bounded by `sample`
     x = np.stack(few.to_list())
     centroids = spherical_kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), min(k, len(x)))
     label = merged_cells(_allowed(x, centroids, reach), probes)
@@ -130,7 +131,7 @@ def near_duplicates(
             cuts = np.flatnonzero(np.diff(key // n_cells)) + 1
             yield pdf.assign(kcells=np.split((key % n_cells).astype(np.int32), cuts))
 
-    placed = written(distinct.mapInPandas(assign, "v array<double>, id long, copies long, kcells array<int>"), "placed")
+    placed = written(distinct.select("v", "id", "copies").mapInPandas(assign, "v array<double>, id long, copies long, kcells array<int>"), "placed")
     sizes = placed.select(F.explode("kcells").alias("kcell")).groupBy("kcell").agg(F.count("*").alias("size"))
     members = placed.withColumn("kcell", F.explode("kcells")).join(F.broadcast(sizes), "kcell")  # at most `most_cells` rows
     dealt = cells(members, "kcell", "size", "id", 4 * block)
@@ -172,8 +173,10 @@ def near_duplicates(
     found = written(by_cell(dealt, compare, "id long, links long, root long", partitions), "links")
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    of_id = counts.join(roots, "id")
-    sets = distinct.join(of_id, "id", "left").select(F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("more"), F.coalesce("root", "id").alias("root"))
+    of_id = written(counts.join(roots, "id").join(distinct.select("id", "vec_id"), "id"), "linked")
+    least = written(of_id.groupBy("root").agg(F.min("vec_id").alias("least")), "least")
+    of_id = of_id.join(least, "root").select("id", "links", "least")
+    sets = distinct.join(of_id, "id", "left").select(F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("more"), F.coalesce("least", "vec_id").alias("root"))
     out = rows.withColumn("key", F.when(F.col("fine"), F.col("v"))).join(sets, F.col("key") == F.col("w"), "left")
     out = out.select("vec_id", F.coalesce("more", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").isNull() | (F.col("vec_id") == F.col("component_id")))

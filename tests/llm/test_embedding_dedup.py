@@ -77,3 +77,10 @@ def test_cells_of_a_blur_are_merged():
         allowed[g * 100 : g * 100 + 100, g * 10 : g * 10 + 10] = True
     assert np.array_equal(merged_cells(allowed, 8), np.repeat([0, 1, 2], 10))
     assert not merged_cells(np.ones((50, 20), bool), 64).any()
+
+
+def test_equal_ids_of_different_vectors(spark):
+    e = np.eye(16)
+    rows = [(1, e[0]), (1, e[1]), (2, e[0] + 0.01 * e[5]), (3, e[1] + 0.01 * e[6]), (4, e[2]), (4, e[2]), (5, e[2] * 3 + 0.01 * e[7])]
+    got = near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in rows], SCHEMA)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 2, 4), (4, 2, 4), (5, 2, 4)]
