@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import new_table, written
 
 U = np.uint64
 NONE = np.iinfo(np.int64).max
@@ -259,7 +259,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, q: int = 20, block_bytes: in
     most_runs = max(1, part_bytes // 300)  # of one q-gram: refinement takes some 5 kB for a run
     # Spark joins with the bucketed table without moving it if it has no fewer buckets than shuffles have partitions.
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (6 * block_bytes)))
-    name = f"blocks_{uuid.uuid4().hex}"
+    name = new_table("blocks")
     _pack(docs, block_bytes).write.option("compression", "zstd").bucketBy(files, "block").saveAsTable(name)
     blocks = spark.table(name)
 

@@ -4,7 +4,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from phyllon.llm.common import shared_dir
+from phyllon.llm.common import scratch, shared_dir
 from phyllon.llm.suffix_dedup import NONE, refine, remove_repeats
 
 SCHEMA = "doc_id long, text string"
@@ -76,3 +76,14 @@ def test_a_frequent_line_is_not_one_group(spark):
     back = spark.read.parquet(*(f"file://{p}" for p in set(folder.glob("pieces-*")) - old)).selectExpr("p", "length(bits) AS n").groupBy("p").sum("n").collect()
     windows = [r[1] for r in back]
     assert len(windows) > 12 and max(windows) < 0.3 * sum(windows)
+
+
+def test_long_texts_and_nothing_left_behind(spark):
+    rng = np.random.default_rng(8)
+    long = "".join(rng.choice(list("abcdefgh "), 5_000_000))
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    tables, files = spark.catalog.listTables(), set(folder.iterdir())
+    with scratch(spark):
+        got = {r["doc_id"]: r for r in remove_repeats(spark.createDataFrame([(1, long), (2, "x" + long[100:] + "y"), (3, "short"), (2, "x" + long[100:] + "y")], SCHEMA)).drop("kept").collect()}
+    assert {i: r["n_removed"] for i, r in got.items()} == {1: 0, 2: len(long) - 100, 3: 0}
+    assert spark.catalog.listTables() == tables and set(folder.iterdir()) == files
