@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from phyllon.llm.bpe import encode_column
-from phyllon.llm.common import table, written
-from phyllon.llm.jaccard_join import jaccard_join
+from phyllon.llm.common import scratch, table, written
+from phyllon.llm.jaccard_join import jaccard_classes
 from phyllon.llm.mixing import mix_sources, repeated
 from phyllon.llm.queries import vocabulary
 from phyllon.llm.secret_scan import redact
 from phyllon.llm.toxicity import label_categories, score_toxicity, train_chain
 
+#: Other columns of the documents don't go on.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain takes for toxic go."""
+    """Documents that the classifier chain takes for toxic go. Null and empty texts stay; each of repeated rows is judged by its text."""
     chain = train_chain(docs, label_categories(table(spark, sf_dir, "labels")), ("low_quality", "toxic"))
     return score_toxicity(docs.select(COLUMNS), chain).filter(~F.col("rejected")).select(COLUMNS)
 
@@ -26,34 +26,28 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays. Of repeated rows (same id and text) one stays.
 
-    Rows with one id and different texts are documents of their own; of near-duplicates among them one stays.
+    Rows with one id and different texts are documents of their own; of near-duplicates among them one stays. Documents with a null id and
+    those without words are in no group.
     """
-    docs = docs.select(COLUMNS)
-    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        gone = jaccard_join(docs).filter(~F.col("kept")).select("doc_id")
-        return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
-    # Ids don't tell rows apart: they are numbered in the order of id and text.
-    unique = docs.withColumn("digest", F.sha2("text", 256)).dropDuplicates(["doc_id", "digest"]).repartitionByRange("doc_id", "digest")
-    ranged = written(unique.withColumn("part", F.spark_partition_id()), "unique")
-    place = F.row_number().over(W.partitionBy("part").orderBy("doc_id", "digest"))
-    number = F.shiftleft(F.col("part").cast("long"), 40) + place
-    rows = written(ranged.withColumn("number", number).withColumn("number", F.when(F.col("doc_id").isNotNull(), F.col("number"))), "numbered")
-    gone = jaccard_join(rows.select(F.col("number").alias("doc_id"), "text")).filter(~F.col("kept")).select(F.col("doc_id").alias("number"))
-    return rows.join(gone, "number", "left_anti").select(COLUMNS)
+    rows = docs.select(COLUMNS).withColumn("text_hash", F.xxhash64("text"))
+    classes = jaccard_classes(rows.select("doc_id", "text"))
+    own = (F.col("doc_id") == F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))
+    gone = classes.filter(F.col("doc_id").isNotNull() & ~own).select("doc_id", "text_hash").distinct()
+    return rows.dropDuplicates(["doc_id", "text_hash"]).join(gone, ["doc_id", "text_hash"], "left_anti").select(COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each secret in a text is replaced by the name of its kind in brackets."""
+    """Each secret in a text is replaced by the name of its kind in brackets. Null and empty texts stay as they are."""
     return redact(docs.select(COLUMNS))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it; a null text has no words, null sources are one source."""
     return repeated(mix_sources(docs.select(COLUMNS)), COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, token ids and their number."""
+    """doc_id, source, token ids and their number; none for a null or empty text. Repeated rows stay."""
     ids = docs.withColumn("ids", encode_column(docs, vocabulary()))
     return ids.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
 
@@ -71,7 +65,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents. Their outputs stay in the shared folder; what a stage wrote only for itself goes."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, keep=True)
     return docs
