@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
+from phyllon.llm.mixing import mix_sources
 from phyllon.llm.queries import vocabulary
 
 BAD = ["clod", "dolt", "oaf"]
@@ -65,6 +66,25 @@ def test_run(spark, folder):
     assert rows and json.dumps(sorted(r["n_tokens"] for r in rows)) == json.dumps(sorted(r["n_tokens"] for r in P.run(spark, folder).collect()))
 
 
+def test_run_is_the_stages_by_brute_force(spark, folder):
+    """The rows of run() from plain Python over the documents, but for which copies the mix takes: those are the operator's own (see its SQL)."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    clean = [r for r in docs if not set((r["text"] or "").split()) & set(BAD)]
+    sets = {r["doc_id"]: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (r["text"] or "").split()) else set() for r in clean}
+    kept = []
+    for r in sorted(clean, key=lambda r: r["doc_id"]):
+        own = sets[r["doc_id"]]
+        if not any(own and len(own & sets[k["doc_id"]]) >= 0.8 * len(own | sets[k["doc_id"]]) for k in kept):
+            kept.append(r)
+    texts = {r["doc_id"]: re.sub("password = \\w+", "[assign]", r["text"] or "") for r in kept}
+    mixed = mix_sources(spark.createDataFrame([(r["doc_id"], texts[r["doc_id"]], r["source"]) for r in kept], "doc_id long, text string, source string"))
+    copies = {r["doc_id"]: r["copies"] for r in mixed.collect()}
+    coder = Tokenizer.from_file(vocabulary())
+    want = [(r["doc_id"], r["source"], coder.encode(texts[r["doc_id"]], add_special_tokens=False).ids) for r in kept for _ in range(copies[r["doc_id"]])]
+    got = P.run(spark, folder).collect()
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["source"], r["ids"])) for r in got)
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
