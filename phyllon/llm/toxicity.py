@@ -119,7 +119,7 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order[k]] + after) / 2)
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sample: int = 20_000, apart: float = 4.0, folds: int = 3, ridge: float = 0.5) -> Chain:
+def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sample: int = 20_000, apart: float = 6.0, folds: int = 3, ridge: float = 0.5) -> Chain:
     """A chain over the 0/1 columns `categories` of labels (doc_id, ...).
 
     Trained on at most `sample` labelled documents, the first in order of a hash of doc_id. The features are the words and word beginnings

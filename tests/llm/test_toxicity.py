@@ -65,15 +65,15 @@ def test_same_as_a_plain_chain(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, q, t) for i, _, q, t in rows], "doc_id long, quality int, toxic int")
     chain = train_chain(docs, label_categories(labels), ("low_quality", "toxic"))
-    # The features whose share of a class is four deviations off.
+    # The features whose share of a class is six deviations off.
     sets = [features_of(t) for _, t, _, _ in rows]
     y = np.array([[1 - q, t] for _, _, q, t in rows])
     every = sorted(set().union(*sets))
     x = np.array([[f in s for f in every] for s in sets], float)
     df, share = x.sum(0), y.mean(0)
     off = np.stack([np.abs(x.T @ y[:, k] - df * p) / np.sqrt(df * p * (1 - p) + 1) for k, p in enumerate(share)]).max(0)
-    assert list(chain.words) == [f for f, o in zip(every, off) if o >= 4]
-    x = x[:, off >= 4]
+    assert list(chain.words) == [f for f, o in zip(every, off) if o >= 6]
+    x = x[:, off >= 6]
     # Each category's model sees the earlier one's out-of-fold probabilities in training, and its own model's in scoring.
     hashes = {r[0]: r[1] for r in docs.selectExpr("doc_id", "xxhash64(doc_id)").collect()}
     fold, seen, scored = np.argsort(np.argsort([hashes[i] for i, *_ in rows])) % 3, np.zeros((len(rows), 0)), np.zeros((len(rows), 0))
