@@ -53,20 +53,31 @@ def shingle_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else np.zeros(0, U)), np.array([len(s) for s in sets], np.int64)
 
 
-def signatures(flat: np.ndarray, lens: np.ndarray, size: int) -> np.ndarray:
-    """MinHash signatures (32 bits each) of sets that aren't empty."""
+def trie_names(flat: np.ndarray, lens: np.ndarray, trees: int, depth: int, upto: int) -> np.ndarray:
+    """(sets, upto, trees): the name of each set's node at depth 1 to upto in each trie of MinHash values, for sets that aren't empty.
+
+    A trie has `depth` hash functions; the lowest bits of a name (tree_bits) are the tree's number.
+    """
     rng = np.random.default_rng(11)
-    mult, add = rng.integers(1, 1 << 63, size, dtype=U) | U(1), rng.integers(0, 1 << 63, size, dtype=U)
+    mult, add = (rng.integers(1, 1 << 63, trees * depth, dtype=U) | U(1)), rng.integers(0, 1 << 63, trees * depth, dtype=U)
     starts = np.cumsum(lens) - lens
-    out = np.empty((len(lens), size), np.uint32)
-    for k in range(size):
-        h = flat * mult[k]
-        h += add[k]
-        h >>= U(32)
-        out[:, k] = np.minimum.reduceat(h, starts)
+    bits = U(tree_bits(trees))
+    out = np.empty((len(lens), upto, trees), np.int64)
+    for t in range(trees):
+        name = np.full(len(lens), t, U)
+        for k in range(upto):
+            h = flat * mult[t * depth + k]
+            h += add[t * depth + k]
+            h >>= U(32)
+            name = mixed(name * U(0x9E3779B97F4A7C15) + np.minimum.reduceat(h, starts))
+            out[:, k, t] = (name >> bits << bits | U(t)).view(np.int64)
     return out
 
 
+def tree_bits(trees: int) -> int:
+    return (trees - 1).bit_length()
+
+
 def found_share(similarity: float | np.ndarray, trees: int, depth: int) -> float | np.ndarray:
     """The probability that two sets of that similarity share a prefix of that depth in one of the trees."""
     return 1 - (1 - similarity**depth) ** trees
@@ -80,16 +91,16 @@ def prefix_depth(similarity: float, trees: int, depth: int, recall: float) -> in
 
 
 def _nodes(names: DataFrame) -> DataFrame:
-    """The trie nodes of names (v, tree, node) with several vertices: node, root (its smallest vertex) and n. Written, so that joins with it can be split."""
+    """The trie nodes of names (v, node) with several vertices: node, root (its smallest vertex) and n. Written, so that joins with it can be split."""
     return written(names.groupBy("node").agg(F.min("v").alias("root"), F.count("*").alias("n")).filter("n > 1"), "nodes")
 
 
 def _named(vertices: DataFrame, depth: str) -> DataFrame:
-    return vertices.select("v", F.posexplode(depth).alias("tree", "node"))
+    return vertices.select("v", F.explode(depth).alias("node"))
 
 
-def _placed(near: DataFrame, nodes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Where the candidates near (v, tree, node, n, root) are compared: (v, grp, whole), and (cell, part, diagonal, tree, whole, v).
+def _placed(near: DataFrame, nodes: DataFrame, trees: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Where the candidates near (v, node, n, root) are compared: (v, grp, whole), and (cell, part, diagonal, tree, whole, v).
 
     Vertices that shared nodes chain together are a group. It is compared all with all if it's small or if that takes no
     more comparisons than all its nodes apart (a true cluster); a group that only chains together is compared node by
@@ -102,7 +113,7 @@ def _placed(near: DataFrame, nodes: DataFrame, block: int) -> tuple[DataFrame, D
     sizes = written(sizes.select("grp", "size", whole.alias("whole")), "sizes")
     members = written(groups.select(F.col("id").alias("v"), F.col("root").alias("grp")).join(sizes, "grp"), "members")
     together = members.filter("whole").select("v", "whole", F.col("grp").alias("at"), "size", F.lit(-1).alias("tree"))
-    single = members.filter("not whole").select("v", "whole").join(near, "v").select("v", "whole", F.col("node").alias("at"), F.col("n").alias("size"), "tree")
+    single = members.filter("not whole").select("v", "whole").join(near, "v").select("v", "whole", F.col("node").alias("at"), F.col("n").alias("size"), F.pmod("node", F.lit(1 << tree_bits(trees))).cast("int").alias("tree"))
     placed = cells(together.unionAll(single), "at", "size", "v", block)
     return members.select("v", "grp", "whole"), placed.select(F.concat_ws(":", "cell", "tree").alias("cell"), "part", "diagonal", "tree", "whole", "v")
 
@@ -130,29 +141,39 @@ def jaccard_join(
     doc_id are classes of their own with a null class_id. Rows with equal ids and equal texts count as copies; rows with equal ids and different
     texts are vertices of their own. An empty table gives an empty result; further columns are ignored.
     """
+    rows = jaccard_classes(docs, n, similarity, trees, depth, recall, block)
+    kept = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))
+    return rows.select("doc_id", "class_id", "n_links", kept.alias("kept"))
+
+
+def jaccard_classes(docs: DataFrame, n: int = 5, similarity: float = 0.8, trees: int = 24, depth: int = 8, recall: float = 0.9995, block: int = 384) -> DataFrame:
+    """jaccard_join by (doc_id, text_hash), for ids that don't tell rows apart: doc_id, text_hash (xxhash64 of text), class_id, class_hash, n_links.
+
+    class_id and class_hash are the least (doc_id, text_hash) of the class, so one text of each class has them as its own.
+    """
     spark = docs.sparkSession
     low = prefix_depth(similarity, trees, depth, recall)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").filter("doc_id is not null")
-    signed = written(rows.mapInPandas(_signing(n, trees, depth, low), "doc_id long, h long, key binary, deep array<long>, low array<long>"), "signed")
+    signed = written(rows.mapInPandas(_signing(n, trees, depth, low), "doc_id long, h long, key binary, low array<long>"), "signed")
     # One vertex for each set, numbered as written. The node names are equal within a set, so any row's do.
-    one = signed.filter("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("m"), F.count("*").alias("copies"), F.first("deep").alias("deep"), F.first("low").alias("low"))
-    vertices = written(one.select(F.monotonically_increasing_id().alias("v"), "key", "m.doc_id", "m.h", "copies", "deep", "low"), "vertices")
+    one = signed.filter("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("m"), F.count("*").alias("copies"), F.first("low").alias("low"))
+    vertices = written(one.select(F.monotonically_increasing_id().alias("v"), "key", "m.doc_id", "m.h", "copies", "low"), "vertices")
 
     # Whoever shares a longer prefix shares the shorter one: all candidates of both steps are known here, and only they need their sets.
     named = _named(vertices, "low")
     nodes = _nodes(named)
     near = written(named.join(nodes, "node"), "near")
-    met = vertices.join(near.select("v").distinct(), "v", "left_semi")
+    met = vertices.select("doc_id", "h", "v", "key", "copies").join(near.select("v").distinct(), "v", "left_semi")
     texts = rows.groupBy("doc_id", "h").agg(F.first("text").alias("text"))  # repeated rows count once, before they are moved
-    held = texts.join(met.select("doc_id", "h", "v", "key", "copies", "deep", "low"), ["doc_id", "h"])
-    sets = written(held.mapInPandas(_sets(n), "v long, copies long, deep array<long>, low array<long>, shingles binary"), "sets")
+    held = texts.join(met, ["doc_id", "h"])
+    sets = written(held.mapInPandas(_sets(n, trees, depth, low), "v long, copies long, deep array<long>, low array<long>, shingles binary"), "sets")
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "v long, links long, pairs long, missed double, root long"
     deep_named = _named(sets, "deep")
     deep_nodes = _nodes(deep_named)
     deep_near = deep_named.join(deep_nodes, "node")
-    groups, placed = _placed(deep_near, deep_nodes, block)
+    groups, placed = _placed(deep_near, deep_nodes, trees, block)
     cell_rows = placed.join(sets.select("v", "copies", "shingles", F.col("deep").alias("names")), "v")
     share = lambda s: found_share(s, trees, depth)
     first = written(by_cell(cell_rows, _verify(similarity, share), schema, partitions), "first")
@@ -160,9 +181,11 @@ def jaccard_join(
     # Expected recall of a vertex at the full depth, from the links that it has there.
     known = first.groupBy("v").agg(F.sum("pairs").alias("k"), F.sum("missed").alias("e"))
     settled = written(known.filter((F.col("k") + float(share(similarity))) / (F.col("k") + F.col("e") + 1) >= recall).select("v", F.lit(True).alias("settled")), "settled")
-    open_near = near.select("v", "tree", "node").join(settled, "v", "left")
-    open_nodes = written(open_near.groupBy("node").agg(F.min("v").alias("root"), F.count("*").alias("n"), F.count("settled").alias("s")).filter("n > s").drop("s"), "open")
-    _, placed = _placed(near.select("v", "tree", "node").join(open_nodes, "node"), open_nodes, block)
+    # Left open are nodes where someone isn't settled, and not all were compared with each other before.
+    open_near = near.select("v", "node").join(settled, "v", "left").join(groups.filter("whole").select("v", F.col("grp").alias("met")), "v", "left")
+    open_nodes = open_near.groupBy("node").agg(F.min("v").alias("root"), F.count("*").alias("n"), F.count("settled").alias("s"), F.count("met").alias("m"), F.min("met").alias("lo"), F.max("met").alias("hi"))
+    open_nodes = written(open_nodes.filter("n > s and not (m = n and lo = hi)").select("node", "root", "n"), "open")
+    _, placed = _placed(near.select("v", "node").join(open_nodes, "node"), open_nodes, trees, block)
     earlier = sets.select("v", "copies", "shingles", F.col("low").alias("names"), "deep").join(groups.withColumnRenamed("whole", "met_all"), "v", "left").join(settled, "v", "left")
     earlier = earlier.select("*", F.coalesce("grp", F.lit(-1)).alias("met_in")).drop("grp").fillna(False, ["met_all", "settled"])
     second = written(by_cell(placed.join(earlier, "v"), _verify(similarity, share), schema, partitions), "second")
@@ -170,15 +193,16 @@ def jaccard_join(
     linked = first.unionAll(second).select("v", "links", "root")
     roots = components(linked.select(F.col("v").alias("a"), F.col("root").alias("b")))
     counts = linked.groupBy("v").agg(F.sum("links").alias("links"))
-    of_vertex = written(counts.join(roots, counts["v"] == roots["id"]).join(vertices.select("v", "doc_id", "key", "copies"), counts["v"] == vertices["v"]).select("key", "copies", "doc_id", "links", "root"), "linked")
-    least = written(of_vertex.groupBy("root").agg(F.min("doc_id").alias("class_id")), "least")
-    grouped = of_vertex.join(least, "root").select("key", "links", "class_id")
-    own = vertices.select("key", "copies", "doc_id").join(grouped, "key", "left")
-    own = own.select(F.col("key").alias("k"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"))
-    out = signed.select("doc_id", "key").join(own, F.col("key") == F.col("k"), "left")
-    out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = out.unionAll(docs.filter("doc_id is null").select(F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(0).cast("long")))
-    return out.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id")))
+    of_vertex = counts.join(roots, counts["v"] == roots["id"]).select(counts["v"], "links", "root")
+    of_vertex = written(of_vertex.join(vertices.select("v", "doc_id", "h", "key"), "v"), "linked")
+    least = written(of_vertex.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("least")), "least")
+    grouped = of_vertex.join(least, "root").select("key", "links", "least")
+    own = vertices.select("key", "copies", F.struct("doc_id", "h").alias("own")).join(grouped, "key", "left")
+    own = own.select(F.col("key").alias("k"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "own").alias("least"))
+    out = signed.select("doc_id", "h", "key").join(own, F.col("key") == F.col("k"), "left")
+    out = out.select("doc_id", F.col("h").alias("text_hash"), F.coalesce("least.doc_id", "doc_id").alias("class_id"), F.coalesce("least.h", "h").alias("class_hash"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    none = docs.filter("doc_id is null").withColumn("_h", F.xxhash64("text"))
+    return out.unionAll(none.select(F.lit(None).cast("long"), "_h", F.lit(None).cast("long"), "_h", F.lit(0).cast("long")))
 
 
 def _keys(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -188,30 +212,27 @@ def _keys(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 def _signing(n: int, trees: int, depth: int, low: int):
+    """The key of each text's set and its nodes at depth `low`; null without words."""
+
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for a in range(0, len(pdf), 400):
                 part = pdf.iloc[a : a + 400]
                 flat, lens = shingle_sets(part["text"].tolist(), n)
                 some = np.flatnonzero(lens)
-                keys, deep, short = [None] * len(part), [None] * len(part), [None] * len(part)
+                keys, names = [None] * len(part), [None] * len(part)
                 if len(some):
-                    sig = signatures(flat, lens[some], trees * depth).reshape(len(some), trees, depth).astype(U)
-                    name = np.zeros((len(some), trees), U) + np.arange(trees, dtype=U)
-                    at: dict[int, np.ndarray] = {}
-                    for k in range(depth):
-                        name = mixed(name * U(0x9E3779B97F4A7C15) + sig[:, :, k])
-                        at[k + 1] = name.view(np.int64)
+                    nodes = trie_names(flat, lens[some], trees, depth, low)[:, -1]
                     raw = _keys(flat, (np.cumsum(lens) - lens)[some], lens[some])
                     for j, i in enumerate(some.tolist()):
-                        keys[i], deep[i], short[i] = raw[j].tobytes(), at[depth][j], at[low][j]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "h": part["h"].to_numpy(), "key": keys, "deep": deep, "low": short})
+                        keys[i], names[i] = raw[j].tobytes(), nodes[j]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "h": part["h"].to_numpy(), "key": keys, "low": names})
 
     return sign
 
 
-def _sets(n: int):
-    """The sorted shingle hashes of each vertex from its text."""
+def _sets(n: int, trees: int, depth: int, low: int):
+    """Of each candidate, from its text: the sorted shingle hashes, and its nodes at full depth and at `low`."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -220,11 +241,11 @@ def _sets(n: int):
                 flat, lens = shingle_sets(part["text"].tolist(), n)
                 ends = np.cumsum(lens)
                 # Of rows with one id and colliding text hashes only the vertex's own is right.
-                own = [bytes(k) for k in part["key"]] if len(part) else []
                 raw = _keys(flat, ends - lens, lens)
-                fine = [raw[i].tobytes() == k for i, k in enumerate(own)]
+                fine = [raw[i].tobytes() == bytes(k) for i, k in enumerate(part["key"])]
+                names = trie_names(flat, lens, trees, depth, depth)
                 data = [flat[e - m : e].tobytes() for e, m in zip(ends.tolist(), lens.tolist())]
-                yield part[["v", "copies", "deep", "low"]].assign(shingles=data)[fine]
+                yield part[["v", "copies"]].assign(deep=list(names[:, -1]), low=list(names[:, low - 1]), shingles=data)[fine]
 
     return sets
 

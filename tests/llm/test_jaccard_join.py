@@ -90,9 +90,9 @@ def test_a_long_chain_of_candidates(spark):
 
 def compared(spark, nodes, block):
     """How many comparisons _placed deals out, and whether the groups are whole, for nodes as lists of vertices."""
-    rows = [(v, 0, k, len(vs), min(vs)) for k, vs in enumerate(nodes) for v in vs]
-    near = spark.createDataFrame(rows, "v long, tree int, node long, n long, root long")
-    members, placed = _placed(near, near.select("node", "root", "n").distinct(), block)
+    rows = [(v, k << 5, len(vs), min(vs)) for k, vs in enumerate(nodes) for v in vs]
+    near = spark.createDataFrame(rows, "v long, node long, n long, root long")
+    members, placed = _placed(near, near.select("node", "root", "n").distinct(), 24, block)
     sizes = [r["count"] for r in placed.groupBy("cell").count().collect()]
     return sum(n * n for n in sizes), max(sizes), {r["whole"] for r in members.collect()}
 
