@@ -108,15 +108,18 @@ def _fit(at: np.ndarray, row: np.ndarray, extra: np.ndarray, y: np.ndarray, widt
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Where probabilities that didn't see their row part the classes best (by F1): in the middle of the gap there; 0.5 for rows of one class."""
-    if not 0 < y.sum() < len(y):
-        return 0.5
+    """Where probabilities that didn't see their row part the classes best: in the middle of the gap with the best F1 above which most rows are of the class.
+
+    0.5 where there's no such gap (the features don't tell) or where all rows are of one class.
+    """
     order = np.argsort(-p, kind="stable")
-    hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(p) + 1) + y.sum())
+    at, hit = np.append(p[order], 0.0), np.cumsum(y[order])
+    n = np.arange(1, len(p) + 1)
+    f1 = np.where((at[:-1] > at[1:]) & (2 * hit >= n), 2 * hit / (n + y.sum()), 0)
+    if not 0 < y.sum() < len(y) or not f1.any():
+        return 0.5
     k = int(f1.argmax())
-    after = p[order[k + 1]] if k + 1 < len(p) else 0.0
-    return float((p[order[k]] + after) / 2)
+    return float((at[k] + at[k + 1]) / 2)
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sample: int = 20_000, apart: float = 6.0, folds: int = 3, ridge: float = 0.5) -> Chain:

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from phyllon.llm.toxicity import features_of, label_categories, score_toxicity, train_chain
+from phyllon.llm.toxicity import _threshold, features_of, label_categories, score_toxicity, train_chain
 
 BAD = ["clod", "dolt", "oaf"]
 
@@ -98,3 +98,19 @@ def test_contradicting_labels_and_repeated_ids(spark):
     one, two = (train_chain(docs.repartition(n), label_categories(spark.createDataFrame(given[::s], "doc_id long, quality int, toxic int").repartition(n)), ("low_quality", "toxic"), sample=200) for n, s in ((1, 1), (5, -1)))
     assert one.words == two.words and one.thresholds == two.thresholds and all(np.array_equal(a, b) for a, b in zip(one.weights, two.weights))
     assert set(BAD) & set(one.words)  # labels without a document don't take the sample's places
+
+
+def test_thresholds():
+    p = np.array([0.9, 0.8, 0.3, 0.2, 0.1])
+    assert _threshold(p, np.array([1, 1, 1, 0, 0])) == 0.25
+    assert _threshold(p, np.array([0, 0, 0, 0, 1])) == 0.5  # no gap has most rows of the class above it
+    assert _threshold(np.full(5, 0.2), np.array([1, 0, 0, 0, 0])) == 0.5  # equal probabilities have no gap but the last
+    assert _threshold(p, np.zeros(5)) == _threshold(p, np.ones(5)) == 0.5
+
+
+def test_features_that_do_not_tell_reject_nothing(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(rng.choice(["ala", "bebe", "coco", "didi"], 9)), 1, int(i % 6 == 0)) for i in range(120)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, t) for i, _, q, t in rows], "doc_id long, quality int, toxic int")
+    assert score_toxicity(docs, train_chain(docs, label_categories(labels), ("low_quality", "toxic"))).filter("rejected").count() == 0
