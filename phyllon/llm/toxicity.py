@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 
 _letters = re.compile(r"[^\W\d_]+")
 
@@ -64,8 +64,16 @@ def _occurring(texts: list[str | None], words: dict[str, int], known: dict[str,
     return np.array(at, np.int64), np.array(row, np.int64)
 
 
-def _fit(at: np.ndarray, row: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, ridge: float, steps: int = 8, inner: int = 12) -> np.ndarray:
-    """Logistic regression with a ridge (not on the bias), by Newton steps that conjugate gradients solve."""
+def _row_sums(x: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Sums of x by row; the rows follow each other in x and have lens entries."""
+    out, some = np.zeros(len(lens)), lens > 0
+    if some.any():
+        out[some] = np.add.reduceat(x, (np.cumsum(lens) - lens)[some])
+    return out
+
+
+def _fit(at: np.ndarray, lens: np.ndarray, extra: np.ndarray, y: np.ndarray, width: int, ridge: float, steps: int = 8, inner: int = 12) -> np.ndarray:
+    """Logistic regression with a ridge (not on the bias), by Newton steps that conjugate gradients solve. at: the columns of each row, lens: how many."""
     n, k = extra.shape
     w = np.zeros(width + k + 1)
     if not n:
@@ -73,8 +81,8 @@ def _fit(at: np.ndarray, row: np.ndarray, extra: np.ndarray, y: np.ndarray, widt
         return w
     held = np.full(width + k + 1, ridge)
     held[-1] = 1e-6
-    into = lambda v: np.bincount(row, v[at], n) + extra @ v[width:-1] + v[-1]
-    back = lambda g: np.r_[np.bincount(at, g[row], width), extra.T @ g, g.sum()]
+    into = lambda v: _row_sums(v[at], lens) + extra @ v[width:-1] + v[-1]
+    back = lambda g: np.r_[np.bincount(at, np.repeat(g, lens), width), extra.T @ g, g.sum()]
     cost = lambda z, v: np.logaddexp(0, z).sum() - z @ y + (held * v * v).sum() / 2
     pi = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     w[-1] = math.log(pi / (1 - pi))
@@ -83,7 +91,7 @@ def _fit(at: np.ndarray, row: np.ndarray, extra: np.ndarray, y: np.ndarray, widt
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         grad = back(p - y) + held * w
         curve = p * (1 - p)
-        scale = np.r_[np.bincount(at, curve[row], width), (extra**2).T @ curve, curve.sum()] + held
+        scale = np.r_[np.bincount(at, np.repeat(curve, lens), width), (extra**2).T @ curve, curve.sum()] + held
         d, r = np.zeros_like(w), -grad
         q = r / scale
         s, rq = q.copy(), r @ q
@@ -170,8 +178,8 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...],
     data = data.sort_values(["h", "doc_id"], kind="stable", ignore_index=True)
     each = [np.frombuffer(x, np.int32) for x in data.pop("at")]
     lens = np.array([len(x) for x in each], np.int64)
-    row = np.repeat(np.arange(len(data)), lens)
     at = np.concatenate(each).astype(np.int64)
+    del each
     fold = np.arange(len(data)) % folds
     earlier, weights = np.zeros((len(data), 0)), []
     for y in ys:
@@ -179,12 +187,10 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...],
         out = np.zeros(len(data))
         for f in range(folds if len(data) >= folds else 0):
             train = fold != f
-            of = np.cumsum(train) - 1
-            pick = train[row]
-            w = _fit(at[pick], of[row[pick]], earlier[train], target[train], len(words), ridge)
-            z = np.bincount(row, w[at], len(data)) + earlier @ w[len(words) : -1] + w[-1]
+            w = _fit(at[np.repeat(train, lens)], lens[train], earlier[train], target[train], len(words), ridge)
+            z = _row_sums(w[at], lens) + earlier @ w[len(words) : -1] + w[-1]
             out[~train] = (1 / (1 + np.exp(-np.clip(z, -40, 40))))[~train]
-        weights.append(_fit(at, row, earlier, target, len(words), ridge))
+        weights.append(_fit(at, lens, earlier, target, len(words), ridge))
         earlier = np.column_stack([earlier, out])
     return Chain(categories, words, tuple(weights), tuple(_threshold(earlier[:, k], data[y].to_numpy()) for k, y in enumerate(ys)))
 
@@ -202,12 +208,8 @@ def score_toxicity(docs: DataFrame, chain: Chain, threshold: float | None = None
     @F.pandas_udf("array<double>")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, tuple[int, ...]] = {}
-        for part in texts:
-            out = []
-            for a in range(0, len(part), 1000):
-                some = part.iloc[a : a + 1000].tolist()
-                out += list(shared.value.probabilities(*_occurring(some, shared.value.words, known), len(some)))
-            yield pd.Series(out)
+        for part in slices(texts):
+            yield pd.Series(list(shared.value.probabilities(*_occurring(part.tolist(), shared.value.words, known), len(part))))
 
     scored = docs.withColumn("_p", score("text"))
     for k, c in enumerate(chain.categories):
