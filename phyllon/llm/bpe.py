@@ -15,6 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 
 #: Fixed value: how byte-level BPE cuts a text before it merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -37,7 +38,7 @@ class Encoder:
     tokens: list[bytes]
     merges: list[tuple[int, int, int]]
     special: dict[str, int]
-    keep: int = 250_000
+    keep: int = 100_000
 
     @staticmethod
     def of(vocabulary: str) -> Encoder:
@@ -300,7 +301,7 @@ def encode_column(docs: DataFrame, vocabulary: str, column: str = "text") -> Col
 
     @F.pandas_udf("array<int>")
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
+        for part in slices(texts):
             yield pd.Series(list(shared.value.encode_all(t or "" for t in part)), dtype=object)
 
     return encode(column)
@@ -312,7 +313,7 @@ def decode_column(docs: DataFrame, vocabulary: str, column: str) -> Column:
 
     @F.pandas_udf("string")
     def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in ids:
+        for part in slices(ids):
             yield pd.Series([None if x is None else shared.value.decode(np.asarray(x, np.int64)) for x in part])
 
     return decode(column)
@@ -329,7 +330,7 @@ def encode_report(docs: DataFrame, vocabulary: str) -> DataFrame:
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def report(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = shared.value
-        for part in texts:
+        for part in slices(texts):
             coded = coder.encode_all(t or "" for t in part)
             rows = [(len(ids), sha(coder.joined(ids)), sha(coder.decode(ids))) for ids in coded]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])

@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(parts: Iterator[pd.Series], rows: int = 250) -> Iterator[pd.Series]:
+    """Arrow batches in slices, so that what a UDF makes of one is small: Spark's batches may have 10,000 texts."""
+    for part in parts:
+        for a in range(0, len(part), rows):
+            yield part.iloc[a : a + rows]
+
+
 _local_dirs: dict[str, str] = {}
 #: Folders and tables that operators wrote and scratch() may delete.
 _written: list[tuple[str, str]] = []

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Automaton, compile_rules
+from .common import slices
 
 #: The kinds and their patterns, base kinds first.
 RULES = {
@@ -105,7 +106,7 @@ def scan_secrets(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
 
     @F.pandas_udf("array<struct<start: long, kind: string, end: long>>")
     def scan(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
+        for part in slices(texts):
             yield pd.Series([[{"start": a, "kind": k, "end": b} for a, k, b in find_secrets(t, shared.value)] for t in part])
 
     return docs.withColumn("secrets", scan("text"))
