@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bounded_batches, slices
 
 #: Fixed value: how byte-level BPE cuts a text before it merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -291,6 +291,7 @@ class Encoder:
 
 
 def _shared(spark, vocabulary: str):
+    bounded_batches(spark)
     with open(vocabulary, encoding="utf-8") as f:
         return spark.sparkContext.broadcast(Encoder.of(f.read()))
 

@@ -20,8 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Has Spark hand texts to Python in batches of at most so many rows: the usual 10,000 take much memory in executors and workers.
+
+    Sets an option of the session, as Spark reads it when a lazy result runs; a lower setting is kept.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def slices(parts: Iterator[pd.Series], rows: int = 250) -> Iterator[pd.Series]:
-    """Arrow batches in slices, so that what a UDF makes of one is small: Spark's batches may have 10,000 texts."""
+    """Arrow batches in slices, so that what a UDF makes of one is small."""
     for part in parts:
         for a in range(0, len(part), rows):
             yield part.iloc[a : a + rows]

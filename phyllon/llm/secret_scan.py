@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Automaton, compile_rules
-from .common import slices
+from .common import bounded_batches, slices
 
 #: The kinds and their patterns, base kinds first.
 RULES = {
@@ -102,6 +102,7 @@ def scan_secrets(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     A null or empty text has an empty array. A column named secrets is replaced; an empty table gives an empty result.
     The automata are compiled once and broadcast: their size depends on the rules only.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Scanner.of(rules))
 
     @F.pandas_udf("array<struct<start: long, kind: string, end: long>>")

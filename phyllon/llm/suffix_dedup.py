@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_table, written
+from .common import bounded_batches, new_table, written
 
 U = np.uint64
 NONE = np.iinfo(np.int64).max
@@ -254,6 +254,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, q: int = 20, block_bytes: in
     table gives an empty result; further columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
     most_runs = max(1, part_bytes // 300)  # of one q-gram: refinement takes some 5 kB for a run

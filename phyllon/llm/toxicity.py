@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import bounded_batches, slices, written
 
 _letters = re.compile(r"[^\W\d_]+")
 
@@ -142,6 +142,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...],
     of documents with one id, the least text counts. Without labelled rows, or with one class, a category has the
     constant probability of its class (0 for no rows). A category's threshold is the best one for the out-of-fold probabilities.
     """
+    bounded_batches(docs.sparkSession)
     ys = [f"_y{k}" for k in range(len(categories))]
     rows = labels.select("doc_id", *(F.col(c).cast("int").alias(y) for c, y in zip(categories, ys))).dropna().groupBy("doc_id").agg(*(F.max(y).alias(y) for y in ys))
     # Ids without a document must not take a place in the sample.
@@ -203,6 +204,7 @@ def score_toxicity(docs: DataFrame, chain: Chain, threshold: float | None = None
     """
     added = [*(f"p_{c}" for c in chain.categories), "rejected"]
     docs = docs.drop(*added)
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     @F.pandas_udf("array<double>")

@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, written
+from .common import bounded_batches, new_folder, written
 
 #: Fixed values of the format.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -110,6 +110,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 8 << 20,
     A file's name is new in each attempt of a task, and only files in the manifest count: a task that is run again leaves
     no damage. folder is any URI that pyarrow writes, such as file:// or hdfs://.
     """
+    bounded_batches(pages.sparkSession)
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     page = page.withColumn("digest", F.sha1("payload")).withColumn("null", F.col("page_id").isNull()).withColumn("page_id", F.coalesce("page_id", F.lit(0)))
     # Which pages revisit which is found on digests. Payloads are moved once, by page, so pages with one payload are no hot key.
