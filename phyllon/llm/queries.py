@@ -14,6 +14,7 @@ from .embedding_dedup import near_duplicates
 from .fingerprints import fingerprint_documents
 from .jaccard_join import jaccard_join
 from .mixing import mix_sources
+from .prefix_trie import TRIE_SQL, conversation_trie
 from .secret_scan import secret_report
 from .suffix_dedup import remove_repeats
 from .toxicity import label_categories, score_toxicity, train_chain
@@ -149,6 +150,10 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, chain).drop("text")
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -167,10 +172,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_jaccard_join,
         op9_warc_round_trip,
         op10_toxicity_chain,
+        op13_conversation_trie,
         pipeline,
     )
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op7_preference_chats": OP7_SQL, "op9_warc_round_trip": OP9_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op7_preference_chats": OP7_SQL, "op9_warc_round_trip": OP9_SQL, "op13_conversation_trie": TRIE_SQL}
