@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_report
 from .chat_format import conversations_of, paired_with_neighbour, preference_pairs
 from .common import table
+from .divergence import DIVERGENCE_SQL, source_divergence
 from .embedding_dedup import near_duplicates
 from .fingerprints import fingerprint_documents
 from .jaccard_join import jaccard_join
@@ -150,6 +151,10 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, chain).drop("text")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
@@ -172,6 +177,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_jaccard_join,
         op9_warc_round_trip,
         op10_toxicity_chain,
+        op12_source_divergence,
         op13_conversation_trie,
         pipeline,
     )
@@ -179,4 +185,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op7_preference_chats": OP7_SQL, "op9_warc_round_trip": OP9_SQL, "op13_conversation_trie": TRIE_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op7_preference_chats": OP7_SQL, "op9_warc_round_trip": OP9_SQL, "op12_source_divergence": DIVERGENCE_SQL, "op13_conversation_trie": TRIE_SQL}
