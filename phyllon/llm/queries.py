@@ -14,6 +14,7 @@ from .divergence import DIVERGENCE_SQL, source_divergence
 from .embedding_dedup import near_duplicates
 from .fingerprints import fingerprint_documents
 from .jaccard_join import jaccard_join
+from .license_scan import license_sql, scan_licenses
 from .mixing import mix_sources
 from .prefix_trie import TRIE_SQL, conversation_trie
 from .secret_scan import secret_report
@@ -151,6 +152,10 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, chain).drop("text")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
@@ -177,6 +182,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_jaccard_join,
         op9_warc_round_trip,
         op10_toxicity_chain,
+        op11_license_scan,
         op12_source_divergence,
         op13_conversation_trie,
         pipeline,
@@ -185,4 +191,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op7_preference_chats": OP7_SQL, "op9_warc_round_trip": OP9_SQL, "op12_source_divergence": DIVERGENCE_SQL, "op13_conversation_trie": TRIE_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op7_preference_chats": OP7_SQL, "op9_warc_round_trip": OP9_SQL, "op11_license_scan": license_sql(), "op12_source_divergence": DIVERGENCE_SQL, "op13_conversation_trie": TRIE_SQL}
