@@ -59,9 +59,9 @@ def log_softmax(logits: Column | str) -> Column:
 
 
 def top_k(probs: Column | str, classes: Column | str, k: int = 3) -> Column:
-    """The k (or all, if fewer) most probable classes as (label, confidence in percent); of equal ones the lower index comes first."""
+    """The k (or all, if fewer) most probable classes as (label, confidence in percent); of equal ones the lower index comes first. A score beyond the classes has a null label."""
     p, names = col(probs), col(classes)
-    rows = F.transform(p, lambda v, i: F.struct((-v).alias("p"), i.alias("i"), names[i].alias("label")))
+    rows = F.transform(p, lambda v, i: F.struct((-v).alias("p"), i.alias("i"), F.get(names, i).alias("label")))
     return F.transform(F.slice(F.array_sort(rows), 1, k), lambda r: F.struct(clean_label(r["label"]).alias("label"), confidence_pct(-r["p"]).alias("confidence")))
 
 
@@ -78,8 +78,8 @@ def is_correct(logits: Column | str, label: Column | str) -> Column:
 
 
 def discount_pct(price: Column | str, mrp: Column | str) -> Column:
-    """Whole percent off the list price, halves up; null if it's not over 0."""
-    pct = round_half_up((1 - col(price) / col(mrp)) * 100)
+    """Whole percent off the list price, halves up; null if it's not over 0, or there's no list price or one of 0."""
+    pct = round_half_up((1 - F.try_divide(col(price), col(mrp))) * 100)
     return F.when(pct > 0, pct)
 
 

@@ -103,13 +103,16 @@ def _with_data(df: DataFrame, fn) -> DataFrame:
 
 
 def to_rgb(images: DataFrame) -> DataFrame:
-    """(image_id or path columns, height, width, data) from Spark's image struct: BGR becomes RGB, alpha goes, grey is repeated."""
+    """(image_id or path columns, height, width, data) from Spark's image struct: BGR becomes RGB, alpha goes, grey is repeated. Data of unreadable images is null."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for h, w, n, data in zip(pdf["height"], pdf["width"], pdf["nChannels"], pdf["data"]):
-                x = np.frombuffer(data, np.uint8).reshape(h, w, n)
+                if data is None or not h > 0:
+                    out.append(None)
+                    continue
+                x = np.frombuffer(data, np.uint8).reshape(int(h), int(w), int(n))
                 out.append((np.repeat(x, 3, 2) if n == 1 else x[..., 2::-1]).tobytes())
             yield pdf.assign(data=out).drop(columns="nChannels")
 
@@ -149,21 +152,52 @@ def image_tensor(df: DataFrame) -> DataFrame:
     return df.mapInPandas(each, f"{schema}, tensor array<float>")
 
 
+REGION = ("x1", "y1", "x2", "y2")
+
+
+def crop_array(x: np.ndarray, region: tuple) -> np.ndarray:
+    """x cut to its region (x1, y1, x2, y2, ends exclusive), which is clamped to the image; all of x where a corner is null or nothing is left."""
+    if any(v is None or v != v for v in region):
+        return x
+    x1, y1, x2, y2 = (max(0, int(v)) for v in region)
+    return part if (part := x[y1:y2, x1:x2]).size else x
+
+
+def _tensor(x: np.ndarray, height: int, width: int) -> np.ndarray:
+    level = np.clip(np.floor(np.round(resize_array(x, height, width), 6) + 0.5), 0, 255)
+    return np.moveaxis((level / 255.0 - MEAN) / STD, 2, 0).astype(np.float32).ravel()
+
+
+def crop_images(df: DataFrame) -> DataFrame:
+    """df (height, width, data, x1, y1, x2, y2) with images cut to their regions, see crop_array; the tensor form of crop_to_region."""
+    return _with_data(df, lambda x, row: crop_array(x, tuple(getattr(row, c) for c in REGION)).astype(float))
+
+
 def prepare(df: DataFrame, height: int = 224, width: int = 224, above: float = 0.04) -> DataFrame:
-    """df (height, width, data) to is_leaf and features (the normalised tensor of the resized image) instead, in one pass; data is dropped."""
+    """df (height, width, data) to is_leaf and features (the normalised tensor of the resized image) instead, in one pass; data is dropped.
+
+    Null data gives nulls. Where df has x1, y1, x2, y2, the leaf gate is of the whole image and the tensor of its region (see crop_array); these columns go, too.
+    """
+    boxed = set(REGION) <= set(df.columns)
+    gone = ["height", "width", "data", *(REGION if boxed else ())]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for a in range(0, len(pdf), 64):  # tensors are large
                 part = pdf.iloc[a : a + 64]
+                regions = part[[*REGION]].astype(object).where(part[[*REGION]].notna(), None).itertuples(index=False, name=None) if boxed else ((None,) for _ in range(len(part)))
                 leaf, out = [], []
-                for x in _arrays(part):
+                for h, w, data, region in zip(part["height"], part["width"], part["data"], regions):
+                    if data is None:
+                        leaf.append(None)
+                        out.append(None)
+                        continue
+                    x = np.frombuffer(data, np.uint8).reshape(int(h), int(w), -1)
                     leaf.append(bool(in_range_array(x, LEAF).mean() > above))
-                    level = np.clip(np.floor(np.round(resize_array(x, height, width), 6) + 0.5), 0, 255)
-                    out.append(np.moveaxis((level / 255.0 - MEAN) / STD, 2, 0).astype(np.float32).ravel())
-                yield part.drop(columns=["height", "width", "data"]).assign(is_leaf=leaf, features=out)
+                    out.append(_tensor(crop_array(x, region), height, width))
+                yield part.drop(columns=gone).assign(is_leaf=leaf, features=out)
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c not in ("height", "width", "data"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c not in gone)
     return df.mapInPandas(each, f"{schema}, is_leaf boolean, features array<float>")
 
 

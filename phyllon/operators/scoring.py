@@ -20,7 +20,7 @@ def linear_head(weights: np.ndarray, bias: np.ndarray) -> Predict:
 
 
 def score(df: DataFrame, make_predict_fn: Callable[[str], Predict], features: str = "features") -> DataFrame:
-    """df with logits, array<double>, of each row's crop's model; null where make_predict_fn has no model (KeyError).
+    """df with logits, array<double>, of each row's crop's model; null where make_predict_fn has no model (KeyError) or features are null.
 
     Each worker makes a crop's model once and keeps it. Rows aren't moved by crop: nine crops would be nine tasks.
     """
@@ -29,7 +29,9 @@ def score(df: DataFrame, make_predict_fn: Callable[[str], Predict], features: st
         models: dict[str, Predict | None] = {}
         for pdf in batches:
             out = np.empty(len(pdf), object)
-            for crop, at in pdf.groupby("crop", sort=False).indices.items():
+            some = np.flatnonzero(pdf[features].notna().to_numpy())
+            for crop, at in pdf.iloc[some].groupby("crop", sort=False).indices.items():
+                at = some[at]
                 if crop not in models:
                     try:
                         models[crop] = make_predict_fn(crop)

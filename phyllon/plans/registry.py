@@ -222,12 +222,13 @@ LARGEST = """, cut AS (SELECT image_id, box_id, trunc(x1)::INT AS x1, trunc(y1):
 
 @query("boxes", LARGEST + " SELECT * FROM best")
 def largest_box(spark, d):
-    return regions.largest_box(regions.filter_boxes(X.boxes(spark, d)))
+    return regions.largest_box(regions.filter_boxes(X.boxes(spark, d))).withColumn("area", F.col("area").cast("int"))
 
 
 @query("boxes images", LARGEST + " SELECT image_id, box_id, area, greatest(0, x1 - 20) AS x1, greatest(0, y1 - 20) AS y1, least(width, x2 + 20) AS x2, least(height, y2 + 20) AS y2, height, width FROM best JOIN images USING (image_id)")
 def pad_and_clamp(spark, d):
-    return regions.pad_and_clamp(regions.largest_box(regions.filter_boxes(X.boxes(spark, d))), X.images(spark, d))
+    best = regions.largest_box(regions.filter_boxes(X.boxes(spark, d))).withColumn("area", F.col("area").cast("int"))
+    return regions.pad_and_clamp(best, X.images(spark, d))
 
 
 REGION = LARGEST + ", region AS (SELECT image_id, coalesce(greatest(0, x1 - 20), 0) AS x1, coalesce(greatest(0, y1 - 20), 0) AS y1, CASE WHEN x2 IS NULL THEN width ELSE least(width, x2 + 20) END AS x2, CASE WHEN y2 IS NULL THEN height ELSE least(height, y2 + 20) END AS y2, box_id IS NOT NULL AS found FROM images LEFT JOIN best USING (image_id))"
@@ -246,6 +247,26 @@ def crop_to_region(spark, d):
     return rows.withColumn("x", (F.col("x") / 30).cast("int")).withColumn("y", (F.col("y") / 60).cast("int"))
 
 
+SMALL_BOX = LARGEST.replace("FROM boxes", "FROM (SELECT image_id, box_id, x1 / 30 AS x1, y1 / 60 AS y1, x2 / 30 AS x2, y2 / 60 AS y2, conf FROM boxes)")
+
+
+@query(
+    "boxes pixels",
+    SMALL_BOX + """, own AS (SELECT DISTINCT image_id FROM pixels), cut0 AS (SELECT image_id, greatest(0, x1 - 1) AS a, greatest(0, y1 - 1) AS b, least(7, x2 + 1) AS c, least(3, y2 + 1) AS d FROM best),
+    region AS (SELECT image_id, CASE WHEN a < c AND b < d THEN a ELSE 0 END AS x1, CASE WHEN a < c AND b < d THEN b ELSE 0 END AS y1, CASE WHEN a < c AND b < d THEN c ELSE 7 END AS x2, CASE WHEN a < c AND b < d THEN d ELSE 3 END AS y2 FROM own LEFT JOIN cut0 USING (image_id)),
+    px AS (SELECT p.image_id, p.x - x1 AS x, p.y - y1 AS y, x2 - x1 AS w, y2 - y1 AS h, unnest([0, 1, 2]) AS c, unnest([r, g, b]) AS v FROM pixels p JOIN region q USING (image_id) WHERE p.x >= x1 AND p.x < x2 AND p.y >= y1 AND p.y < y2),
+    ways AS (SELECT n, i, src, wt / sum(wt) OVER (PARTITION BY n, i) AS wt FROM (SELECT n, i, src, greatest(0, 1 - abs(src - ((i + 0.5::DOUBLE) * n / 2 - 0.5::DOUBLE)) / greatest(n / 2::DOUBLE, 1)) AS wt FROM range(1, 8) a(n), range(2) b(i), range(7) e(src) WHERE src < n)),
+    v1 AS (SELECT image_id, c, x, w, i AS y, sum(wt * v) AS v FROM px JOIN ways ON n = h AND src = y GROUP BY image_id, c, x, w, i),
+    v2 AS (SELECT image_id, c, y, i AS x, floor(round(sum(wt * v), 6) + 0.5) AS v FROM v1 JOIN ways ON n = w AND src = x GROUP BY image_id, c, y, i)
+    SELECT image_id, (c * 4 + y * 2 + x)::INT AS i, round((v / 255.0::DOUBLE - [0.485, 0.456, 0.406][c + 1]::DOUBLE) / [0.229, 0.224, 0.225][c + 1]::DOUBLE, 4) AS value FROM v2""",
+)
+def region_tensor(spark, d):
+    small = X.boxes(spark, d).withColumns({c: F.col(c) / n for c, n in (("x1", 30), ("y1", 60), ("x2", 30), ("y2", 60))})
+    rows = _grid(X.pixels(spark, d)).join(regions.padded_boxes(small, pad=1), "image_id", "left")
+    tensors = pixels.prepare(rows, 2, 2).select("image_id", F.posexplode("features").alias("i", "v"))
+    return tensors.select("image_id", "i", F.round(F.col("v").cast("double"), 4).alias("value"))
+
+
 # Scores and verdicts
 
 

@@ -6,11 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def file_path(origin: Column | str) -> Column:
+    """The path that the image source writes as a URI, with blanks, % and letters beyond ASCII as they are."""
+    return F.url_decode(F.replace(F.col(origin) if isinstance(origin, str) else origin, F.lit("+"), F.lit("%2B")))
+
+
+def folder_of(path: Column | str) -> Column:
+    """The name of the folder that a file is in."""
+    return F.element_at(F.split(path, "/"), -2)
+
+
 def read_labeled_images(spark: SparkSession, root: str, crop: str) -> DataFrame:
     """(crop, path, label, image) of all images under root; the label is the folder's name. Broken files have height -1."""
     images = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(root)
-    path = F.col("image.origin")
-    return images.select(F.lit(crop).alias("crop"), path.alias("path"), F.element_at(F.split(path, "/"), -2).alias("label"), "image")
+    path = file_path("image.origin")
+    return images.select(F.lit(crop).alias("crop"), path.alias("path"), folder_of(path).alias("label"), "image")
 
 
 def _starts(hex_: Column, *magic: str) -> Column:

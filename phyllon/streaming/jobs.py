@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from phyllon.operators.pixels import prepare, to_rgb
+from phyllon.operators.pixels import REGION, prepare, to_rgb
+from phyllon.operators.regions import padded_boxes
 from phyllon.operators.scoring import score, verdicts
-from phyllon.sources.images import check_image_type, split_decodable
+from phyllon.sources.images import file_path, folder_of
 
 
 def stream_verdicts(spark: SparkSession, src: str, schema: str, config: DataFrame, make_predict_fn: Callable, sink: str, ckpt: str) -> StreamingQuery:
@@ -23,34 +24,56 @@ def stream_verdicts(spark: SparkSession, src: str, schema: str, config: DataFram
     return rows.writeStream.format("parquet").option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start(sink)
 
 
-def image_verdicts(images: DataFrame, config: DataFrame, make_predict_fn: Callable, height: int = 224, width: int = 224) -> DataFrame:
-    """images (crop, image: Spark's image struct that could be read, and any id columns) to verdicts: RGB, leaf gate, tensor, score, gates."""
-    ready = prepare(to_rgb(images.withColumn("crop", F.lower(F.trim("crop")))), height, width)
-    return verdicts(score(ready, make_predict_fn), config)
+def image_verdicts(images: DataFrame, config: DataFrame, make_predict_fn: Callable, height: int = 224, width: int = 224, boxes: DataFrame | None = None, conf: float = 0.25, pad: int = 20) -> DataFrame:
+    """images (crop, image: Spark's image struct that could be read, and any id columns) to verdicts: RGB, leaf gate, region, tensor, score, gates.
+
+    With a detector's boxes (path, box_id, x1, y1, x2, y2, conf) the leaf gate is of the whole image, and the score of its largest box, padded; of the whole image
+    where there's none. Boxes become a row an image before they are joined by path: Spark broadcasts these where they are small. For larger ones store images and boxes
+    bucketed by path (sources.store.write_bucketed): neither moves then. All pixel work is one pass over the images.
+    """
+    rows = images.withColumn("crop", F.lower(F.trim("crop")))
+    if boxes is not None:
+        rows = rows.drop(*REGION).join(padded_boxes(boxes, conf, pad, "path"), "path", "left")
+    return verdicts(score(prepare(to_rgb(rows), height, width), make_predict_fn), config)
+
+
+#: Endings of the types that are taken; a file's ending is the type that it declares.
+ENDINGS = r"(?i)\.(jpe?g|png|webp)$"
 
 
 def stream_image_verdicts(
-    spark: SparkSession, src: str, config: DataFrame, make_predict_fn: Callable, sink: str, rejects: str, ckpt: str, height: int = 224, width: int = 224, files: int = 1000
+    spark: SparkSession,
+    src: str,
+    config: DataFrame,
+    make_predict_fn: Callable,
+    sink: str,
+    rejects: str,
+    ckpt: str,
+    height: int = 224,
+    width: int = 224,
+    files: int = 1000,
+    boxes: DataFrame | None = None,
 ) -> StreamingQuery:
     """Each new file src/<crop>/<name> becomes a verdict (path, ...) in sink; files of other kinds and broken images go to rejects (path, reject_reason).
 
-    A micro-batch has at most `files` files. Each one writes folders of its own number anew, so one that runs again leaves no row twice.
-    Runs until no file is left.
+    One stream of Spark's image source: executors decode a file where they read it, once, and no path or pixel comes to the driver. Rejected files go through
+    the same pass with null pixels. A micro-batch has at most `files` files; its outcomes, without pixels, are kept while the two sinks are written.
+    Each micro-batch writes folders of its own number anew, so one that runs again leaves no row twice. Runs until no file is left.
+    boxes (path, ...) as in image_verdicts.
     """
-    read = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files)
-    arriving = check_image_type(read.load(src)).select("path", "image_type", "reject_reason")
+    schema = "image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
+    read = spark.readStream.format("image").schema(schema).option("recursiveFileLookup", True).option("dropInvalid", False).option("maxFilesPerTrigger", files).load(src)
+    path = F.col("path")
+    reason = F.when(~path.rlike(ENDINGS), "not a JPEG, PNG or WebP image").when(F.coalesce(F.col("image.height"), F.lit(-1)) <= 0, "the image can't be read")
+    arriving = read.select(file_path("image.origin").alias("path"), "image").select("path", folder_of(path).alias("crop"), reason.alias("reject_reason"), "image")
+    # An image of no accepted type isn't scored, even if it could be read.
+    arriving = arriving.withColumn("image", F.when(F.col("reject_reason").isNull(), F.col("image")))
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.collect()  # at most `files` paths and reasons
-        paths = [r["path"] for r in rows if r["image_type"]]
-        bad = spark.createDataFrame([(r["path"], r["reject_reason"]) for r in rows if not r["image_type"]], "path string, reject_reason string")
-        if paths:
-            loaded = spark.read.format("image").option("dropInvalid", False).load(paths)
-            path = F.col("image.origin")
-            good, broken = split_decodable(loaded.select(path.alias("path"), F.element_at(F.split(path, "/"), -2).alias("crop"), "image"))
-            bad = bad.unionAll(broken.select("path", F.lit("the image can't be read")))
-            image_verdicts(good, config, make_predict_fn, height, width).write.mode("overwrite").parquet(f"{sink}/batch={number}")
-        bad.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+        outcomes = image_verdicts(batch, config, make_predict_fn, height, width, boxes).persist()
+        outcomes.filter("reject_reason is null").drop("reject_reason").write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        outcomes.filter("reject_reason is not null").select("path", "reject_reason").write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+        outcomes.unpersist()
 
     return arriving.writeStream.foreachBatch(write).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
 
