@@ -11,24 +11,38 @@ def clamp_qty(df: DataFrame) -> DataFrame:
     return df.withColumn("qty", F.greatest(F.lit(1), F.coalesce("qty", F.lit(1))))
 
 
-def _live(events: DataFrame, keys: list[str]) -> DataFrame:
-    """The lines (keys, med_id) that adds after their last remove leave: qty and the first of these adds."""
-    moves = events.filter("action <> 'clear'")
-    removed = moves.filter("action = 'remove'").groupBy(*keys, "med_id").agg(F.max("seq").alias("gone"))
-    adds = clamp_qty(moves.filter("action = 'add'"))
-    # Maxima combine before their shuffle; the join deals a cart of very many events anew, which a window could not.
-    rows = adds.join(removed, [*keys, "med_id"], "left").filter("gone is null or seq > gone")
-    return rows.groupBy(*keys, "med_id").agg(F.sum("qty").alias("qty"), F.min("seq").alias("first_seq"))
+def session_lines(events: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """(cart_id, order_no, med_id, qty, first_seq, n_clears): what each cart held at each of its clears (order_no, from 0), and what it holds now (order_no = n_clears).
 
-
-def cart_state(events: DataFrame) -> DataFrame:
-    """(cart_id, med_id, qty, first_seq) of events (cart_id, seq, action, med_id, qty).
-
-    add merges quantities, remove drops the item, clear empties the cart. first_seq gives the order of a cart's lines.
+    events are (cart_id, seq, action, med_id, qty). An add merges its quantity (at least 1), a remove drops the item, a clear empties the cart; of equal seq, clears and
+    removes come last; events without seq are left out. Events move once, by cart and stretch of `span` values of seq, so one cart of very many events is many groups. A stretch becomes a summary:
+    for each item and each clear within the stretch whether it was removed, and the adds since. Summaries merge in any order: an item's quantity is the sum of those from
+    its last stretch with a remove on. Only summaries meet by cart: a row for each stretch and item.
     """
-    cleared = events.filter("action = 'clear'").groupBy("cart_id").agg(F.max("seq").alias("cleared"))
-    rows = events.filter("action <> 'clear'").join(cleared, "cart_id", "left").filter("cleared is null or seq > cleared")
-    return _live(rows, ["cart_id"])
+    rows = events.filter("seq is not null").select("cart_id", "seq", "action", "med_id", "qty", F.floor(F.col("seq") / span).alias("at"), (F.col("action") == "clear").cast("long").alias("clear"))
+    before = W.partitionBy("cart_id", "at").orderBy("seq", "clear").rowsBetween(W.unboundedPreceding, -1)
+    numbered = rows.withColumn("own", F.coalesce(F.sum("clear").over(before), F.lit(0)))
+    of_item = W.partitionBy("cart_id", "at", "own", "med_id")
+    gone = F.max(F.when(F.col("action") == "remove", F.col("seq"))).over(of_item)
+    live = (F.col("action") == "add") & (gone.isNull() | (F.col("seq") > gone))
+    marked = numbered.withColumn("live", live).withColumn("removed", F.col("action") == "remove")
+    qty = F.greatest(F.lit(1), F.coalesce("qty", F.lit(1)))
+    summaries = marked.groupBy("cart_id", "at", "own", "med_id").agg(
+        F.sum(F.when(F.col("live"), qty)).alias("qty"), F.min(F.when(F.col("live"), F.col("seq"))).alias("first_seq"), F.bool_or("removed").alias("removed")
+    )
+    of_cart = W.partitionBy("cart_id")
+    upto = of_cart.orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    clears = rows.groupBy("cart_id", "at").agg(F.sum("clear").alias("n"))  # summed before it moves
+    clears = clears.select("cart_id", "at", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("earlier"), F.sum("n").over(of_cart).alias("n_clears"))
+    ordered = summaries.join(clears, ["cart_id", "at"]).withColumn("order_no", F.col("earlier") + F.col("own"))
+    since = F.max(F.when(F.col("removed"), F.col("at"))).over(W.partitionBy("cart_id", "order_no", "med_id"))
+    kept = ordered.withColumn("since", since).filter("qty is not null and (since is null or at >= since)")
+    return kept.groupBy("cart_id", "order_no", "med_id").agg(F.sum("qty").alias("qty"), F.min("first_seq").alias("first_seq"), F.max("n_clears").alias("n_clears"))
+
+
+def cart_state(events: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """(cart_id, med_id, qty, first_seq): what each cart holds after its events, see session_lines. first_seq gives the order of a cart's lines."""
+    return session_lines(events, span).filter("order_no = n_clears").select("cart_id", "med_id", "qty", "first_seq")
 
 
 def line_totals(cart: DataFrame, products: DataFrame) -> DataFrame:
@@ -50,23 +64,8 @@ def checkout(totals: DataFrame) -> DataFrame:
     return totals.withColumn("delivery", delivery(F.col("total"))).withColumn("grand_total", F.col("total") + F.col("delivery"))
 
 
-def _order_no(events: DataFrame, span: int) -> DataFrame:
-    """events with order_no, the clears of the cart before the event, in two levels: clears by stretch of seq, and those within the stretch.
-
-    A window over the cart alone would put a cart of very many events in one task; a stretch has at most span values of seq.
-    """
-    rows = events.withColumn("_at", F.floor(F.col("seq") / span)).withColumn("_clear", (F.col("action") == "clear").cast("long"))
-    upto = W.partitionBy("cart_id").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
-    stretches = rows.groupBy("cart_id", "_at").agg(F.sum("_clear").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).drop("_n")
-    within = W.partitionBy("cart_id", "_at").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("_own", F.coalesce(F.sum("_clear").over(within), F.lit(0))).join(stretches, ["cart_id", "_at"])
-    return rows.withColumn("order_no", F.col("_before") + F.col("_own")).drop("_at", "_clear", "_before", "_own")
-
-
 def orders_from_events(events: DataFrame, products: DataFrame, span: int = 1 << 16) -> DataFrame:
-    """A row for each clear of a cart that wasn't empty: cart_id, order_no (clears so far), items and grand_total at that moment."""
-    sessions = _order_no(events, span)
-    closed = sessions.filter("action = 'clear'").select("cart_id", "order_no")
-    lines = line_totals(_live(sessions, ["cart_id", "order_no"]), products).join(closed, ["cart_id", "order_no"])
+    """A row for each clear of a cart that wasn't empty: cart_id, order_no (clears before), items and grand_total at that moment."""
+    lines = line_totals(session_lines(events, span).filter("order_no < n_clears"), products)
     totals = lines.groupBy("cart_id", "order_no").agg(F.sum("total").alias("total"), F.sum("qty").alias("items"))
     return checkout(totals)

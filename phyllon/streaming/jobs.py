@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from phyllon.operators.pixels import REGION, prepare, to_rgb
 from phyllon.operators.regions import padded_boxes
@@ -78,37 +78,93 @@ def stream_image_verdicts(
     return arriving.writeStream.foreachBatch(write).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
 
 
-STATE = "ids array<bigint>, qtys array<bigint>, firsts array<bigint>"
 CART = "cart_id bigint, med_ids array<bigint>, qtys array<bigint>, last_seq bigint"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _apply(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    lines: dict[int, list[int]] = {}
-    if state.exists:
-        ids, qtys, firsts = state.get
-        lines = {int(i): [int(q), int(f)] for i, q, f in zip(ids, qtys, firsts)}
-    last = -1
-    rows = pd.concat(list(batches)).sort_values("seq")
-    for x in rows.itertuples():
-        last = int(x.seq)
-        if x.action == "clear":
-            lines = {}
-        elif x.action == "remove":
-            lines.pop(int(x.med_id), None)
-        else:
-            line = lines.setdefault(int(x.med_id), [0, last])
-            line[0] += max(1, int(x.qty) if pd.notna(x.qty) else 1)
-    if lines:
-        state.update((list(lines), [q for q, _ in lines.values()], [f for _, f in lines.values()]))
-    elif state.exists:
-        state.remove()  # an empty cart keeps no state
-    order = sorted(lines, key=lambda i: lines[i][1])
-    yield pd.DataFrame({"cart_id": [key[0]], "med_ids": [order], "qtys": [[lines[i][0] for i in order]], "last_seq": [last]})
+class Line:
+    """An item of a cart: its last remove, and its adds since as (first seq, last seq, quantity)."""
+
+    def __init__(self, gone: int = -(1 << 63), adds: list[tuple[int, int, int]] | None = None) -> None:
+        self.gone, self.adds = gone, adds or []
+
+    def live(self, cleared: int) -> list[tuple[int, int, int]]:
+        return sorted(a for a in self.adds if a[1] > max(cleared, self.gone))
 
+    def settled(self, cleared: int, upto: int) -> "Line":
+        """What counts, with the adds up to that seq as one."""
+        rows = self.live(cleared)
+        old = [a for a in rows if a[1] <= upto]
+        if len(old) > 1:
+            rows = [(old[0][0], max(a[1] for a in old), sum(a[2] for a in old)), *(a for a in rows if a[1] > upto)]
+        return Line(self.gone, rows)
 
-def stream_carts(events: DataFrame) -> DataFrame:
+
+def apply_events(lines: dict[int, Line], cleared: int, events: Iterable[tuple]) -> int:
+    """Applies events (seq, action, med_id, qty) to lines, in any order, as each only raises a bound or adds to what is over the bounds; returns the new seq of the last clear."""
+    for seq, action, item, qty in events:
+        if action == "clear":
+            cleared = max(cleared, seq)
+        elif action == "remove":
+            line = lines.setdefault(item, Line())
+            line.gone = max(line.gone, seq)
+        else:
+            lines.setdefault(item, Line()).adds.append((seq, seq, max(1, qty)))
+    return cleared
+
+
+def cart_row(lines: dict[int, Line], cleared: int) -> tuple[list[int], list[int]]:
+    """Items and quantities in the order in which the items came."""
+    held = {item: rows for item, line in lines.items() if (rows := line.live(cleared))}
+    order = sorted(held, key=lambda i: held[i][0][0])
+    return order, [sum(a[2] for a in held[i]) for i in order]
+
+
+class CartProcessor(StatefulProcessor):
+    def __init__(self, horizon: int | None, ttl_ms: int | None) -> None:
+        self.horizon, self.ttl_ms = horizon, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.marks = handle.getValueState("marks", "cleared bigint, last bigint", self.ttl_ms)
+        self.items = handle.getMapState("items", "med_id bigint", "gone bigint, firsts array<bigint>, lasts array<bigint>, qtys array<bigint>", self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        cleared, last = self.marks.get() if self.marks.exists() else (-(1 << 63), -(1 << 63))
+        # All items are read, as the row that comes out has all.
+        lines = {int(k[0]): Line(int(v[0]), list(zip(*(map(int, x) for x in v[1:])))) for k, v in self.items.iterator()}
+        touched: set[int] = set()
+        for pdf in rows:
+            pdf = pdf[pdf["seq"].notna()]
+            events = [(int(e.seq), e.action, None if e.action == "clear" else int(e.med_id), 1 if pd.isna(e.qty) else int(e.qty)) for e in pdf.itertuples()]
+            touched.update(e[2] for e in events if e[2] is not None)
+            last = max([last, *(e[0] for e in events)])
+            now = apply_events(lines, cleared, events)
+            if now > cleared:
+                cleared, touched = now, touched | set(lines)
+        for item in touched:
+            line = lines[item] = lines[item].settled(cleared, last - self.horizon if self.horizon is not None else -(1 << 63))
+            if line.adds or line.gone > cleared:
+                self.items.updateValue((item,), (line.gone, *([a[i] for a in line.adds] for i in range(3))))
+            elif self.items.containsKey((item,)):
+                self.items.removeKey((item,))  # the clear says it all
+        self.marks.update((cleared, last))
+        ids, qtys = cart_row(lines, cleared)
+        yield pd.DataFrame({"cart_id": [key[0]], "med_ids": [ids], "qtys": [qtys], "last_seq": [last]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_carts(events: DataFrame, horizon: int | None = None, ttl_ms: int | None = None) -> DataFrame:
     """The state of each cart that a micro-batch of events (cart_id, seq, action, med_id, qty) touches, in update mode.
 
-    Events are in order of seq within a micro-batch; micro-batches must come in order.
+    Micro-batches and the events in them may come in any order: a cart keeps the seq of its last clear, an item that of its last remove, also when nothing is left
+    of it, and the adds after both one by one, so that a late remove or clear undoes just those before it. last_seq is the highest seq so far.
+    With horizon, adds that are so many values of seq behind the last one become one and can only be undone together, which bounds what an item keeps. With ttl_ms what
+    wasn't written for so long is forgotten; Spark then runs micro-batches without data, so use it with a continuing trigger.
+    Sets the session's state store to RocksDB, which this kind of state needs. Events without seq are left out.
     """
-    return events.groupBy("cart_id").applyInPandasWithState(_apply, CART, STATE, "update", GroupStateTimeout.NoTimeout)
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    some = events.select("cart_id", "seq", "action", "med_id", "qty")
+    return some.groupBy("cart_id").transformWithStateInPandas(CartProcessor(horizon, ttl_ms), CART, "Update", "None" if ttl_ms is None else "ProcessingTime")
