@@ -32,8 +32,41 @@ def search_products(df: DataFrame, query: str) -> DataFrame:
     """Products with the query in name, brand, category, a disease or a tag, without case and taken literally; an empty query finds all."""
     if not query:
         return df
-    texts = F.concat(F.array("name", "brand", "category"), F.coalesce("diseases", F.array().cast("array<string>")), F.coalesce("tags", F.array().cast("array<string>")))
-    return df.filter(F.exists(texts, lambda x: F.coalesce(F.contains(F.lower(x), F.lit(query.lower())), F.lit(False))))
+    return df.filter(F.exists(_texts(), lambda x: F.coalesce(F.contains(F.lower(x), F.lit(query.lower())), F.lit(False))))
+
+
+def _texts() -> Column:
+    none = F.array().cast("array<string>")
+    return F.concat(F.array("name", "brand", "category"), F.coalesce("diseases", none), F.coalesce("tags", none))
+
+
+def search_index(products: DataFrame, key: str = "med_id", parts: int = 64) -> DataFrame:
+    """(part, gram, key): the three-letter pieces of each product's searched texts in lower case, each once; part is a hash of the piece."""
+    grams = F.transform(F.filter(_texts(), lambda x: F.length(x) >= 3), lambda x: F.transform(F.sequence(F.lit(1), F.length(F.lower(x)) - 2), lambda i: F.substring(F.lower(x), i, F.lit(3))))
+    rows = products.select(F.explode(F.array_distinct(F.flatten(grams))).alias("gram"), key)
+    return rows.select(F.pmod(F.xxhash64("gram"), F.lit(parts)).cast("int").alias("part"), "gram", key).distinct()
+
+
+def write_search_index(index: DataFrame, path: str) -> None:
+    """A folder for each part, sorted by piece: a search opens the folders of its pieces only, and of those the row groups that hold them."""
+    index.repartition("part").sortWithinPartitions("part", "gram").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def search_indexed(products: DataFrame, index: DataFrame, query: str, key: str = "med_id", parts: int = 64) -> DataFrame:
+    """search_products by an index: products that have all pieces of the query, then the search itself on these. Queries under three letters scan.
+
+    parts must be those of the index. The postings of rare and of common pieces are counted alike, summed before they move.
+    """
+    text = query.lower()
+    grams = sorted({text[i : i + 3] for i in range(len(text) - 2)})
+    if not grams:
+        return search_products(products, query)
+    lits = [F.lit(g) for g in grams]
+    # The pieces' parts are computed by Spark, so they are those of the index; a row.
+    wanted = products.sparkSession.range(1).select(F.array(*(F.pmod(F.xxhash64(g), F.lit(parts)).cast("int") for g in lits))).first()[0]
+    some = index.filter(F.col("part").isin(sorted(set(wanted))) & F.col("gram").isin(grams))
+    found = some.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") == len(grams)).select(key)
+    return search_products(products.join(found, key, "left_semi"), query)
 
 
 def filter_type(df: DataFrame, kind: str | None) -> DataFrame:

@@ -85,3 +85,48 @@ def map_rows(cells: DataFrame, width: int) -> DataFrame:
     """Long cells (image_id, cell, value) to one array a map; a map has a fixed small number of cells."""
     rows = cells.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("cell", "value"))).alias("c"))
     return rows.select("image_id", (F.size("c") / width).cast("int").alias("height"), F.lit(width).alias("width"), F.transform("c", lambda x: x["value"]).alias("map"))
+
+
+def _scaled(x: np.ndarray, eps: float = 1e-8) -> np.ndarray:
+    return (x - x.min()) / (x.max() - x.min() + eps)
+
+
+def explain_array(acts: np.ndarray, grads: np.ndarray, size: tuple[int, int] | None = None, region: tuple | None = None, blur: bool = True, threshold: float | None = 0.35) -> np.ndarray:
+    """The map of an image (activations and gradients: channels x height x width): channels weighted by their mean gradient and summed, not below 0, scaled to 0-1, blurred,
+    resized, cut to the region (x1, y1, x2, y2 of the resized map, ends exclusive; all of it where a corner is null), values up to the threshold 0, and scaled again."""
+    out = _scaled(np.maximum(0, np.tensordot(grads.mean((1, 2)), acts, 1)))
+    if blur:
+        out = blur_array(out)
+    if size:
+        out = resize_array(out, *size)
+    if threshold is None:
+        return out
+    if region is not None and not any(v is None or v != v for v in region):
+        x1, y1, x2, y2 = (max(0, int(v)) for v in region)
+        mask = np.zeros_like(out)
+        mask[y1:y2, x1:x2] = 1
+        out = out * mask
+    return _scaled(np.where(out > threshold, out, 0.0))
+
+
+def explain_maps(df: DataFrame, size: tuple[int, int] | None = None, blur: bool = True, threshold: float | None = 0.35) -> DataFrame:
+    """df (height, width, acts and grads: array<double>, channel by channel, row by row) with map instead of acts and grads, see explain_array.
+
+    The tensor form of cam, minmax_normalize, blur_map, resize_map and restrict_map: one pass over the rows, nothing is moved. Where df has x1, y1, x2, y2 (nulls are
+    the whole image), these are the region and go. A null acts or grads gives a null map; other columns stay.
+    """
+    boxed = {"x1", "y1", "x2", "y2"} <= set(df.columns)
+    gone = ["acts", "grads", *(("x1", "y1", "x2", "y2") if boxed else ())]
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            regions = pdf[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None) if boxed else (None for _ in range(len(pdf)))
+            maps = []
+            for h, w, acts, grads, region in zip(pdf["height"], pdf["width"], pdf["acts"], pdf["grads"], regions):
+                some = acts is not None and grads is not None
+                maps.append(explain_array(*(np.asarray(v, float).reshape(-1, h, w) for v in (acts, grads)), size, region, blur, threshold) if some else None)
+            h, w = ([m.shape[i] if m is not None else n for m, n in zip(maps, pdf[c])] for i, c in enumerate(("height", "width")))
+            yield pdf.drop(columns=gone).assign(height=h, width=w, map=[None if m is None else m.ravel() for m in maps])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c not in (*gone, "map"))
+    return df.drop("map").mapInPandas(each, f"{schema}, map array<double>")

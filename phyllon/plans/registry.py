@@ -417,6 +417,27 @@ def blur_map(spark, d):
     return maps.select("image_id", F.posexplode("map").alias("cell", "v")).select("image_id", "cell", F.round("v", 6).alias("value"))
 
 
+RESIZED = f""", {_resize_way("rd", 8, 5)}, {_resize_way("ro", 8, 6)}, r1 AS (SELECT image_id, i AS y, cell % 8 AS x, sum(w * value) AS value FROM bl JOIN rd ON src = cell // 8 GROUP BY image_id, i, cell % 8),
+    r2 AS (SELECT image_id, y, i AS x, sum(w * value) AS value FROM r1 JOIN ro ON src = x GROUP BY image_id, y, i)"""
+BLURRED = SQL["blur_map"].partition("WITH ")[2].replace("SELECT image_id, (y * 8 + i)::INT AS cell, round(sum(w * value), 6) AS value FROM down JOIN way ON src = x GROUP BY image_id, y, i", ", bl AS (SELECT image_id, (y * 8 + i)::INT AS cell, sum(w * value) AS value FROM down JOIN way ON src = x GROUP BY image_id, y, i)")
+
+
+@query(sql=f"WITH {BLURRED}{RESIZED} SELECT image_id, (y * 6 + x)::INT AS cell, round(value, 5) AS value FROM r2")
+def resize_map(spark, d):
+    maps = explain.resize_map(explain.blur_map(explain.map_rows(_cam(spark, d), 8)), 5, 6)
+    return maps.select("image_id", F.posexplode("map").alias("cell", "v")).select("image_id", "cell", F.round("v", 5).alias("value"))
+
+
+@query(
+    sql=f"""WITH {BLURRED}{RESIZED}, k AS (SELECT image_id, y, x, CASE WHEN value * (CASE WHEN x >= 1 AND x < 5 AND y < 4 THEN 1 ELSE 0 END) > 0.35 THEN value ELSE 0 END AS v FROM r2)
+    SELECT image_id, (y * 6 + x)::INT AS cell, round((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w + 1e-8), 5) AS value FROM k WINDOW w AS (PARTITION BY image_id)"""
+)
+def explain_tensor(spark, d):
+    rows = X.cam_tensors(spark, d).withColumns({"x1": F.lit(1), "y1": F.lit(0), "x2": F.lit(5), "y2": F.lit(4)})
+    maps = explain.explain_maps(rows, (5, 6))
+    return maps.select("image_id", F.posexplode("map").alias("cell", "v")).select("image_id", "cell", F.round("v", 5).alias("value"))
+
+
 # Training
 
 
@@ -548,6 +569,12 @@ def search_products(spark, d):
     return catalog.search_products(X.products(spark, d), "K_P").select("med_id", "name")
 
 
+@query(sql=SQL["search_products"].replace("k_p", "bulk"))
+def search_indexed(spark, d):
+    rows = X.products(spark, d)
+    return catalog.search_indexed(rows, catalog.search_index(rows), "BULK").select("med_id", "name")
+
+
 @query("products", "SELECT med_id, type FROM products WHERE type IN ('organic', 'organic-approved')")
 def filter_type(spark, d):
     return catalog.filter_type(X.products(spark, d), "organic").select("med_id", "type")
