@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_table, written
+from .common import bounded_batches, new_folder, new_table, written
 
 U = np.uint64
 NONE = np.iinfo(np.int64).max
@@ -259,9 +259,11 @@ def remove_repeats(docs: DataFrame, size: int = 50, q: int = 20, block_bytes: in
     parts = max(1, -(-total // part_bytes))
     most_runs = max(1, part_bytes // 300)  # of one q-gram: refinement takes some 5 kB for a run
     # Spark joins with the bucketed table without moving it if it has no fewer buckets than shuffles have partitions.
+    # Beyond what Spark allows a bucket holds more blocks; they are read one by one all the same.
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (6 * block_bytes)))
+    files = min(files, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     name = new_table("blocks")
-    _pack(docs, block_bytes).write.option("compression", "zstd").bucketBy(files, "block").saveAsTable(name)
+    _pack(docs, block_bytes).write.option("compression", "zstd").option("path", new_folder(spark, "blocks")).bucketBy(files, "block").saveAsTable(name)
     blocks = spark.table(name)
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

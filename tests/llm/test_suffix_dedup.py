@@ -87,3 +87,22 @@ def test_long_texts_and_nothing_left_behind(spark):
         got = {r["doc_id"]: r for r in remove_repeats(spark.createDataFrame([(1, long), (2, "x" + long[100:] + "y"), (3, "short"), (2, "x" + long[100:] + "y")], SCHEMA)).drop("kept").collect()}
     assert {i: r["n_removed"] for i, r in got.items()} == {1: 0, 2: len(long) - 100, 3: 0}
     assert spark.catalog.listTables() == tables and set(folder.iterdir()) == files
+
+
+def test_blocks_are_in_the_shared_folder_and_more_than_the_buckets(spark):
+    """Spark's limit of buckets ends no run, and nothing is written to the warehouse."""
+    line = "a line of fifty bytes or more that many documents share, all of them "
+    rows = [(i, line + f"{i} own words " * 5) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, remove_repeats(df).drop("kept").collect()))
+    before = spark.conf.get("spark.sql.sources.bucketing.maxBuckets")
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", 3)
+    try:
+        with scratch(spark):
+            out = remove_repeats(df, block_bytes=200)
+            assert sorted(map(str, out.drop("kept").collect())) == want
+            places = [r["name"] for r in spark.sql("SHOW TABLES").selectExpr("tableName AS name").collect() if r["name"].startswith("blocks_")]
+            found = {spark.sql(f"DESCRIBE FORMATTED {n}").filter("col_name = 'Location'").first()["data_type"] for n in places}
+            assert found and all(shared_dir(spark).removeprefix("file://") in x for x in found)
+    finally:
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", before)
