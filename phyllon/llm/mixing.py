@@ -48,12 +48,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
     the square root of the number of rows, so that neither level grows in proportion.
 
     A null text has size 0; null sources are one source, the last; null ids and equal rows are sampled like any
-    other; an empty table gives an empty result. Columns of docs with a name that this adds are replaced.
+    other; an empty table gives an empty result. Other columns of docs stay, also where their names are used inside; those named as one that this adds
+    are replaced.
     """
+    # All but the text in a struct, so that no name clashes.
+    own = ["size", "source_size", "target", "copies", "taken"]
+    kept = [c for c in docs.columns if c not in own and c != "text"]
+    packed = docs.select(F.struct(*kept).alias("_own"), "doc_id", "text", "source")
     n = docs.count()
     buckets = max(1, (math.isqrt(max(0, n - 1)) + 1) // 32)
     hashed = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long")
-    sized = docs.drop("source_size", "target", "copies", "taken").withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    sized = packed.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     # The length of size + 8 in bits and the three bits after its first: grows with size.
     sized = sized.withColumn("_h", hashed).withColumn("_t", F.xxhash64("text")).withColumn("_bits", F.length(F.bin(F.col("size") + 8)))
     step = F.col("_bits") * 8 + F.expr("shiftright(size + 8, _bits - 4)") % 8
@@ -72,7 +77,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
     out = joined.withColumn("_row", F.col("_start") + row).withColumn("_rate", rate).withColumn("_u", offset)
     crossed = F.floor(F.col("_u") + F.col("_row") * F.col("_rate")) - F.floor(F.col("_u") + (F.col("_row") - 1) * F.col("_rate"))
     out = out.withColumn("copies", F.least(crossed, F.lit(max_repeat)).cast("long")).withColumn("taken", F.col("size") * F.col("copies"))
-    return out.drop("_h", "_t", "_bucket", "_s", "_b", "_start", "_row", "_rate", "_u")
+    columns = [F.col("text") if c == "text" else F.col("_own").getField(c).alias(c) for c in docs.columns if c not in own]
+    return out.select(*columns, *own)
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:

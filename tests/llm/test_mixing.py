@@ -71,3 +71,15 @@ def test_long_texts_do_not_move(spark):
     narrow = mix_sources(written(spark.createDataFrame(rows, SCHEMA), "docs")).select("doc_id", "copies")
     plan = narrow._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and not re.search(r"[\[ ]text#\d+[,\]]", plan)  # no projection passes it on
+
+
+def test_names_used_inside_clash_with_none(spark):
+    rows = [(i, "w " * (i % 9), f"s{i % 3}") for i in range(60)]
+    plain = spark.createDataFrame(rows, SCHEMA)
+    names = ["_s", "_b", "_t", "_h", "_start", "_row", "_bucket", "_rate", "_u", "_own", "_n", "_words", "_bits"]
+    wide = plain.withColumns({n: F.concat(F.lit(n), "doc_id") for n in names} | {"copies": F.lit("gone")})
+    got = mix_sources(wide)
+    assert set(got.columns) == {*wide.columns, "size", "source_size", "target", "copies", "taken"}
+    want = {r["doc_id"]: r["copies"] for r in mix_sources(plain).collect()}
+    for r in got.collect():
+        assert r["copies"] == want[r["doc_id"]] and all(r[n] == f"{n}{r['doc_id']}" for n in names)
