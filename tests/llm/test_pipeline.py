@@ -98,3 +98,11 @@ def test_repeated_rows_and_ids(spark):
     df = spark.createDataFrame([(i, t, "en", "s", t and len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r["doc_id"], r["text"] and r["text"][0]) for r in P.one_of_each_group(spark, df.repartition(3), "").collect()]
     assert sorted(map(str, got)) == sorted(map(str, [(1, "a"), (5, "b"), (8, "c"), (9, None), (None, "a")]))
+
+
+def test_which_of_repeated_rows_stays_is_fixed(spark):
+    rows = [(1, "a b c d e f", "en", f"s{k}", 11) for k in (3, 1, 2)] + [(2, "x y", None, None, 3), (2, "x y", "de", "s", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for n in (1, 2, 5):
+        got = P.one_of_each_group(spark, df.repartition(n), "").orderBy("doc_id").collect()
+        assert [(r["doc_id"], r["lang"], r["source"]) for r in got] == [(1, "en", "s1"), (2, None, None)]
