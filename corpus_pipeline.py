@@ -24,7 +24,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays. Of repeated rows (same id and text) one stays.
+    """Of each group of near-duplicates the document with the smallest id stays. Of rows with the same id and text the one with the least other columns stays.
 
     Rows with one id and different texts are documents of their own; of near-duplicates among them one stays. Documents with a null id and
     those without words are in no group.
@@ -33,7 +33,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     classes = jaccard_classes(rows.select("doc_id", "text"))
     own = (F.col("doc_id") == F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))
     gone = classes.filter(F.col("doc_id").isNotNull() & ~own).select("doc_id", "text_hash").distinct()
-    return rows.dropDuplicates(["doc_id", "text_hash"]).join(gone, ["doc_id", "text_hash"], "left_anti").select(COLUMNS)
+    # Which of these rows stays must not depend on the order in which they come.
+    least = rows.groupBy("doc_id", "text_hash").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("r")).select("doc_id", "text_hash", "r.*")
+    return least.join(gone, ["doc_id", "text_hash"], "left_anti").select(COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
