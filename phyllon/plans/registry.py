@@ -12,7 +12,10 @@ from phyllon.functions import columns as C
 from phyllon.operators import cart, catalog, dataset, diagnosis, explain, pixels, regions, scoring, training
 from phyllon.plans import fixtures as X
 from phyllon.plans.fixtures import with_tables
+from phyllon.sources import images
 from phyllon.sources.images import encode_base64
+from phyllon.sources.shared import shared_folder
+from phyllon.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +40,44 @@ def encode_names(spark, d):
     return encode_base64(X.table(spark, d, "part").select("p_partkey", "p_name"), "p_name")
 
 
+#: Bytes that files begin with: a JPEG's, a PNG's, a WebP's, another RIFF file's; the last are cut short.
+HEADS = ("FFD8FFE000104A464946", "89504E470D0A1A0A0000", "524946462400000057454250", "524946462400000057415645", "FFD8", "")
+
+
+@query(
+    "",
+    "SELECT p_partkey, ['jpeg', 'png', 'webp', NULL, NULL, NULL][p_partkey % 6 + 1] AS image_type, CASE WHEN p_partkey % 6 > 2 THEN 'not a JPEG, PNG or WebP image' END AS reject_reason FROM part",
+)
+def image_types(spark, d):
+    heads = F.array(*map(F.lit, HEADS))
+    rows = X.table(spark, d, "part").select("p_partkey", F.unhex(F.concat(F.get(heads, (F.col("p_partkey") % 6).cast("int")), F.hex("p_name"))).alias("content"))
+    return images.check_image_type(rows).drop("content")
+
+
+def _image_structs(spark, d) -> DataFrame:
+    """The small pictures as the image source gives them: blue first, some grey, some with alpha, some unreadable."""
+    n = F.element_at(F.array(F.lit(3), F.lit(1), F.lit(4)), (F.col("image_id") % 3 + 1).cast("int"))
+    rows = _grid(X.pixels(spark, d)).withColumn("n", n).withColumn("bad", F.col("image_id") % 7 == 4)
+    pixel = lambda k: F.substring(F.hex("data"), k * 6 + 1, F.lit(6))
+    bgr = lambda x: F.concat(F.substring(x, 5, 2), F.substring(x, 3, 2), F.substring(x, 1, 2))
+    own = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.when(F.col("n") == 1, F.substring(pixel(k), 1, 2)).when(F.col("n") == 4, F.concat(bgr(pixel(k)), F.lit("7F"))).otherwise(bgr(pixel(k))))
+    fields = {"origin": F.concat(F.lit("file:///in/"), "image_id"), "height": F.when(F.col("bad"), -1).otherwise(3), "width": F.when(F.col("bad"), -1).otherwise(7), "nChannels": F.when(F.col("bad"), -1).otherwise(F.col("n")), "mode": F.lit(0), "data": F.when(~F.col("bad"), F.unhex(F.array_join(own, "")))}
+    return rows.select("image_id", F.struct(*(v.alias(k) for k, v in fields.items())).alias("image"))
+
+
+@query("", "SELECT vec_id AS image_id, vec_id % 7 <> 4 AS readable FROM embeddings")
+def split_decodable(spark, d):
+    good, bad = images.split_decodable(_image_structs(spark, d))
+    return good.select("image_id", F.lit(True).alias("readable")).unionByName(bad.select("image_id", F.lit(False).alias("readable")))
+
+
+@query("pixels", "SELECT image_id, y, x, r, CASE WHEN image_id % 3 = 1 THEN r ELSE g END AS g, CASE WHEN image_id % 3 = 1 THEN r ELSE b END AS b FROM pixels WHERE image_id % 7 <> 4")
+def to_rgb(spark, d):
+    rows = pixels.to_rgb(images.split_decodable(_image_structs(spark, d))[0]).select("image_id", F.hex("data").alias("h")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(20))))
+    level = lambda k: F.conv(F.substring(F.col("h"), F.col("p") * 6 + 2 * k + 1, F.lit(2)), 16, 10).cast("int")
+    return rows.select("image_id", F.floor(F.col("p") / 7).cast("int").alias("y"), (F.col("p") % 7).alias("x"), *(level(k).alias(c) for k, c in enumerate("rgb")))
+
+
 # Data sets
 
 
@@ -355,6 +396,26 @@ def verdict_counts(spark, d):
     return scoring.verdicts(_requests(spark, d), X.config(spark)).groupBy("crop", "status").agg(F.count("*").alias("n"))
 
 
+@query(sql=SQL["verdicts"])
+def verdict_files(spark, d):
+    """Verdicts by way of their sink: written by crop, read back."""
+    rows, folder = verdicts(spark, d), shared_folder(spark, "verdicts")
+    images.write_verdicts(rows, folder)
+    return spark.read.schema(rows.schema).json(folder)
+
+
+@query(sql=SQL["verdicts"])
+def stream_verdicts(spark, d):
+    """Verdicts by way of the stream: requests as files, taken in until none is left."""
+    folder = shared_folder(spark, "stream")
+    leaf = pixels.is_leaf(X.pixels(spark, d)).select(F.col("image_id").alias("vec_id"), "is_leaf")
+    rows = X.table(spark, d, "embeddings").select("vec_id", F.expr(X.RAW_CROP).alias("crop"), F.col("embedding").cast("array<double>").alias("features")).join(leaf, "vec_id")
+    rows.write.parquet(f"{folder}/in")
+    schema = "vec_id long, crop string, features array<double>, is_leaf boolean"
+    jobs.stream_verdicts(spark, f"{folder}/in", schema, X.config(spark), make_head, f"{folder}/out", f"{folder}/ckpt").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("top_predictions")
+
+
 # Activation maps
 
 CAM = ", cw AS (SELECT image_id, channel, avg(grad) AS weight FROM cam_maps GROUP BY image_id, channel), cv AS (SELECT image_id, cell, greatest(0, sum(weight * act)) AS value FROM cam_maps JOIN cw USING (image_id, channel) GROUP BY image_id, cell), cn AS (SELECT image_id, cell, (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w + 1e-8) AS value FROM cv WINDOW w AS (PARTITION BY image_id))"
@@ -489,6 +550,47 @@ def model_meta(spark, d):
     return rows.select("crop", F.explode("history").alias("h"), "best_epoch", "n_classes").select("crop", "h.*", "best_epoch", "n_classes")
 
 
+@query(sql=SQL["model_meta"])
+def meta_files(spark, d):
+    """Metadata by way of their sink."""
+    folder, report = shared_folder(spark, "meta"), dataset.class_report(X.config(spark), X.samples(spark, d))
+    rows = training.model_meta(_epochs(spark, d), report)
+    images.write_model_meta(rows, folder)
+    back = spark.read.schema(rows.schema).json(folder)
+    return back.select("crop", F.explode("history").alias("h"), "best_epoch", "n_classes").select("crop", "h.*", "best_epoch", "n_classes")
+
+
+STEP = SPLIT + """, rs AS (SELECT s.*, split FROM samples s JOIN split USING (sample_id, crop)), tr AS (SELECT * FROM rs WHERE split = 'train'),
+ ft AS (SELECT crop, n_classes, class_idx, unnest(list_append(features, 1.0::DOUBLE)) AS x, generate_subscripts(list_append(features, 1.0::DOUBLE), 1) - 1 AS j FROM tr),
+ ks AS (SELECT DISTINCT crop, n_classes, unnest(range(n_classes)) AS k FROM tr), ns AS (SELECT crop, count(*) AS n FROM tr GROUP BY crop),
+ gr AS (SELECT f.crop, j, k, 0.9::DOUBLE * (sum(x) / any_value(f.n_classes) - sum(CASE WHEN class_idx = k THEN x ELSE 0 END)) / any_value(n) AS g FROM ft f JOIN ks ON ks.crop = f.crop JOIN ns ON ns.crop = f.crop GROUP BY f.crop, j, k),
+ hd AS (SELECT crop, j, k, -3e-4::DOUBLE * g / (abs(g) + 1e-8::DOUBLE) AS w FROM gr)"""
+
+
+def _one_epoch(spark, d):
+    rows = dataset.train_val_split(X.samples(spark, d).select("sample_id", "crop", "features", "class_idx", "n_classes"))
+    return training.train_models(rows, X.config(spark), epochs=1)
+
+
+@query("config samples", STEP + " SELECT crop, j::INT AS j, k::INT AS k, CASE WHEN abs(w) < 5e-7 THEN 0 ELSE round(w, 6) END AS weight FROM hd")
+def train_step(spark, d):
+    """Heads after one epoch from nothing: a step against the gradient's sign, but for tiny gradients. The last row of a head is its bias."""
+    heads = _one_epoch(spark, d).heads
+    rows = heads.select("crop", F.size("bias").alias("n"), F.posexplode(F.concat("weights", "bias")).alias("i", "v"))
+    return rows.select("crop", F.floor(F.col("i") / F.col("n")).cast("int").alias("j"), (F.col("i") % F.col("n")).cast("int").alias("k"), F.when(F.abs("v") < 5e-7, 0.0).otherwise(F.round("v", 6)).alias("weight"))
+
+
+@query(
+    "config samples",
+    STEP + """, z0 AS (SELECT sample_id, r.crop, class_idx, n_classes, split, unnest(list_append(features, 1.0::DOUBLE)) AS x, generate_subscripts(list_append(features, 1.0::DOUBLE), 1) - 1 AS j FROM rs r),
+ z1 AS (SELECT sample_id, crop, any_value(class_idx) AS y, any_value(n_classes) AS c, any_value(split) AS split, k, sum(CASE WHEN split = 'val' THEN x * w ELSE 0 END) AS z FROM z0 JOIN hd USING (crop, j) GROUP BY sample_id, crop, k),
+ z2 AS (SELECT sample_id, crop, any_value(y) AS y, any_value(c) AS c, any_value(split) AS split, arg_min(k, (-z, k)) AS best, ln(sum(exp(z))) AS lse, sum(z) AS total, sum(CASE WHEN k = y THEN z ELSE 0 END) AS zy FROM z1 GROUP BY sample_id, crop)
+ SELECT crop, 1 AS epoch, split AS phase, count(*) AS n, round(avg(-0.9::DOUBLE * (zy - lse) - 0.1::DOUBLE / c * (total - c * lse)), 6) AS loss, count(*) FILTER (WHERE best = y) AS n_ok FROM z2 GROUP BY crop, split""",
+)
+def train_history(spark, d):
+    return _one_epoch(spark, d).history.withColumn("loss", F.round("loss", 6))
+
+
 @query("config samples", "SELECT crop, CASE WHEN count(sample_id) = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN count(sample_id) = 0 THEN 'no training rows' END AS error, epochs AS wanted FROM config LEFT JOIN samples USING (crop) GROUP BY crop, epochs")
 def trainable_crops(spark, d):
     rows = dataset.train_val_split(X.samples(spark, d).select("sample_id", "crop", "features", "class_idx", "n_classes"))
@@ -707,3 +809,19 @@ def orders_from_events(spark, d):
     return cart.orders_from_events(X.cart_events(spark, d), X.products(spark, d)).withColumns({c: F.round(c, 4) for c in ("total", "grand_total")})
 
 
+
+
+@query("cart_events products", STATE + ", o AS (SELECT *, row_number() OVER (PARTITION BY cart_id ORDER BY first_seq) AS position FROM st) SELECT cart_id, position::INT AS position, med_id, qty FROM o")
+def stream_carts(spark, d):
+    """Carts by way of the stream: the last row of each cart, item by item."""
+    folder, events = shared_folder(spark, "carts"), X.table(spark, d, "events")
+    # A pattern, as a stream takes folders or patterns, and the table may be one file.
+    arriving = X.cart_events_of(spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]"))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    run = jobs.stream_carts(arriving).writeStream.outputMode("update").foreachBatch(keep)
+    run.option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{folder}/out").groupBy("cart_id").agg(F.max_by(F.arrays_zip("med_ids", "qtys"), "batch").alias("lines"))
+    return last.select("cart_id", F.posexplode("lines").alias("i", "l")).select("cart_id", (F.col("i") + 1).alias("position"), F.col("l.med_ids").alias("med_id"), F.col("l.qtys").alias("qty"))

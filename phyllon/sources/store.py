@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,27 @@ def packed_files(spark: SparkSession, store: str) -> DataFrame:
     return data.join(runs, "run", "left_semi").join(older, ["path", "modificationTime", "run"], "left_anti").drop("run")
 
 
+def decode_files(packed: DataFrame, decode: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """packed files with height, width, data (as the operators of pixels take them) and decode_error instead of content. decode gives an 8-bit RGB array of an image's
+    bytes; what it raises for one file is that file's decode_error, with nulls beside it, and stops no other. A null content is an error, too."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a in range(0, len(pdf), 64):  # pixels are large
+                part, rows = pdf.iloc[a : a + 64], []
+                for content in part["content"]:
+                    try:
+                        x = np.ascontiguousarray(decode(bytes(content)), np.uint8)
+                        rows.append((*x.shape[:2], x.tobytes(), None))
+                    except Exception as error:  # whatever a decoder makes of broken bytes
+                        rows.append((None, None, None, f"{type(error).__name__}: {error}"))
+                h, w, data, errors = zip(*rows)
+                yield part.drop(columns="content").assign(height=pd.array(h, "Int32"), width=pd.array(w, "Int32"), data=data, decode_error=errors)
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in packed.dtypes if c != "content")
+    return packed.mapInPandas(each, f"{schema}, height int, width int, data binary, decode_error string")
+
+
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
     """df as a table in `buckets` buckets of key, sorted by it, one file a bucket; read back. Two tables with as many buckets of their keys
     join, and are grouped, without moving a row. With path the table's files are there instead of the warehouse."""

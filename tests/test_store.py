@@ -168,3 +168,24 @@ def test_sizes_and_scores_at_their_limits(spark):
     assert best[1] == (1, 3_600_000_000)
     sizes = spark.createDataFrame([(1, 100, 90), (2, 100, 90)], "image_id long, height int, width int")
     assert [tuple(r) for r in regions.leaf_region(sizes, boxes).orderBy("image_id").collect()][0] == (1, 0, 0, 90, 100, True)
+
+
+def test_packed_files_are_decoded_and_broken_ones_kept_apart(spark, tmp_path):
+    """A store's files go through a given decoder; one that it can't read stops no other."""
+
+    def decode(content):
+        if not content.startswith(b"P"):
+            raise ValueError("not a picture")
+        h, w = content[1], content[2]
+        return np.frombuffer(content[3:], np.uint8).reshape(h, w, 3)
+
+    for name, data in (("a.raw", b"P\x02\x03" + bytes(range(18))), ("b.raw", b"junk"), ("c.raw", b"P\x02\x02short")):
+        put(tmp_path, f"in/{name}", data)
+    assert store.pack_files(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/store") == 3
+    packed = store.packed_files(spark, f"file://{tmp_path}/store").unionByName(spark.createDataFrame([("null", None, 0, None)], "path string, modificationTime timestamp, length long, content binary"))
+    rows = {r["path"].rpartition("/")[2]: r for r in store.decode_files(packed, decode).collect()}
+    assert (rows["a.raw"]["height"], rows["a.raw"]["width"], bytes(rows["a.raw"]["data"]), rows["a.raw"]["decode_error"]) == (2, 3, bytes(range(18)), None)
+    assert rows["b.raw"]["decode_error"] == "ValueError: not a picture"
+    assert all(rows[n]["data"] is None and rows[n]["height"] is None and rows[n]["decode_error"] for n in ("b.raw", "c.raw", "null"))
+    ready = pixels.prepare(store.decode_files(packed, decode), 2, 2)
+    assert sorted(r["features"] is None for r in ready.collect()) == [False, True, True, True]
