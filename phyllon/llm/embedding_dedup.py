@@ -31,13 +31,19 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) ->
     return c
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    """Unit vectors. A power of two is taken off first, which is exact, so squares of very large or small components stay finite and over 0."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _allowed(x: np.ndarray, c: np.ndarray, reach: float) -> np.ndarray:
     """Whether a unit vector at most `reach` from x could be nearest to each centroid (vectors x centroids)."""
     apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
     out = np.empty((len(x), len(c)), bool)
     for a in range(0, len(x), 500):
         part = x[a : a + 500]
-        fit = (part / np.linalg.norm(part, axis=1, keepdims=True)) @ c.T
+        fit = _units(part) @ c.T
         out[a : a + 500] = fit.max(1, keepdims=True) - fit <= reach * apart[fit.argmax(1)] + 1e-9
     return out
 
@@ -118,7 +124,7 @@ def near_duplicates(
     k = max(1, min(most_cells, n // per_cell))
     few = distinct.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).select("v").toPandas()["v"]  # bounded by `sample`
     x = np.stack(few.to_list())
-    centroids = spherical_kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), min(k, len(x)))
+    centroids = spherical_kmeans(_units(x), min(k, len(x)))
     label = merged_cells(_allowed(x, centroids, reach), probes)
     shared = spark.sparkContext.broadcast((centroids, label))  # bounded by `most_cells`
     n_cells = int(label.max()) + 1
@@ -141,8 +147,7 @@ def near_duplicates(
         if not diagonal:
             pdf = pdf.sort_values("part", kind="stable")
         ids, copies, n = pdf["id"].to_numpy(), pdf["copies"].to_numpy(), len(pdf)
-        x = np.stack(pdf["v"].to_list())
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        x = _units(np.stack(pdf["v"].to_list()))
         # The cells before this one that each vector is in, as bits.
         inside = np.zeros((n, cell), bool)
         lens = pdf["kcells"].map(len).to_numpy()

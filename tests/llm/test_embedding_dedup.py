@@ -84,3 +84,15 @@ def test_equal_ids_of_different_vectors(spark):
     rows = [(1, e[0]), (1, e[1]), (2, e[0] + 0.01 * e[5]), (3, e[1] + 0.01 * e[6]), (4, e[2]), (4, e[2]), (5, e[2] * 3 + 0.01 * e[7])]
     got = near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in rows], SCHEMA)).collect()
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 2, 4), (4, 2, 4), (5, 2, 4)]
+
+
+def test_very_large_and_very_small_components(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 16))
+    plain = [base[k % 40] + rng.normal(0, 0.08, 16) for k in range(240)]
+    scaled = [v * (1e200, 1e-200, 1.0, 1e305, 1e-300)[k % 5] for k, v in enumerate(plain)]
+    schema = "vec_id long, embedding array<double>"
+    want = near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(plain)], schema)).collect()
+    got = near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(scaled)], schema)).collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in want}
+    assert max(r["n_links"] for r in got) > 0
