@@ -42,7 +42,7 @@ def _texts() -> Column:
 
 def search_index(products: DataFrame, key: str = "med_id", parts: int = 64) -> DataFrame:
     """(part, gram, key): the three-letter pieces of each product's searched texts in lower case, each once; part is a hash of the piece."""
-    grams = F.transform(F.filter(_texts(), lambda x: F.length(x) >= 3), lambda x: F.transform(F.sequence(F.lit(1), F.length(F.lower(x)) - 2), lambda i: F.substring(F.lower(x), i, F.lit(3))))
+    grams = F.transform(F.filter(_texts(), lambda x: F.length(F.lower(x)) >= 3), lambda x: F.transform(F.sequence(F.lit(1), F.length(F.lower(x)) - 2), lambda i: F.substring(F.lower(x), i, F.lit(3))))
     rows = products.select(F.explode(F.array_distinct(F.flatten(grams))).alias("gram"), key)
     return rows.select(F.pmod(F.xxhash64("gram"), F.lit(parts)).cast("int").alias("part"), "gram", key).distinct()
 
