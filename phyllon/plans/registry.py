@@ -12,7 +12,7 @@ from phyllon.functions import columns as C
 from phyllon.operators import cart, catalog, dataset, diagnosis, explain, pixels, regions, scoring, training
 from phyllon.plans import fixtures as X
 from phyllon.plans.fixtures import with_tables
-from phyllon.sources import images
+from phyllon.sources import images, store
 from phyllon.sources.images import encode_base64
 from phyllon.sources.shared import shared_folder
 from phyllon.streaming import jobs
@@ -281,6 +281,16 @@ def leaf_region(spark, d):
     return regions.leaf_region(X.images(spark, d), X.boxes(spark, d))
 
 
+@query(sql=SQL["leaf_region"])
+def leaf_region_bucketed(spark, d):
+    """The same of tables that are stored by image: the join and the choice of boxes move no row."""
+    folder, n = shared_folder(spark, "buckets"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = folder.rpartition("-")[2]
+    boxes = store.write_bucketed(X.boxes(spark, d), f"boxes_{name}", "image_id", n, f"{folder}/boxes")
+    sizes = store.write_bucketed(X.images(spark, d), f"images_{name}", "image_id", n, f"{folder}/images")
+    return regions.leaf_region(sizes, boxes)
+
+
 @query("boxes images pixels", REGION + " SELECT image_id, p.y, p.x, r, g, b, p.x * 30 >= q.x1 AND p.x * 30 < q.x2 AND p.y * 60 >= q.y1 AND p.y * 60 < q.y2 AS in_region FROM pixels p JOIN region q USING (image_id)")
 def crop_to_region(spark, d):
     spread = X.pixels(spark, d).withColumn("x", F.col("x") * 30).withColumn("y", F.col("y") * 60)
