@@ -88,8 +88,8 @@ def bridge(spark: SparkSession) -> DataFrame:
 
 
 def groups(spark: SparkSession) -> DataFrame:
-    rows = [(g, [(c, c.title(), f"{len(x[1])} classes") for c in crops for x in CONFIG if x[0] == c]) for g, crops in GROUPS]
-    return spark.createDataFrame(rows, "label string, crops array<struct<key: string, name: string, diseases: string>>")
+    rows = [(g, [{"key": c, "name": c.title(), "diseases": f"{len(x[1])} classes"} for c in crops for x in CONFIG if x[0] == c]) for g, crops in GROUPS]
+    return _local(spark, {"label": TEXT, "crops": pa.list_(pa.struct({"key": TEXT, "name": TEXT, "diseases": TEXT}))}, rows)
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

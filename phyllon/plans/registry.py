@@ -768,7 +768,8 @@ def preset_premium(spark, d):
 @query("requests", f", g(grp, key) AS (VALUES {', '.join(f'({g!r}, {c!r})' for g, cs in X.GROUPS for c in cs)}) SELECT grp AS label, key, upper(key[1]) || key[2:] AS name, count(*) AS n FROM g JOIN requests r ON lower(trim(r.crop)) = key GROUP BY ALL")
 def crop_catalog(spark, d):
     asked = dataset.normalize_crop(X.requests(spark, d))
-    return catalog.crop_catalog(X.groups(spark)).join(asked, F.col("key") == F.col("crop")).groupBy("label", "key", "name").agg(F.count("*").alias("n"))
+    crops = catalog.crop_catalog(X.groups(spark)).select("label", "key", "name")
+    return asked.join(F.broadcast(crops), F.col("key") == F.col("crop")).groupBy("label", "key", "name").agg(F.count("*").alias("n"))  # a row a crop: nine keys would deal out the requests
 
 
 @query("products", "SELECT med_id, array_to_string(diseases[1:3], ',') AS preview FROM products")

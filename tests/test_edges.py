@@ -269,6 +269,20 @@ def test_no_job_runs_while_joins_are_planned(spark):
     assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_requests_are_counted_before_they_move(spark, tmp_path):
+    spark.range(50).selectExpr("id AS o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    asked = [[*(c[0] for c in X.CONFIG), "wheat", "tomato"][i % 11] for i in range(50)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = QUERIES["crop_catalog"](spark, str(tmp_path))
+        assert values(df, "label", "key", "name", "n") == sorted((g, c, c.title(), asked.count(c)) for g, crops in X.GROUPS for c in crops)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_hue_turns():
     x = np.array([[[200.0, 30, 30], [30, 200, 30], [80, 80, 80], [120, 60, 30]]])
     assert np.allclose(pixels._shift_hue(x, 0), x) and np.allclose(pixels._shift_hue(x, 1), x)
