@@ -1,6 +1,8 @@
 import numpy as np
 
-from phyllon.llm.embedding_dedup import merged_cells, near_duplicates
+from phyllon.llm import embedding_dedup
+from phyllon.llm.common import local_roots
+from phyllon.llm.embedding_dedup import _labels, group_roots, key_plan, merged_cells, near_duplicates
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -96,3 +98,68 @@ def test_very_large_and_very_small_components(spark):
     got = near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(scaled)], schema)).collect()
     assert {tuple(r) for r in got} == {tuple(r) for r in want}
     assert max(r["n_links"] for r in got) > 0
+
+
+def test_large_cells_compare_candidate_groups_only(spark, monkeypatch):
+    """Pairs at the bound, a dense group, a chain, exact copies and 0.0 against -0.0, among vectors that have no near copy and are compared with none."""
+    rng = np.random.default_rng(21)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+
+    def beside(x, cosine):
+        d = rng.normal(size=x.shape)
+        d = unit(d - (d * x).sum(-1, keepdims=True) * x)
+        return cosine * x + np.sqrt(1 - cosine**2) * d
+
+    lone, ends = unit(rng.normal(size=(2500, 16))), unit(rng.normal(size=(300, 16)))
+    others = beside(ends, rng.uniform(0.94, 0.96, (300, 1)))
+    dense = unit(unit(rng.normal(size=16)) + rng.normal(0, 0.03, (600, 16)))
+    chain = [unit(rng.normal(size=16))]
+    for _ in range(30):
+        chain.append(beside(chain[-1], 0.951))
+    zero = np.eye(16)[:1] + 0.0
+    vectors = np.vstack([lone, ends, others, dense, chain, dense[:5], zero, np.where(zero == 0, -0.0, zero)])
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(len(vectors)), vectors)]
+    want, sent = brute(rows), []
+    whole = embedding_dedup.cells
+    monkeypatch.setattr(embedding_dedup, "cells", lambda members, *a: sent.append(members.select("id").distinct().count()) or whole(members, *a))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for options in ({}, {"per_cell": 200, "probes": 64, "sample": 500}):
+        got = near_duplicates(df, key_cost=0, **options).collect()
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
+    assert len(got) == len(rows) and max(sent) < 1300
+
+
+def test_key_plan_counts_on_pairs_at_the_bound():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20_000, 24))
+    d = rng.normal(size=x.shape)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d -= (d * x).sum(1, keepdims=True) * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * d / np.linalg.norm(d, axis=1, keepdims=True)
+    g, keys = key_plan(0.95, 200_000, 1e-12, 3)
+    for number in range(3):
+        same = [_labels(x, g, number, part) == _labels(y, g, number, part) for part in range(4)]
+        met = (same[0] & (same[1] | same[2] | same[3])).mean()
+        assert (1 - met) ** keys < 1e-12
+
+
+def test_group_roots_same_as_all_pairs():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 32))
+    x = np.vstack([centres[rng.integers(0, 30, 900)] + rng.normal(0, 0.2, (900, 32)), rng.normal(size=(600, 32))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True))[rng.permutation(1500)].astype(np.float32)
+    a, b = np.nonzero(x @ x.T >= 0.95)
+    want = local_roots(1500, a, b)
+    assert 100 < len(set(want)) < 1400
+    for options in ({}, {"step": 64, "columns": 100}, {"step": 2000}):
+        assert np.array_equal(group_roots(x, 0.95, **options), want)
+
+
+def test_cells_that_many_vectors_share_end_in_few_rounds(monkeypatch):
+    """All pairs of cells are counted anew in each round, so merging must not take a round for each of a thousand cells."""
+    rng, rounds, diag = np.random.default_rng(6), [], np.diag
+    monkeypatch.setattr(np, "diag", lambda m: rounds.append(len(m)) or diag(m))
+    assert not merged_cells(rng.random((2000, 300)) < 0.15, 8).any()
+    groups = np.kron(np.eye(20, dtype=bool), rng.random((100, 20)) < 0.6)
+    assert merged_cells(groups, 1).max() > 0
+    assert len(rounds) < 60
